@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import leaks, ocr, pieces, reading, terms, tokens, uniform
+from lexloom.llm import languages, leaks, ocr, pieces, reading, sentences, terms, tokens, uniform
 from lexloom.llm.base import table
 
 SCAN = "record_type = 'scan-extract'"
@@ -36,6 +36,46 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_id", "id", "section", "piece_no", "start_char", "end_char", F.substring("text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")).alias("piece"))
 
 
+def _sentence_tables(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str]]:
+    statutes = table(spark, sf_dir, "statute_supplements", "row_id", "text", "record_type").where("record_type is null or record_type <> 'scan-extract'")
+    return [("candidate_cases", table(spark, sf_dir, "candidate_cases", "row_id", "facts"), "facts"), ("multilingual_completion", table(spark, sf_dir, "multilingual_completion", "row_id", "injury"), "injury"), ("statute_supplements", statutes, "text")]
+
+
+def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of the three tables."""
+    tables = _sentence_tables(spark, sf_dir)
+    tagger = sentences.train([(df, "row_id", text) for _, df, text in tables])
+    parts = [sentences.sentences(df, "row_id", text, tagger).withColumn("tbl", F.lit(name)) for name, df, text in tables]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).select("tbl", "row_id", "start_char", "end_char")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_sentences(spark, sf_dir).select("tbl", "row_id", "start_char")
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "multilingual_completion", "row_id", "language", "theft", "injury", "cheating")
+    tagger = sentences.train([(rows, "row_id", field) for field in ("theft", "injury", "cheating")])
+    model = languages.train(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang", rows, "row_id", "language", ("theft", "injury", "cheating"), tagger)
+    return rows, languages.segments(rows, "row_id", "theft", tagger, model)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, parts = _languages(spark, sf_dir)
+    label = rows.select("row_id", languages.language_expr("language").alias("label"))
+    return parts.where("language is not null").select("row_id", "language").distinct().join(label, "row_id").where("label is null or label <> language").select("row_id", "language")
+
+
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of `theft` with its language and confidence."""
+    return _languages(spark, sf_dir)[1]
+
+
+def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's main language, with a confidence and its share of the text."""
+    return languages.document_languages(_languages(spark, sf_dir)[1], "row_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for name, field in (("multilingual_completion", "theft"), ("multilingual_completion", "cheating"), ("statute_supplements", "text")):
