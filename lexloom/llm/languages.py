@@ -11,6 +11,8 @@ give repeated results; an unknown, null or empty label names no language; an emp
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -175,7 +177,7 @@ def train(documents: DataFrame, doc_id: str, text: str, lang: str, rows: DataFra
     p = Identifier().fit(texts, y, balance(y)).probabilities(texts)
     keep = np.flatnonzero((p.argmax(axis=1) == y) | (p.max(axis=1) < DOUBT))
     both, y = [both[i] for i in keep], y[keep]
-    held = np.array([hash((k * 2654435761) & 0xFFFFFFFF) % 8 == 0 for k, _, _ in both])
+    held = np.array([crc32(str(k).encode()) % 8 == 0 for k, _, _ in both])
     if held.all() or not held.any():
         held = np.arange(len(both)) % 8 == 0
     learn = np.flatnonzero(~held) if (~held).any() else np.arange(len(both))
