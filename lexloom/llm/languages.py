@@ -11,13 +11,13 @@ give repeated results; an unknown, null or empty label names no language; an emp
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm import base
@@ -30,10 +30,10 @@ NAMES = {
 }
 CODES = tuple(NAMES)
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (1, 2, 3, 4)
-EPOCHS, STEP, BATCH = 5, 2.0, 64
+EPOCHS, STEP, BATCH = 4, 2.0, 64
 DOUBT = 0.6
 #: Labelled documents of each language, and labelled rows, to train on at most.
-DOCUMENTS, ROWS = 150, 2500
+DOCUMENTS, ROWS = 80, 1200
 PRECISION = 0.998
 LETTER = regex.compile(r"\p{L}")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -51,9 +51,18 @@ def language_expr(label: str):
     return F.element_at(F.create_map(*(F.lit(x) for code, names in NAMES.items() for name in names.split() for x in (name, code))), F.coalesce(word, F.lit("")))
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of each text and where each text's begin; made over one array of all characters."""
-    points, offsets = base.code_points(pa.array([" " + regex.sub(r"[^\p{L}\p{M}]+", " ", t.lower()).strip() + " " for t in texts], pa.string()))
+def reading_form(text: str) -> str:
+    """Lower-case letters and marks with single spaces for all else."""
+    return " " + regex.sub(r"[^\p{L}\p{M}]+", " ", text.lower()).strip() + " "
+
+
+def grams(texts: list[str], chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of each text and where each text's begin; made over one array of all characters of a chunk of texts."""
+    if len(texts) > chunk:
+        parts = [grams(texts[at : at + chunk]) for at in range(0, len(texts), chunk)]
+        sizes = np.concatenate([np.diff(ends) for _, ends in parts])
+        return np.concatenate([flat for flat, _ in parts]), np.append(0, np.cumsum(sizes))
+    points, offsets = base.code_points(pa.array([reading_form(t) for t in texts], pa.string()))
     n = len(points)
     end = np.repeat(offsets[1:], np.diff(offsets))
     at, parts, own = np.arange(n), [], []
@@ -109,10 +118,10 @@ class Identifier:
                 h = np.add.reduceat(self.table[buckets], edge[:-1], axis=0) / sizes[:, None]
                 z = h @ self.out + self.bias
                 p = np.exp(z - z.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
+                p = (p / p.sum(axis=1, keepdims=True)).astype(np.float32)
                 p[np.arange(len(rows)), labels[rows]] -= 1
-                p *= (weights[rows] / weights[rows].mean() * STEP * max(0.05, 1 - done / steps))[:, None]
-                back = (p @ self.out.T) / sizes[:, None]
+                p *= (weights[rows] / weights[rows].mean() * STEP * max(0.05, 1 - done / steps))[:, None].astype(np.float32)
+                back = (p @ self.out.T) / sizes[:, None].astype(np.float32)
                 self.out -= (h.T @ p / len(rows) * 20).astype(np.float32)
                 self.bias -= p.mean(axis=0).astype(np.float32)
                 by = np.argsort(buckets, kind="stable")
@@ -154,20 +163,28 @@ def train(documents: DataFrame, doc_id: str, text: str, lang: str, rows: DataFra
     labels are wrong and a language that is written in several scripts has most of its sentences labelled rightly in each.
     """
     own = documents.select(F.col(doc_id).alias("k"), F.col(text).cast("string").alias("t"), language_expr(lang).alias("y")).where("t is not null and t <> '' and y is not null")
-    known = None
-    for code in CODES:
-        part = own.where(F.col("y") == code).where("length(t) < 20000").orderBy(F.xxhash64("k"), "k").limit(DOCUMENTS)
-        known = part if known is None else known.unionAll(part)
-    docs = [(r.k, r.t, r.y) for r in known.collect()]
+    own = own.where("length(t) < 20000")
+    first_by = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")
+    chosen = own.select("k", "y").withColumn("n", F.row_number().over(first_by)).where(F.col("n") <= DOCUMENTS).select("k").distinct()
+    docs = [(r.k, r.t, r.y) for r in own.join(F.broadcast(chosen), "k").dropDuplicates(["k"]).orderBy("k").collect()]
     if not docs:
         raise ValueError("no labelled document to learn from")
     extra = rows.select(F.col(row_id).alias("k"), language_expr(label).alias("y"), F.array(*(F.col(f).cast("string") for f in fields)).alias("t")).where("y is not null").orderBy(F.xxhash64("k"), "k").limit(ROWS)
     more = [(r.k, t, r.y) for r in extra.collect() for t in r.t if t]
 
     def split(source):
-        texts = _uniform_list(pa.array([t for _, t, _ in source], pa.string()))[0]
-        out = {(k, t[a:b], CODES.index(y)) for (k, _, y), t in zip(source, texts) for a, b in _parts(tagger, t) if len(LETTER.findall(t[a:b])) >= 4}
-        return sorted(out)
+        """Distinct sentences; of those that read the same, one, with the commonest of their labels."""
+        seen: dict[str, tuple] = {}
+        votes: dict[str, Counter] = defaultdict(Counter)
+        for at in range(0, len(source), 256):
+            part = source[at : at + 256]
+            for (k, _, y), t in zip(part, _uniform_list(pa.array([t for _, t, _ in part], pa.string()))[0]):
+                for a, b in _parts(tagger, t):
+                    if len(LETTER.findall(t[a:b])) >= 4:
+                        form = reading_form(t[a:b])
+                        seen.setdefault(form, (k, t[a:b]))
+                        votes[form][CODES.index(y)] += 1
+        return [(*seen[form], votes[form].most_common(1)[0][0]) for form in sorted(seen)]
 
     first, second = split(docs), split(more) if more else []
     balance = lambda y: (np.bincount(y, minlength=len(CODES)).clip(1) ** -0.5)[y]
