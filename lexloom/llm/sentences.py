@@ -252,6 +252,16 @@ def _learn(texts: list[str]) -> Tagger:
         copy, true = _careless(c, labels, rng)
         if copy is not None and copy.at:
             data.append(([features(s) for s in copy.seen], [at in true for at in copy.at]))
+    for _ in range(min(400, len(chains))):  # texts of two scripts, run together without a closing mark
+        a, b = rng.choice(chains), rng.choice(chains)
+        head = a.text[:2000].rstrip().rstrip(MARKS + CLOSERS + " ")
+        if not head[-1:].isalpha() or not _turned(head[-1:], _script(b.text[b.first])):
+            continue
+        both = Chain(head + " " + b.text[b.first :])
+        join = len(head) + 1
+        if join in both.at:
+            known = dict(zip((at for at in a.at if at < len(head)), certain(a, starts))) | {join: True} | {join + at - b.first: y for at, y in zip(b.at, certain(b, starts))}
+            data.append(([features(s) for s in both.seen], [known.get(at, False) for at in both.at]))
     return Tagger().fit(data)
 
 
