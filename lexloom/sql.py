@@ -1 +1,150 @@
-def oracle_sql(): return {}
+"""The queries' results in SQL. Word lists come from the library's fixed values; the rest is written out."""
+
+from __future__ import annotations
+
+from lexloom.functions import dates as D
+from lexloom.functions import words
+
+
+def _list(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _tokens(text: str) -> str:
+    """Retrieval tokens of a text as a list."""
+    return f"list_filter(string_split(trim(regexp_replace(lower(coalesce({text}, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: length(t) > 1 AND t NOT IN ({_list(words.RETRIEVAL_STOP)}) AND NOT regexp_matches(t, '^[0-9]{{1,4}}$'))"
+
+
+_SCORES = f"""
+WITH docs AS (SELECT * FROM statute_supplements WHERE NOT regexp_matches(coalesce(title, '') || ' ' || coalesce(text, '')[1:80], '(?i)\\brepealed\\b|\\[repealed\\]|^\\s*rep\\.\\s+by')),
+b AS (SELECT row_id, code, list_distinct({_tokens("concat_ws(' ', section, title, text, array_to_string(keywords, ' '))")}) AS body, {_tokens("title")} AS head FROM docs),
+d AS (SELECT row_id, code, token, list_contains(head, token) AS in_title FROM (SELECT row_id, code, head, unnest(body) AS token FROM b)),
+f AS (SELECT token, count(*) AS df FROM d GROUP BY token),
+w AS (SELECT token, df, ln(((SELECT count(*) FROM docs) + 1)::DOUBLE / (df + 1)) + 1 AS idf FROM f),
+q AS (SELECT item_id, unnest(list_distinct({_tokens("text")})) AS token FROM eval_items),
+s AS (SELECT item_id, d.row_id, any_value(d.code) AS code, round(sum(idf + CASE WHEN in_title THEN 8.0 ELSE 0.0 END), 6) AS score FROM q JOIN w USING (token) JOIN d USING (token) GROUP BY item_id, d.row_id)
+"""
+
+def _sections(group: int) -> str:
+    return rf"regexp_extract_all(coalesce(facts, ''), '(?i)\b(?:(ipc|bns)\s*(?:section\s*)?|section\s+)([0-9]{{1,3}}[a-z]{{0,3}})\b', {group})"
+
+
+
+def _date_rows() -> str:
+    """Every date of every case: form, place in its form, value, raw text."""
+    parts = []
+    months = " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(words.MONTHS, 1))
+    for k, (pattern, (y, m, d)) in enumerate(zip(D.PATTERNS, D.GROUPS)):
+        get = lambda g, p=pattern: f"regexp_extract_all(coalesce(facts, ''), '{p}', {g})"
+        month = "try_cast(m AS INTEGER)" if k < 2 else f"CASE lower(m) {months} END"
+        parts.append(f"SELECT row_id, facts, {k} AS form, i, format('{{}}-{{:02d}}-{{:02d}}', y, {month}, try_cast(d AS INTEGER)) AS value, raw FROM (SELECT row_id, facts, unnest({get(y)}) AS y, unnest({get(m)}) AS m, unnest({get(d)}) AS d, unnest({get(0)}) AS raw, generate_subscripts({get(0)}, 1) AS i FROM candidate_cases)")
+    return " UNION ALL ".join(parts)
+
+
+_HINTS = " + ".join(f"contains(around, '{h}')::INTEGER" for h in words.OFFENCE_HINTS)
+_ROUTES = f"""
+WITH every AS (SELECT * FROM ({_date_rows()}) WHERE try_strptime(value, '%Y-%m-%d') IS NOT NULL),
+one AS (SELECT row_id, any_value(facts) AS facts, value, min(form * 100000 + i) AS place, arg_max(raw, form * 100000 + i) AS raw FROM every GROUP BY row_id, value),
+near AS (SELECT *, lower(facts[greatest(1, instr(facts, raw) - 45) : instr(facts, raw) + length(raw) + 44]) AS around FROM one),
+ranked AS (SELECT row_id, value, hints, row_number() OVER (PARTITION BY row_id ORDER BY hints DESC, place) AS r FROM (SELECT row_id, value, place, {_HINTS} AS hints FROM near)),
+by_case AS (SELECT row_id, count(*) AS n, min(value) AS low, max(value) AS high, max(CASE WHEN r = 1 THEN value END) AS best, max(CASE WHEN r = 1 THEN hints END) AS h1, max(CASE WHEN r = 2 THEN hints END) AS h2 FROM ranked GROUP BY row_id),
+c AS (SELECT c.row_id, c.case_id, regexp_matches(lower(coalesce(facts, '')), '{words.CONTINUING}') AS going_on, coalesce(n, 0) AS n_dates, low, high, CASE WHEN n > 1 AND h1 = h2 AND regexp_matches(lower(facts), '{words.UNDECIDED}') THEN NULL ELSE best END AS offence FROM candidate_cases c LEFT JOIN by_case USING (row_id)),
+routes AS (SELECT row_id, case_id, offence, going_on, n_dates, CASE WHEN going_on AND n_dates > 1 AND low < '{words.CUTOFF}' AND high >= '{words.CUTOFF}' THEN 'MULTI_PERIOD_REVIEW' WHEN offence IS NULL THEN 'CLARIFY' WHEN offence < '{words.CUTOFF}' THEN 'IPC_ONLY' ELSE 'BNS_PRIMARY' END AS route FROM c)
+"""
+
+_PAGES = """
+WITH p AS (SELECT row_id, source.file AS file, source.page AS page, coalesce(sum(coalesce(length(text), 0) + 2) OVER (PARTITION BY source.file ORDER BY source.page, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS page_start FROM statute_supplements WHERE source.page IS NOT NULL)
+"""
+_TOKEN = "[\\p{L}\\p{M}\\x{200C}\\x{200D}]+(?:[''’][\\p{L}\\p{M}]+)?|\\p{N}+(?:[.,:/-]\\p{N}+)*|[^\\s\\p{L}\\p{M}\\p{N}]"
+_EN_TOKENS = f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_TOKEN}')) AS token FROM documents WHERE lang = 'en'),
+k AS (SELECT doc_id, token, lower(token) AS word, CASE WHEN regexp_matches(token, '^\\p{{N}}') THEN 'number' WHEN regexp_matches(token, '^[\\p{{L}}\\p{{M}}\\x{{200C}}\\x{{200D}}]') THEN 'word' ELSE 'punct' END AS kind FROM t)
+"""
+_ARMS = "WITH a AS (SELECT l_suppkey, l_returnflag, sum(l_quantity) AS errors, round(avg(l_extendedprice), 4) AS cost FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL), p AS (SELECT l_suppkey, max(errors) FILTER (l_returnflag = 'A') AS be, max(errors) FILTER (l_returnflag = 'R') AS ce, max(cost) FILTER (l_returnflag = 'A') AS bc, max(cost) FILTER (l_returnflag = 'R') AS cc FROM a GROUP BY l_suppkey HAVING count(*) = 2)"
+_VISITS = "WITH v AS (SELECT DISTINCT user_id, epoch_us(ts) // 3600000000 * 3600 AS s FROM events WHERE ts IS NOT NULL), iv AS (SELECT user_id, s AS start, s + 3600 AS \"end\" FROM v)"
+_LABELS = "l AS (SELECT case_id, max(applicable_law) AS law, max(concat_ws(' ', correct_top1_provision.code, correct_top1_provision.section)) AS top1 FROM gold_labels GROUP BY case_id)"
+_DIGITS = "translate(coalesce({c}, ''), '" + "".join(chr(b + k) for b in words.DIGIT_BLOCKS for k in range(10)) + "', '" + "0123456789" * len(words.DIGIT_BLOCKS) + "')"
+
+
+def _numbers(c: str) -> str:
+    return f"regexp_extract_all({_DIGITS.format(c=c)}, '[0-9]+(?:[.,][0-9]+)*')"
+
+
+def _delimited() -> str:
+    from lexloom.operators.keyphrases import DELIMITERS
+
+    return _list(DELIMITERS)
+
+
+def oracle_sql() -> dict[str, str]:
+    low = "list_distinct(string_split(regexp_replace(lower(coalesce(facts, '')), '[^a-z0-9]+', ' ', 'g'), ' '))"
+    phrases = " UNION ALL ".join(f"SELECT '{label}' AS label, count(*) AS n FROM candidate_cases WHERE regexp_matches(lower(coalesce(facts, '')), '{p}')" for label, p in words.PHRASES)
+    suffix = " ".join(f"WHEN suffix(word, '{s}') AND length(word) - {len(s)} >= 3 THEN word[1 : length(word) - {len(s)}]" for s in words.ENGLISH_SUFFIXES)
+    letters = lambda c: f"regexp_replace(lower(coalesce({c}, '')), '[^a-z]', '', 'g')"
+    scripts = " ".join(f"WHEN regexp_matches(theft, '{p}') THEN '{n}'" for n, p in words.SCRIPT_BLOCKS)
+    return {
+        "retrieval_topk": _SCORES + "SELECT item_id, row_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, row_id) AS rank FROM s) WHERE rank <= 3",
+        "retrieval_by_code": _SCORES + "SELECT item_id, code, row_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id, code ORDER BY score DESC, row_id) AS rank FROM s) WHERE rank <= 3",
+        "retrieval_diversified": _SCORES + ", g AS (SELECT *, row_number() OVER (PARTITION BY item_id, code ORDER BY score DESC, row_id) AS k FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k <> 1, CASE WHEN k = 1 THEN code END NULLS FIRST, score DESC, row_id) AS rank FROM g) SELECT item_id, code, row_id, score, rank FROM o WHERE rank <= 3",
+        "idf_table": _SCORES + "SELECT token, df, round(idf, 6) AS idf FROM w",
+        "reference_matches": f"WITH r AS (SELECT DISTINCT row_id AS case_row, nullif(upper(unnest({_sections(1)})), '') AS ref_code, upper(unnest({_sections(2)})) AS ref_section FROM candidate_cases) SELECT DISTINCT case_row, s.row_id FROM r JOIN statute_supplements s ON upper(s.section) = ref_section AND (ref_code IS NULL OR ref_code = s.code)",
+        "section_refs": f"SELECT row_id, unnest(range(0, len(r))) AS pos, upper(unnest(r)) AS section FROM (SELECT row_id, {_sections(2)} AS r FROM candidate_cases)",
+        "case_dates": _ROUTES + "SELECT row_id, value FROM one",
+        "case_routes": _ROUTES + "SELECT row_id, offence, going_on, n_dates, route FROM routes",
+        "route_counts": _ROUTES + "SELECT route, count(*) AS n, count(offence) AS dated FROM routes GROUP BY route",
+        "grounding_warnings": _ROUTES + "SELECT * FROM (SELECT 'review' AS warning, count(*) AS n FROM routes WHERE route IN ('CLARIFY', 'MULTI_PERIOD_REVIEW') UNION ALL SELECT 'no date', count(*) FROM routes WHERE route = 'CLARIFY' AND n_dates = 0 UNION ALL SELECT 'continuing', count(*) FROM routes WHERE going_on) WHERE n > 0",
+        "route_accuracy": _ROUTES + f", {_LABELS}, last AS (SELECT case_id, max(row_id) AS row_id FROM candidate_cases GROUP BY case_id), b AS (SELECT route, law, top1 FROM last JOIN routes USING (row_id) JOIN l ON l.case_id = last.case_id) SELECT count(*) AS cases, round(count(*) FILTER (route = law) * 100.0 / nullif(count(law), 0), 2) AS law_accuracy, round(count(*) FILTER (route = law AND law <> 'CLARIFY') * 100.0 / nullif(count(*) FILTER (law <> 'CLARIFY'), 0), 2) AS dated_accuracy, coalesce(round(count(*) FILTER (top1 <> '') * 100.0 / nullif(count(*), 0), 2), 0.0) AS with_top1 FROM b",
+        "vocabulary_counts": f"SELECT word, count(*) AS n FROM (SELECT unnest({low}) AS word FROM candidate_cases) WHERE word IN ({_list(words.VOCABULARY)}) GROUP BY word",
+        "phrase_counts": f"SELECT * FROM ({phrases}) WHERE n > 0",
+        "keywords_top16": f"WITH w AS (SELECT row_id, unnest(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '[a-z][a-z-]{{3,}}')) AS keyword FROM statute_supplements), c AS (SELECT row_id, keyword, count(*) AS n FROM w WHERE keyword NOT IN ({_list(words.KEYWORD_STOP)}) GROUP BY ALL) SELECT * FROM (SELECT row_id, keyword, n, row_number() OVER (PARTITION BY row_id ORDER BY n DESC, keyword) AS rank FROM c) WHERE rank <= 16",
+        "record_counts": "SELECT code, record_type, count(*) AS n, grouping(code, record_type) AS level FROM statute_supplements GROUP BY CUBE (code, record_type)",
+        "overlaid_titles": "WITH x AS (SELECT id, arg_max(struct_pack(t := title), row_id).t AS title FROM statute_supplements WHERE record_type = 'primary-statute-supplement' GROUP BY id) SELECT s.row_id, s.id, CASE WHEN x.id IS NULL THEN s.title ELSE x.title END AS title FROM statute_supplements s LEFT JOIN x USING (id) WHERE record_type = 'primary-statute'",
+        "latest_records": "SELECT id, row_id, code, record_type FROM statute_supplements QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_id DESC) = 1",
+        "crosswalk_adjacency": "WITH e AS (SELECT 'ipc-' || lower(ipc) AS a, 'bns-' || lower(bns) AS b FROM crosswalk_edges) SELECT id, list_sort(list(DISTINCT x)) AS maps_to FROM (SELECT a AS id, b AS x FROM e UNION ALL SELECT b, a FROM e) GROUP BY id",
+        "mapping_only_records": "WITH e AS (SELECT 'IPC ' || ipc AS provision, offence FROM crosswalk_edges UNION ALL SELECT 'BNS ' || bns, offence FROM crosswalk_edges), k AS (SELECT concat_ws(' ', code, nullif(regexp_extract(replace(section, ' ', ''), '^[0-9]{1,3}[A-Z]*'), '')) AS provision FROM statute_supplements WHERE section IS NOT NULL) SELECT provision, min(offence) AS offence FROM e WHERE provision NOT IN (SELECT provision FROM k) GROUP BY provision",
+        "eligible_mappings": "SELECT ipc, bns FROM crosswalk_edges WHERE ipc IN (SELECT section FROM statute_supplements WHERE code = 'IPC' AND section IS NOT NULL) AND bns IN (SELECT section FROM statute_supplements WHERE code = 'BNS' AND section IS NOT NULL)",
+        "page_starts": _PAGES + "SELECT * FROM p",
+        "page_as_of": _PAGES + ", l AS (SELECT file, page_start, max(page) AS page FROM p GROUP BY ALL), t AS (SELECT file, unnest(range(0, max(page_start) + 1, 10000)) AS at FROM p GROUP BY file) SELECT t.file, t.at, l.page FROM t ASOF JOIN l ON t.file = l.file AND t.at >= l.page_start",
+        "page_spans": _PAGES + "SELECT row_id, page_start, lead(page_start) OVER (PARTITION BY file ORDER BY page, row_id) AS span_end FROM p",
+        "repealed_records": "SELECT regexp_matches(coalesce(title, '') || ' ' || coalesce(text, '')[1:80], '(?i)\\brepealed\\b|\\[repealed\\]|^\\s*rep\\.\\s+by') AS repealed, count(*) AS n FROM statute_supplements GROUP BY 1",
+        "token_stats": _EN_TOKENS + f"SELECT doc_id, count(*) AS tokens, count(*) FILTER (kind = 'word') AS words, count(DISTINCT word) FILTER (kind = 'word') AS unique_words, count(*) FILTER (kind = 'number') AS numbers, count(*) FILTER (kind = 'word' AND word IN ({_list(words.ENGLISH_STOP)})) AS stop_words FROM k GROUP BY doc_id",
+        "stem_counts": _EN_TOKENS + f"SELECT word, CASE WHEN length(word) <= 4 OR word IN ({_list(words.ENGLISH_STOP + words.ENGLISH_NEGATIONS)}) THEN word {suffix} ELSE word END AS stem, count(*) AS n FROM k WHERE kind = 'word' AND regexp_matches(token, '^[A-Za-z]+$') GROUP BY word",
+        "negation_counts": _EN_TOKENS + f"SELECT word, count(*) AS n FROM k WHERE kind = 'word' AND word IN ({_list(words.ENGLISH_NEGATIONS)}) GROUP BY word",
+        "rake_top8": f"WITH r AS (SELECT item_id, regexp_extract_all(text, '{_TOKEN}') AS l FROM eval_items WHERE lang = 'en'), t AS (SELECT item_id, lower(unnest(l)) AS word, generate_subscripts(l, 1) AS pos FROM r), c AS (SELECT *, (NOT regexp_matches(word, '^[\\p{{L}}\\p{{M}}\\x{{200C}}\\x{{200D}}]') OR word IN ({_delimited()})) AS cut FROM t), g AS (SELECT *, sum(cut::INTEGER) OVER (PARTITION BY item_id ORDER BY pos) AS run FROM c), p AS (SELECT item_id, run, min(pos) AS first, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS phrase FROM g WHERE NOT cut GROUP BY item_id, run), e AS (SELECT g.item_id, p.first, p.n, g.word FROM g JOIN p USING (item_id, run) WHERE NOT cut), w AS (SELECT item_id, word, sum(n)::DOUBLE / count(*) AS weight FROM e GROUP BY ALL), s AS (SELECT item_id, first, sum(weight) AS score FROM e JOIN w USING (item_id, word) WHERE n <= 4 GROUP BY ALL), o AS (SELECT item_id, phrase, round(max(score), 2) AS score, max(n) AS words, count(*) AS occurrences, min(first) AS f FROM p JOIN s USING (item_id, first) WHERE n <= 4 GROUP BY item_id, phrase) SELECT item_id, phrase, score, words, occurrences, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, occurrences DESC, f) AS rank FROM o) WHERE rank <= 8",
+        "script_counts": f"SELECT CASE {scripts} ELSE 'other' END AS script, count(*) AS n FROM multilingual_completion WHERE theft IS NOT NULL GROUP BY 1",
+        "ascii_numbers": f"SELECT row_id, array_to_string({_numbers('theft')}, '|') AS numbers FROM multilingual_completion WHERE theft IS NOT NULL",
+        "kept_numbers": f"SELECT row_id, list_sort({_numbers('theft')}) = list_sort({_numbers('cheating')}) AS same FROM multilingual_completion WHERE theft IS NOT NULL AND cheating IS NOT NULL",
+        "label_codes": "SELECT lower(split_part(language, '-', 1)) AS code, count(*) AS n FROM multilingual_completion GROUP BY 1",
+        "duplicate_texts": "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
+        "label_problems": "WITH g AS (SELECT applicable_law AS law, correct_top1_provision AS f, coalesce(correct_top3_provisions, []) AS t FROM gold_labels) SELECT * FROM (SELECT 'route' AS problem, count(*) AS n FROM g WHERE law IS NULL OR law NOT IN ('IPC_ONLY', 'BNS_PRIMARY', 'MULTI_PERIOD_REVIEW', 'CLARIFY') UNION ALL SELECT 'count', count(*) FROM g WHERE law <> 'CLARIFY' AND len(t) NOT BETWEEN 1 AND 3 UNION ALL SELECT 'distinct', count(*) FROM g WHERE len(t) <> len(list_distinct(t)) UNION ALL SELECT 'first', count(*) FROM g WHERE f IS NOT NULL AND NOT list_contains(t, f)) WHERE n > 0",
+        "repeated_labels": "SELECT case_id, count(*) AS n FROM gold_labels GROUP BY case_id HAVING count(*) > 1",
+        "label_coverage": "WITH a AS (SELECT case_id, count(*) AS na FROM candidate_cases GROUP BY 1), b AS (SELECT case_id, count(*) AS nb FROM gold_labels GROUP BY 1) SELECT CASE WHEN nb IS NULL THEN 'left_only' WHEN na IS NULL THEN 'right_only' ELSE 'repeated' END AS problem, count(*) AS n FROM a FULL JOIN b USING (case_id) WHERE na IS NULL OR nb IS NULL OR na > 1 OR nb > 1 GROUP BY 1",
+        "band_ordinals": "SELECT rater, count(*) AS labels, round(sum(v) * 100.0 / nullif(count(v) * 2, 0), 2) AS percent FROM (SELECT rater, CASE band WHEN 'basic' THEN 0 WHEN 'middle' THEN 1 WHEN 'advanced' THEN 2 END AS v FROM reading_labels) GROUP BY rater",
+        "character_errors": f"WITH e AS (SELECT levenshtein({letters('theft')}, {letters('cheating')}) AS edits, length({letters('theft')}) AS size FROM multilingual_completion WHERE theft IS NOT NULL AND cheating IS NOT NULL) SELECT count(*) FILTER (size > 0) AS rows, sum(edits) FILTER (size > 0) AS edits, sum(size) AS size, round(sum(edits) FILTER (size > 0) / sum(size), 6) AS micro, round(avg(edits / size) FILTER (size > 0), 6) AS mean, count(*) FILTER (size = 0) AS left_out FROM e",
+        "value_quantiles": "SELECT event_type, count(*) AS n, round(median(value), 6) AS median, quantile_disc(value, 0.95) AS p95 FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY event_type",
+        "composite_summary": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS discount FROM lineitem GROUP BY ALL",
+        "paired_gate": _ARMS + " SELECT count(*) AS pairs, count(*) FILTER (ce > be) AS regressions, median(bc) AS baseline_median, median(cc) AS candidate_median, coalesce(count(*) > 0 AND count(*) FILTER (ce > be) = 0 AND median(cc) <= median(bc) * 0.9, false) AS accepted FROM p",
+        "gain_gate": _ARMS + " SELECT sum(be) AS baseline_errors, sum(ce) AS candidate_errors, count(*) FILTER (ce > be) AS worse, round(sum(bc), 2) AS baseline_cost, round(sum(cc), 2) AS candidate_cost, coalesce(sum(ce) < sum(be) AND count(*) FILTER (ce > be) = 0 AND sum(cc) <= sum(bc) * 1.25, false) AS accepted FROM p",
+        "completeness_report": "WITH e AS (SELECT DISTINCT case_id FROM candidate_cases), r AS (SELECT case_id, max((applicable_law IS NULL)::INTEGER) AS bad FROM gold_labels GROUP BY 1), x AS (SELECT e.case_id AS e, r.case_id AS r, bad FROM e FULL JOIN r USING (case_id)) SELECT count(e) AS expected, count(*) FILTER (r IS NULL) AS missing, count(*) FILTER (e IS NULL) AS unexpected, count(*) FILTER (bad = 1) AS failed, count(*) FILTER (r IS NULL OR e IS NULL OR bad = 1) = 0 AS complete FROM x",
+        "unlabelled_cases": "SELECT DISTINCT case_id FROM candidate_cases WHERE case_id NOT IN (SELECT case_id FROM gold_labels)",
+        "buyers_without_orders": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+        "buyers_with_orders": "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
+        "sealed_labels": "SELECT doc_id, sha256(concat_ws(chr(31), doc_id::VARCHAR, coalesce(rater, chr(0)), coalesce(band, chr(0)))) AS seal FROM (SELECT DISTINCT * FROM reading_labels)",
+        "redelivery_diff": "WITH k AS (SELECT case_id, sha256(coalesce(facts, '')) AS digest, row_number() OVER (PARTITION BY case_id ORDER BY row_id) AS n FROM candidate_cases), x AS (SELECT a.case_id, CASE WHEN b.digest IS NULL THEN 'removed' WHEN a.digest <> b.digest THEN 'changed' END AS status FROM (SELECT * FROM k WHERE n = 1) a LEFT JOIN (SELECT * FROM k WHERE n = 2) b USING (case_id)) SELECT status, count(*) AS n FROM x WHERE status IS NOT NULL GROUP BY status",
+        "vocabulary_conflicts": "WITH w AS (SELECT code, lower(trim(k)) AS word FROM (SELECT code, unnest(keywords) AS k FROM statute_supplements) WHERE trim(k) <> ''), r AS (SELECT code, word, row_number() OVER (PARTITION BY code ORDER BY count(*) DESC, word) AS place FROM w GROUP BY code, word), a AS (SELECT word, place AS ipc_place FROM r WHERE code = 'IPC'), b AS (SELECT word, place AS bns_place FROM r WHERE code = 'BNS') SELECT word, ipc_place, bns_place FROM a FULL JOIN b USING (word) WHERE ipc_place IS DISTINCT FROM bns_place",
+        "chosen_cases": "WITH m AS (SELECT row_id, station, coalesce(length(facts) >= 50, false) AS ok, row_number() OVER (PARTITION BY station, case_id ORDER BY row_id) > 1 AS again FROM candidate_cases WHERE station IS NOT NULL), n AS (SELECT *, sum((ok AND NOT again)::INTEGER) OVER (PARTITION BY station ORDER BY row_id) AS k FROM m) SELECT row_id, CASE WHEN NOT ok THEN 'ineligible' WHEN again THEN 'repeated' WHEN k <= 3 THEN 'chosen' ELSE 'reserve' END AS choice FROM n",
+        "scenario_matrix": "WITH l AS (SELECT coalesce(lower(split_part(language, '-', 1)), '') AS code, field, text FROM (SELECT language, unnest(['theft', 'injury', 'cheating']) AS field, unnest([theft, injury, cheating]) AS text FROM multilingual_completion)) SELECT code, field, count(*) FILTER (text <> '') AS n FROM l GROUP BY code, field",
+        "event_gaps": _VISITS + ", b AS (SELECT min(start) AS lo, max(\"end\") AS hi FROM iv), g AS (SELECT user_id, coalesce(lag(\"end\") OVER (PARTITION BY user_id ORDER BY start), lo) AS gap_start, start AS gap_end FROM iv, b UNION ALL SELECT user_id, max(\"end\"), any_value(hi) FROM iv, b GROUP BY user_id) SELECT * FROM g WHERE gap_start < gap_end",
+        "retained_share": _VISITS + " SELECT user_id, round(sum(\"end\" - start) / (30 * 86400), 6) AS retained FROM iv GROUP BY user_id",
+        "event_pairs": "WITH e AS (SELECT user_id, ts, event_type, lag(event_type) OVER w AS was, lag(ts) OVER w AS opened FROM events WHERE event_type IN ('view', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, epoch_us(opened) AS opened, epoch_us(ts) AS closed FROM e WHERE event_type = 'purchase' AND was = 'view'",
+        "contiguous_visits": _VISITS + " SELECT user_id, bool_and(coalesce(n = \"end\", true)) AS contiguous, min(start) AS low, max(\"end\") AS high FROM (SELECT *, lead(start) OVER (PARTITION BY user_id ORDER BY start) AS n FROM iv) GROUP BY user_id",
+        "rising_values": "SELECT user_id, coalesce(bool_and(was IS NULL OR value > was), true) AS increasing FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) GROUP BY user_id",
+        "filled_quota": "SELECT * FROM (SELECT l_suppkey, l_orderkey, l_linenumber, coalesce(sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS filled FROM lineitem) WHERE filled < 100",
+        "late_deliveries": "WITH w AS (SELECT submitted_at IS NULL AS err, epoch_us(ingested_at) - epoch_us(submitted_at) AS wait FROM candidate_cases) SELECT CASE WHEN err THEN 'worker-error' WHEN wait IS NULL OR wait < 0 THEN 'invalid-timing' WHEN wait > 86400000000 THEN 'elapsed-budget-exceeded' ELSE 'none' END AS fault, count(*) AS n, count(*) FILTER (abs(wait) <= 3600000000) AS within_hour FROM w GROUP BY 1",
+        "hourly_windows": "SELECT epoch_us(date_trunc('hour', ts)) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL",
+        "user_sessions": "WITH l AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOURS, true) AS opens FROM events WHERE ts IS NOT NULL), s AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT user_id, epoch_us(min(ts)) AS session_start, count(*) AS n FROM s GROUP BY user_id, k",
+        "doubtful_words": "WITH e AS (SELECT user_id, lower(event_type) AS word, min(value / 100) AS p FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND value / 100 < CASE WHEN regexp_matches(event_type, '[0-9]') THEN 0.75 ELSE 0.5 END GROUP BY ALL) SELECT * FROM (SELECT user_id, word, round(p, 6) AS p, row_number() OVER (PARTITION BY user_id ORDER BY e.p, word) AS rank FROM e) WHERE rank <= 8",
+        "mean_confidence": "SELECT user_id, round(sum(value * length(event_type)) / sum(length(event_type)), 3) AS weighted, round(avg(value), 3) AS plain FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY user_id",
+        "top_dimensions": "WITH x AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS place FROM embeddings) SELECT vec_id, rank, place FROM (SELECT vec_id, place, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, place) - 1 AS rank FROM x WHERE place <> 0 AND isfinite(v)) WHERE rank < 5",
+        "phrase_runs": "WITH s AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents WHERE lang = 'en' AND text IS NOT NULL), r AS (SELECT doc_id, array_to_string(w[i : i + 2], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM s)) SELECT doc_id, run, count(*) AS n FROM r GROUP BY ALL HAVING count(*) > 1",
+    }
