@@ -462,8 +462,8 @@ def rising_values(spark, sf_dir):
 
 
 def filled_quota(spark, sf_dir):
-    own = _t(spark, sf_dir, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
-    return intervals.fill_up_to(own, "l_suppkey", ["l_orderkey", "l_linenumber"], "l_quantity", 100.0).select("l_suppkey", "l_orderkey", "l_linenumber", "filled")
+    own = _t(spark, sf_dir, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    return intervals.fill_up_to(own, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"], "l_quantity", 100.0).select("l_suppkey", "l_orderkey", "l_linenumber", "filled")
 
 
 def late_deliveries(spark, sf_dir):

@@ -139,7 +139,7 @@ def oracle_sql() -> dict[str, str]:
         "event_pairs": "WITH e AS (SELECT user_id, ts, event_type, lag(event_type) OVER w AS was, lag(ts) OVER w AS opened FROM events WHERE event_type IN ('view', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, epoch_us(opened) AS opened, epoch_us(ts) AS closed FROM e WHERE event_type = 'purchase' AND was = 'view'",
         "contiguous_visits": _VISITS + " SELECT user_id, bool_and(coalesce(n = \"end\", true)) AS contiguous, min(start) AS low, max(\"end\") AS high FROM (SELECT *, lead(start) OVER (PARTITION BY user_id ORDER BY start) AS n FROM iv) GROUP BY user_id",
         "rising_values": "SELECT user_id, coalesce(bool_and(was IS NULL OR value > was), true) AS increasing FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) GROUP BY user_id",
-        "filled_quota": "SELECT * FROM (SELECT l_suppkey, l_orderkey, l_linenumber, coalesce(sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS filled FROM lineitem) WHERE filled < 100",
+        "filled_quota": "SELECT * FROM (SELECT l_suppkey, l_orderkey, l_linenumber, coalesce(sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS filled FROM lineitem) WHERE filled < 100",
         "late_deliveries": "WITH w AS (SELECT submitted_at IS NULL AS err, epoch_us(ingested_at) - epoch_us(submitted_at) AS wait FROM candidate_cases) SELECT CASE WHEN err THEN 'worker-error' WHEN wait IS NULL OR wait < 0 THEN 'invalid-timing' WHEN wait > 86400000000 THEN 'elapsed-budget-exceeded' ELSE 'none' END AS fault, count(*) AS n, count(*) FILTER (abs(wait) <= 3600000000) AS within_hour FROM w GROUP BY 1",
         "hourly_windows": "SELECT epoch_us(date_trunc('hour', ts)) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL",
         "user_sessions": "WITH l AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOURS, true) AS opens FROM events WHERE ts IS NOT NULL), s AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT user_id, epoch_us(min(ts)) AS session_start, count(*) AS n FROM s GROUP BY user_id, k",
