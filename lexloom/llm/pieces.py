@@ -197,9 +197,17 @@ def _ranged(own: DataFrame, what: str, limit: int, overlap: int) -> DataFrame:
     long = long.withColumn("offset", F.col("range_no").cast("long") * RANGE)
     long = long.repartition("row_key", "range_no")
     cut = base.map_arrow(long.select("row_key", "range_no", "lead", "size", "offset", "t", "page", "end_page", "title", "document", "scanned"), _emit_range(what, limit, overlap), f"row_key {kind}, range_no int, start_char long, end_char long")
-    order = Window.partitionBy("row_key").orderBy("start_char")
-    cut = cut.select("row_key", (F.row_number().over(order) - 1).alias("piece_no"), F.col("start_char").cast("int").alias("start_char"), F.col("end_char").cast("int").alias("end_char"))
-    return short.unionAll(cut)
+    cut = _numbered(cut, "row_key")
+    return short.unionAll(cut.select("row_key", F.col("piece_no").cast("int").alias("piece_no"), F.col("start_char").cast("int").alias("start_char"), F.col("end_char").cast("int").alias("end_char")))
+
+
+def _numbered(cut: DataFrame, key: str) -> DataFrame:
+    """Adds `piece_no`: the range's first number, a prefix sum over the ranges' counts, plus the place within the range."""
+    counts = cut.groupBy(key, "range_no").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(key).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(key, "range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy(key, "range_no").orderBy("start_char")
+    return cut.withColumn("k", F.row_number().over(inside) - 1).join(firsts, [key, "range_no"]).withColumn("piece_no", F.col("first") + F.col("k")).drop("first", "k")
 
 
 def _range_spans(what, body, lead, size, offset, limit, overlap, facts) -> list[tuple[int, int]]:
@@ -265,10 +273,10 @@ def file_pieces(spark: SparkSession, paths: list[str], limit: int = LIMIT, overl
                 body, lead, size = _read_range(path, begin, end, halo)
                 spans = _range_spans("pieces", body, lead, size, offset, limit, overlap, (None, None, None, None, False))
                 texts = [body[a - offset + lead : b - offset + lead] for a, b in spans]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(spans), pa.string()), pa.array([a for a, _ in spans], pa.int64()), pa.array([b for _, b in spans], pa.int64()), pa.array(texts, pa.string())], ["path", "start_char", "end_char", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(spans), pa.string()), pa.array([no] * len(spans), pa.int32()), pa.array([a for a, _ in spans], pa.int64()), pa.array([b for _, b in spans], pa.int64()), pa.array(texts, pa.string())], ["path", "range_no", "start_char", "end_char", "piece"])
 
     counted = base.map_arrow(ranges, count, "path string, range_no int, begin long, end long, chars long")
     before = Window.partitionBy("path").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.select("path", "range_no", "begin", "end", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("offset")).repartition("path", "range_no")
-    out = base.map_arrow(placed, emit, "path string, start_char long, end_char long, piece string")
-    return out.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("start_char")) - 1).alias("piece_no"), "start_char", "end_char", "piece")
+    out = base.map_arrow(placed, emit, "path string, range_no int, start_char long, end_char long, piece string")
+    return _numbered(out, "path").select("path", "piece_no", "start_char", "end_char", "piece")
