@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexloom.functions import checks as C
 from lexloom.functions import dates as D
 from lexloom.functions import grammar as G
 from lexloom.functions import text as T
 from lexloom.functions import words
 from lexloom.operators import corpus, evaluation, intervals, keyphrases, retrieval, review
+from lexloom.plans import analysis
 from lexloom.session import ship
+from lexloom.streaming import events as stream
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -528,6 +534,62 @@ def phrase_runs(spark, sf_dir):
     return runs.groupBy("doc_id", "run").agg(F.count("*").alias("n")).where("n > 1")
 
 
+# Checks, plans and streams
+
+
+def english_like_texts(spark, sf_dir):
+    own = _t(spark, sf_dir, "multilingual_completion", "theft").where("theft is not null")
+    return own.groupBy(C.english_like(F.col("theft")).alias("english")).agg(F.count("*").alias("n"))
+
+
+def script_mismatches(spark, sf_dir):
+    """Rows whose text has no character of the script of the language that they name."""
+    own = _t(spark, sf_dir, "multilingual_completion", "row_id", "language", "theft").where("theft is not null").withColumn("code", T.language_code("language"))
+    return own.where(~C.expected_script(F.col("theft"), F.col("code"))).select("row_id", "code")
+
+
+def invented_numbers(spark, sf_dir):
+    """Numbers of `cheating` that `theft` lacks."""
+    own = _t(spark, sf_dir, "multilingual_completion", "row_id", "theft", "cheating").where("theft is not null and cheating is not null")
+    return own.select("row_id", F.explode(C.invented_numbers(F.col("theft"), F.col("cheating"))).alias("number"))
+
+
+def item_analysis(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return analysis.analysis(_t(spark, sf_dir, "eval_items", "item_id", "text"), "item_id", "text", docs, docs.count())
+
+
+def repaired_once(spark, sf_dir):
+    """Composed forms of titles, each distinct title handled once."""
+    ship(spark)
+    own = _t(spark, sf_dir, "statute_supplements", "row_id", "title")
+    return analysis.once_per_value(own, "title", "composed", G.nfc_udf("NFC")("title")).select("row_id", "composed")
+
+
+def _folder(spark):
+    """The shared folder that the session names, or a temporary one where it names none (tests)."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    folder = tempfile.mkdtemp(prefix="lexloom-stream-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
+def streamed_windows(spark, sf_dir):
+    """The hourly windows, by a stream."""
+    events = stream.stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = stream.run(stream.windowed(events, "ts", ["event_type"], "1 hour", "400 days", value="value"), _folder(spark), "complete")
+    return out.select(F.unix_micros("w.start").alias("window_start"), "event_type", "n", "total")
+
+
+def streamed_pairs(spark, sf_dir):
+    """The event pairs, by a stream that carries state."""
+    events = stream.stream(spark, f"{sf_dir}/events.parquet")
+    out = stream.run(stream.paired(events, "user_id", "ts", "event_id", "event_type", "view", "purchase"), _folder(spark))
+    return out.select(F.col("key").alias("user_id"), "opened", "closed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query above by its name."""
     return {name: f for name, f in globals().items() if callable(f) and not name.startswith("_") and name != "queries" and name != "oracle_sql" and getattr(f, "__module__", "") == __name__}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexloom.functions import checks as C
 from lexloom.functions import dates as D
 from lexloom.functions import words
 
@@ -82,7 +83,18 @@ def oracle_sql() -> dict[str, str]:
     suffix = " ".join(f"WHEN suffix(word, '{s}') AND length(word) - {len(s)} >= 3 THEN word[1 : length(word) - {len(s)}]" for s in words.ENGLISH_SUFFIXES)
     letters = lambda c: f"regexp_replace(lower(coalesce({c}, '')), '[^a-z]', '', 'g')"
     scripts = " ".join(f"WHEN regexp_matches(theft, '{p}') THEN '{n}'" for n, p in words.SCRIPT_BLOCKS)
+    hourly = "SELECT epoch_us(date_trunc('hour', ts)) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL"
+    pairs = "WITH e AS (SELECT user_id, ts, event_type, lag(event_type) OVER w AS was, lag(ts) OVER w AS opened FROM events WHERE event_type IN ('view', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, epoch_us(opened) AS opened, epoch_us(ts) AS closed FROM e WHERE event_type = 'purchase' AND was = 'view'"
+    ascii_only = "regexp_full_match(theft, '[\\x00-\\x7F]*', 's')"
+    has_script = " ".join(f"WHEN '{c}' THEN regexp_matches(theft, '[\\x{{{b.split('-')[0]}}}-\\x{{{b.split('-')[1]}}}]')" for c, b in C.SCRIPTS.items())
     return {
+        "streamed_windows": hourly,
+        "streamed_pairs": pairs,
+        "english_like_texts": f"SELECT {ascii_only} AND len(regexp_extract_all(theft, '{C.ENGLISH_MARKERS}')) >= 2 AS english, count(*) AS n FROM multilingual_completion WHERE theft IS NOT NULL GROUP BY 1",
+        "script_mismatches": f"SELECT row_id, code FROM (SELECT row_id, theft, lower(split_part(language, '-', 1)) AS code FROM multilingual_completion WHERE theft IS NOT NULL) WHERE NOT CASE code WHEN 'en' THEN {ascii_only} {has_script} END",
+        "invented_numbers": f"SELECT row_id, unnest(list_filter(list_distinct({_numbers('cheating')}), lambda x: NOT list_contains({_numbers('theft')}, x))) AS number FROM multilingual_completion WHERE theft IS NOT NULL AND cheating IS NOT NULL",
+        "repaired_once": "SELECT row_id, nfc_normalize(title) AS composed FROM statute_supplements",
+        "composed_texts": "SELECT row_id, nfc_normalize(theft) AS nfc FROM multilingual_completion WHERE theft IS NOT NULL",
         "retrieval_topk": _SCORES + "SELECT item_id, row_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, row_id) AS rank FROM s) WHERE rank <= 3",
         "retrieval_by_code": _SCORES + "SELECT item_id, code, row_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id, code ORDER BY score DESC, row_id) AS rank FROM s) WHERE rank <= 3",
         "retrieval_diversified": _SCORES + ", g AS (SELECT *, row_number() OVER (PARTITION BY item_id, code ORDER BY score DESC, row_id) AS k FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k <> 1, CASE WHEN k = 1 THEN code END NULLS FIRST, score DESC, row_id) AS rank FROM g) SELECT item_id, code, row_id, score, rank FROM o WHERE rank <= 3",
@@ -136,12 +148,12 @@ def oracle_sql() -> dict[str, str]:
         "scenario_matrix": "WITH l AS (SELECT coalesce(lower(split_part(language, '-', 1)), '') AS code, field, text FROM (SELECT language, unnest(['theft', 'injury', 'cheating']) AS field, unnest([theft, injury, cheating]) AS text FROM multilingual_completion)) SELECT code, field, count(*) FILTER (text <> '') AS n FROM l GROUP BY code, field",
         "event_gaps": _VISITS + ", b AS (SELECT min(start) AS lo, max(\"end\") AS hi FROM iv), g AS (SELECT user_id, coalesce(lag(\"end\") OVER (PARTITION BY user_id ORDER BY start), lo) AS gap_start, start AS gap_end FROM iv, b UNION ALL SELECT user_id, max(\"end\"), any_value(hi) FROM iv, b GROUP BY user_id) SELECT * FROM g WHERE gap_start < gap_end",
         "retained_share": _VISITS + " SELECT user_id, round(sum(\"end\" - start) / (30 * 86400), 6) AS retained FROM iv GROUP BY user_id",
-        "event_pairs": "WITH e AS (SELECT user_id, ts, event_type, lag(event_type) OVER w AS was, lag(ts) OVER w AS opened FROM events WHERE event_type IN ('view', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, epoch_us(opened) AS opened, epoch_us(ts) AS closed FROM e WHERE event_type = 'purchase' AND was = 'view'",
+        "event_pairs": pairs,
         "contiguous_visits": _VISITS + " SELECT user_id, bool_and(coalesce(n = \"end\", true)) AS contiguous, min(start) AS low, max(\"end\") AS high FROM (SELECT *, lead(start) OVER (PARTITION BY user_id ORDER BY start) AS n FROM iv) GROUP BY user_id",
         "rising_values": "SELECT user_id, coalesce(bool_and(was IS NULL OR value > was), true) AS increasing FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) GROUP BY user_id",
         "filled_quota": "SELECT * FROM (SELECT l_suppkey, l_orderkey, l_linenumber, coalesce(sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS filled FROM lineitem) WHERE filled < 100",
         "late_deliveries": "WITH w AS (SELECT submitted_at IS NULL AS err, epoch_us(ingested_at) - epoch_us(submitted_at) AS wait FROM candidate_cases) SELECT CASE WHEN err THEN 'worker-error' WHEN wait IS NULL OR wait < 0 THEN 'invalid-timing' WHEN wait > 86400000000 THEN 'elapsed-budget-exceeded' ELSE 'none' END AS fault, count(*) AS n, count(*) FILTER (abs(wait) <= 3600000000) AS within_hour FROM w GROUP BY 1",
-        "hourly_windows": "SELECT epoch_us(date_trunc('hour', ts)) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL",
+        "hourly_windows": hourly,
         "user_sessions": "WITH l AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOURS, true) AS opens FROM events WHERE ts IS NOT NULL), s AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT user_id, epoch_us(min(ts)) AS session_start, count(*) AS n FROM s GROUP BY user_id, k",
         "doubtful_words": "WITH e AS (SELECT user_id, lower(event_type) AS word, min(value / 100) AS p FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND value / 100 < CASE WHEN regexp_matches(event_type, '[0-9]') THEN 0.75 ELSE 0.5 END GROUP BY ALL) SELECT * FROM (SELECT user_id, word, round(p, 6) AS p, row_number() OVER (PARTITION BY user_id ORDER BY e.p, word) AS rank FROM e) WHERE rank <= 8",
         "mean_confidence": "SELECT user_id, round(sum(value * length(event_type)) / sum(length(event_type)), 3) AS weighted, round(avg(value), 3) AS plain FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY user_id",
