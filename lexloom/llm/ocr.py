@@ -21,6 +21,8 @@ from lexloom.llm import base, pages
 from lexloom.llm.uniform import fold_text
 
 WORD = regex.compile(r"[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}]|'I'|'i'|['’](?=\p{L}{2}))*(?:-(?:[\p{L}\p{M}\p{N}]|'I'|'i')+)*|'[Ii]'[\p{L}\p{M}\p{N}]+(?:-[\p{L}\p{M}\p{N}]+)*")
+#: What a word can have been misread from: letters, with hyphens and apostrophes inside.
+PLAIN = regex.compile(r"\p{L}+(?:[-'’]\p{L}+)*")
 #: A word is known if at least so many clean rows have it.
 KNOWN = 2
 #: A line's shape that so many records have recurs.
@@ -52,8 +54,7 @@ def undone(word: str) -> dict[str, int]:
                 while at >= 0:
                     out.setdefault(w[:at] + meant + w[at + len(seen) :], step)
                     at = w.find(seen, at + 1)
-    out.pop(word, None)
-    return out
+    return {w: k for w, k in out.items() if w != word and k < len(word) and PLAIN.fullmatch(w)}
 
 
 def _edges(batches):
@@ -131,7 +132,7 @@ def readings(reads: DataFrame, words: DataFrame) -> DataFrame:
     """
     distinct = reads.where("kind in ('cut', 'word')").select("item", "rest").distinct()
     known = words.select(F.col("word").alias("item"))
-    unknown = distinct.where("rest = ''").join(known, "item", "left_anti").where(F.length("item") > 1)
+    unknown = distinct.where("rest = ''").join(known, "item", "left_anti").where(F.length("item") > 1).where(F.col("item").rlike(r"\p{L}"))
     asked = base.cut(unknown.unionByName(distinct.where("rest <> ''")))
     options = base.map_arrow(asked, _options, "item string, rest string, word string, cost int")
     best = options.join(words, "word").groupBy("item", "rest").agg(F.min_by(F.struct("word", "cost"), F.struct("cost", -F.col("n"), "word")).alias("b"))

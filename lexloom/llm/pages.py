@@ -9,11 +9,15 @@ import regex
 
 LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
 BARE = re.compile(r"^(?:[-–—]\s*(\d{1,5})\s*[-–—]|[\[(]\s*(\d{1,5})\s*[\])]|[Pp](?:age|AGE|g?\.)\s*(\d{1,5})|(\d{1,5}))$")
+#: A number indented this far is set off like one between dashes.
+CENTRED = 8
+#: A short line that introduces a value on a line of its own.
+VALUE_LABEL = regex.compile(r"^\p{Lu}[^.;:]{2,28}:$")
 SECTION_HEAD = regex.compile(r"^[S5]ec\.\s*\d+[A-Z]*\]\s+\p{L}*[\p{L}\d]")
 LABEL = re.compile(r"(?i)^(pro[vw]|e[xk]p|e[xk]c|ill?us)")
 HYPHENS = "-­¬‐‑"
 # What a misread character sequence stands for.
-MISREAD = (("c", "e"), ("1", "i"), ("1", "l"), ("f", "t"), ("0", "o"), ("5", "s"), ("9", "g"), ("6", "b"), ("b", "h"), ("m", "in"), ("cl", "d"), ("ii", "u"), ("rn", "m"), ("vv", "w"), ("h", "li"), ("'i'", "t"), ("8", "b"), ("l", "i"), ("i", "l"))
+MISREAD = (("c", "e"), ("1", "i"), ("1", "l"), ("f", "t"), ("0", "o"), ("5", "s"), ("9", "g"), ("6", "b"), ("b", "h"), ("m", "in"), ("m", "rn"), ("cl", "d"), ("ii", "u"), ("rn", "m"), ("vv", "w"), ("h", "li"), ("'i'", "t"), ("8", "b"), ("l", "i"), ("i", "l"))
 
 
 def lines(text: str) -> list[tuple[int, int]]:
@@ -52,7 +56,7 @@ def furniture(text: str, spans: list[tuple[int, int]], page: int | None, end_pag
     """For each line 'header', 'pagenum', 'maybe' (shaped like a header but known from no fact of the record), or None.
 
     A bare number is the page's only if it lies within the record's pages; without known pages it must stand next to a header or continue
-    the numbering of another such line. A line introduced by a colon is none.
+    the numbering of another such line. A bare number on the line after a value's label is the value.
     """
     out: list[str | None] = [None] * len(spans)
     words = [text[a:b].strip() for a, b in spans]
@@ -66,9 +70,9 @@ def furniture(text: str, spans: list[tuple[int, int]], page: int | None, end_pag
     numbers = {i: n for i, s in enumerate(words) if (n := number(s)) is not None}
     for i, n in numbers.items():
         before = next((words[k] for k in range(i - 1, -1, -1) if words[k]), "")
-        if before.endswith(":"):
+        bare = words[i].isdigit() and spans[i][1] - spans[i][0] - len(text[spans[i][0] : spans[i][1]].lstrip()) < CENTRED
+        if bare and VALUE_LABEL.match(before):
             continue
-        bare = words[i].isdigit()
         if page is not None:
             if page - (not bare) <= n <= last + (not bare):
                 out[i] = "pagenum"
