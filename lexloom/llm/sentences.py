@@ -48,7 +48,10 @@ CANDIDATE = regex.compile(
 )
 LAST_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:\.[\p{L}\p{M}\p{N}]+)*$")
 NEXT_WORDS = regex.compile(r"([\p{L}\p{M}\p{N}'’&-]+)(?:[^\S\n]*[\n]?[^\S\n]*([\p{L}\p{M}\p{N}'’&-]+))?")
-HEADING = regex.compile(r"\s*(?:[Ss]ec(?:tion|\.)?\s*)?\d{1,4}[A-Z]*\s*[.:][^.:;!?]*\Z")
+#: What a text begins with up to a mark that closes only its section's number or heading.
+HEADING = regex.compile(r"\s*(?:[Ss]ec(?:tion|\.)?\s*)?\d{1,4}[A-Z]*(?:\s*[.:][^.:;!?]*)?\Z")
+#: Scripts that use no closing marks: any beginning of a text is known there, however rare.
+UNMARKED = regex.compile(r"[฀-๿຀-໿က-႟ក-៿]")
 DIGITS = regex.compile(r"\p{N}+")
 
 
@@ -243,7 +246,7 @@ def _learn(texts: list[str]) -> Tagger:
             heads[DIGITS.sub("0", n[1].lower()[:16]), DIGITS.sub("0", (n[2] or "").lower()[:12])] += 1
         if ord(c.text[c.first]) > 0x7F:
             heads[c.text[c.first : c.first + 5]] += 1
-    starts = {h for h, k in heads.items() if k >= 3}
+    starts = {h for h, k in heads.items() if k >= 3 or isinstance(h, str) and UNMARKED.match(h)}
     data = []
     for c in chains:
         labels = certain(c, starts)
