@@ -55,7 +55,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "multilingual_completion", "row_id", "language", "theft", "injury", "cheating")
-    tagger = sentences.train([(rows, "row_id", field) for field in ("theft", "injury", "cheating")], limit=800)
+    tagger = sentences.train([(rows, "row_id", field) for field in ("theft", "injury", "cheating")], limit=480)
     model = languages.train(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang", rows, "row_id", "language", ("theft", "injury", "cheating"), tagger)
     return rows, languages.segments(rows, "row_id", "theft", tagger, model)
 

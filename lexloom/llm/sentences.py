@@ -23,22 +23,23 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm import base
 from lexloom.llm.uniform import fold
 
 SIZE = 1 << 17
-#: Texts of each field that the tagger is fitted on at most; which, is decided by a hash of the row.
-SAMPLE = 2500
+#: Texts of each field in Latin script that the tagger is fitted on at most; which, is decided by a hash of the row.
+SAMPLE = 2000
 ROUNDS = 4
+COPIES = 2
 QUOTE_SPAN = 240
 
 # Abbreviations, by what may follow them. Titles and labels introduce something; others may also end a sentence.
 BEFORE = frozenset("""rs dr mr mrs ms prof insp adv smt shri sri st no nos sec secs art ref vs viz subs ins omit fig vol pp cf i.e e.g g.n w.e.f pvt messrs capt
-रु डॉ क्र नं कि कि.मी श्री सौ পৃ নং কি কি.মি ডা ডাঃ રૂ ડૉ નં ક્ર કિ કિ.મી ரூ டாக்டர் கி கி.மீ எண் రూ డా నం కి కి.మీ సం ರೂ ಡಾ ಸಂ ನಂ ಕಿ ಕಿ.ಮೀ രൂ ഡോ നം കി കി.മീ ਰੁ ਡਾ ਨੰ ਕਿ ਕਿ.ਮੀ rupaye.no""".split())
-EITHER = frozenset("a.m p.m co ltd inc jr sr etc bros corp मी मि મી மீ మీ ಮೀ മീ ਮੀ মি".split())
+रु डॉ क्र नं कि कि.मी श्री सौ পৃ নং কি কি.মি ডা ডাঃ રૂ ડૉ નં ક્ર કિ કિ.મી ரூ டாக்டர் கி கி.மீ எண் రూ డా నం కి కి.మీ సం ರೂ ಡಾ ಸಂ ನಂ ಕಿ ಕಿ.ಮೀ രൂ ഡോ നം കി കി.മീ ਰੁ ਡਾ ਨੰ ਕਿ ਕਿ.ਮੀ मी મી மீ మీ ಮೀ മീ ਮੀ মি""".split())
+EITHER = frozenset("a.m p.m co ltd inc jr sr etc bros corp".split())
 MARKS = ".!?।॥۔。！？؟…"
 CLOSERS = "\"'”’»」』)]"
 PAIRS = {"“": "”", "「": "」", "『": "』", "«": "»"}
@@ -110,6 +111,8 @@ class Chain:
         head = text[max(0, start - 28) : start].rstrip()
         w = LAST_WORD.search(head)
         before = w[0] if w else head[-1:]
+        if "." in before and before.lower() not in BEFORE and before.lower() not in EITHER:
+            before = before.rpartition(".")[2]  # a sentence that ended without a space before this word
         low = before.lower()
         if mark[:1] == "." and len(mark) == 1 or not mark:
             kind = "B" if low in BEFORE else "E" if low in EITHER else "1" if len(before) == 1 and before.isupper() else "d" if low.isdigit() else "m" if len(low) <= 2 and low[-1:] > "\x7f" else "w"
@@ -129,9 +132,11 @@ def features(seen: tuple) -> list[int]:
     mark, quote, gap, before, kind, cls, one, two, left, right, inside, heading, bare = seen
     frame = f"{mark}|{quote}|{gap}"
     was, turned = _script(left.rstrip()[-1:] or " "), _turned(left, cls)
+    if not bare:
+        cls = cls[0]  # after a closing mark all uncased scripts are alike
     names = [f"a{frame}|{cls}|{kind}|{inside}|{heading}", f"b{mark}|{kind}|{cls}|{inside}", f"c{mark}|{kind}|{gap}", f"d{mark}|{kind}|{before}", f"e{mark}|{gap}|{cls}|{quote}", f"f{inside}", f"g{heading}|{mark}|{cls}", f"h{mark}|{kind}"]
     if bare:  # without a closing mark the words decide
-        names += [f"i{gap}|{one}", f"j{one} {two}", f"k{right}", f"l{right[:3]}", f"m{left[-2:]}|{gap}", f"n{left}|{right[:2]}", f"o{before}", f"p{before}|{cls}", f"y{was}|{cls}|{gap}", f"z{turned}|{gap}"]
+        names += [f"i{gap}|{cls}|{one}", f"j{cls}|{one} {two}", f"k{right}", f"l{right[:3]}", f"m{left[-2:]}|{gap}", f"n{left}|{right[:2]}", f"o{before}", f"p{before}|{cls}", f"y{was}|{cls}|{gap}", f"z{turned}|{gap}"]
     else:
         names += ["q", f"r{quote}|{cls}", f"s{before}|{cls}", f"t{gap}|{kind}|{cls}", f"u{quote}|{gap}", f"v{inside}|{mark}", f"w{heading}|{kind}", f"x{mark}|{cls}", "y", "z"]
     return [crc32(x.encode("utf-8", "surrogatepass")) & (SIZE - 1) for x in names]
@@ -160,7 +165,7 @@ def certain(chain: Chain, starts: set) -> list[bool]:
             if kind == "B" or kind == "1":
                 label = False
             elif kind == "E":
-                label = cls == "U"
+                label = cls == "U" or cls[0] == "o"
             elif not gap:
                 label = cls in "U[(\"" or cls[0] == "o" and kind == "w" and len(before) > 2
             else:
@@ -179,14 +184,14 @@ class Tagger:
     def __init__(self):
         self.weights, self.pairs = np.zeros(SIZE, np.float32), np.zeros((2, 2), np.float32)
 
-    def fit(self, chains: list[tuple[list[list[int]], list[bool]]], rounds: int = ROUNDS, seed: int = 7) -> Tagger:
+    def fit(self, chains: list[tuple[np.ndarray, list[bool]]], rounds: int = ROUNDS, seed: int = 7) -> Tagger:
         w, t = [0.0] * SIZE, [[0.0, 0.0], [0.0, 0.0]]
         sums, pair_sums, clock = {}, [[0.0, 0.0], [0.0, 0.0]], 1
         order, rng = list(range(len(chains))), random.Random(seed)
         for _ in range(rounds):
             rng.shuffle(order)
             for k in order:
-                feats, gold = chains[k]
+                feats, gold = chains[k][0].tolist(), chains[k][1]
                 guess = viterbi([sum(w[f] for f in fs) for fs in feats], t)
                 if guess != gold:
                     was = now = 1
@@ -213,8 +218,7 @@ class Tagger:
             return []
         if not chain.at:
             return [chain.first]
-        flat = np.array([features(s) for s in chain.seen])
-        tags = viterbi(self.weights[flat].sum(axis=1).tolist(), self.pairs.tolist())
+        tags = viterbi(self.weights[_table(chain)].sum(axis=1).tolist(), self.pairs.tolist())
         return [chain.first, *(at for at, tag in zip(chain.at, tags) if tag)]
 
 
@@ -251,23 +255,29 @@ def _learn(texts: list[str]) -> Tagger:
     for c in chains:
         labels = certain(c, starts)
         if c.at:
-            data.append(([features(s) for s in c.seen], labels))
-        copy, true = _careless(c, labels, rng)
-        if copy is not None and copy.at:
-            data.append(([features(s) for s in copy.seen], [at in true for at in copy.at]))
-    for _ in range(min(400, len(chains))):  # texts of two scripts, run together without a closing mark
-        a, b = rng.choice(chains), rng.choice(chains)
+            data.append((_table(c), labels))
+        for _ in range(COPIES):
+            copy, true = _careless(c, labels, rng)
+            if copy is not None and copy.at:
+                data.append((_table(copy), [at in true for at in copy.at]))
+    unmarked = [c for c in chains if UNMARKED.match(c.text, c.first)]
+    for k in range(min(400, len(chains)) + 2 * min(300, len(unmarked))):  # texts of two scripts, and of one that has no closing marks, run together
+        a, b = (rng.choice(chains), rng.choice(chains)) if k < min(400, len(chains)) else (rng.choice(unmarked), rng.choice(unmarked))
         head = a.text[:2000].rstrip().rstrip(MARKS + CLOSERS + " ")
-        if not head[-1:].isalpha() or not _turned(head[-1:], _script(b.text[b.first])):
+        if not (head[-1:].isalpha() and _turned(head[-1:], _script(b.text[b.first])) or UNMARKED.match(head[-1:]) and UNMARKED.match(b.text, b.first)):
             continue
         both = Chain(head + " " + b.text[b.first :])
         join = len(head) + 1
         if join in both.at:
             known = dict(zip((at for at in a.at if at < len(head)), certain(a, starts))) | {join: True} | {join + at - b.first: y for at, y in zip(b.at, certain(b, starts))}
-            data.append(([features(s) for s in both.seen], [known.get(at, False) for at in both.at]))
+            data.append((_table(both), [known.get(at, False) for at in both.at]))
     return Tagger().fit(data)
 
 
+def _table(chain: Chain) -> np.ndarray:
+    return np.array([features(s) for s in chain.seen], np.int32)
+
+
 def _careless(chain: Chain, labels: list[bool], rng: random.Random):
     """A copy of a text in which closing marks are stripped before line breaks and lines break elsewhere; and the places of its sentences."""
     text, out, true, at = chain.text, [], set(), 0
@@ -279,9 +289,10 @@ def _careless(chain: Chain, labels: list[bool], rng: random.Random):
         if p < len(text) and rng.random() < 0.5 and body[-1:] in MARKS and body[-2:-1].isalpha():
             body = body.rstrip(MARKS + " ")
             part = body + "\n"
-        blanks = [m.start() for m in regex.finditer(r"(?<=\w) (?=\w)", part)]
-        if blanks and rng.random() < 0.3:
-            b = rng.choice(blanks)
+        blanks = [m.start() for m in regex.finditer(r"(?<=[\w,]) (?=\w)", part)]
+        names = [m.start() for m in regex.finditer(r"(?<=[\w,]) (?=\p{Lu})", part)]
+        if blanks and rng.random() < 0.4:
+            b = rng.choice(names if names and rng.random() < 0.6 else blanks)
             part = part[:b] + "\n" + part[b + 1 :]
         out.append(part)
         size += len(part)
@@ -300,12 +311,19 @@ def _uniform_list(column: pa.Array) -> tuple[list[str], list[np.ndarray]]:
 
 
 def sample(fields: list[tuple[DataFrame, str, str]], limit: int = SAMPLE) -> list[str]:
-    """Uniform texts to learn from: of each (table, row id, text) at most `limit` distinct ones."""
+    """Uniform texts to learn from: of each (table, row id, text) at most `limit` distinct ones in Latin script and an eighth of that in
+    each other block of letters, so that a rare script is learnt too."""
     texts: list[str] = []
     for df, row_id, text in fields:
         own = df.select(F.col(row_id).alias("k"), F.col(text).cast("string").alias("t")).where("t is not null and t <> '' and length(t) < 20000")
-        texts += dict.fromkeys(r.t for r in own.orderBy(F.xxhash64("k"), "k").limit(limit).collect())
-    return _uniform_list(pa.array(texts, pa.string()))[0] if texts else []
+        own = own.withColumn("block", F.floor(F.ascii(F.regexp_extract("t", r"\p{L}", 0)) / 128))
+        place = F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64("k"), "k"))
+        chosen = own.withColumn("n", place).where(F.col("n") <= F.when(F.col("block") == 0, limit).otherwise(max(1, limit // 8)))
+        texts += dict.fromkeys(r.t for r in chosen.orderBy("k", "t").select("t").collect())
+    out: list[str] = []
+    for at in range(0, len(texts), 512):
+        out += _uniform_list(pa.array(texts[at : at + 512], pa.string()))[0]
+    return out
 
 
 def train(fields: list[tuple[DataFrame, str, str]], limit: int = SAMPLE) -> Tagger:
