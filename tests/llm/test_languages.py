@@ -12,7 +12,7 @@ FIELDS = ("theft", "injury", "cheating")
 @pytest.fixture(scope="module")
 def models(spark):
     rows = table(spark, SF, "multilingual_completion")
-    tagger = S.train([(rows, "row_id", f) for f in FIELDS], 800)
+    tagger = S.train([(rows, "row_id", f) for f in FIELDS], 480)
     return tagger, L.train(table(spark, SF, "documents"), "doc_id", "text", "lang", rows, "row_id", "language", FIELDS, tagger)
 
 
