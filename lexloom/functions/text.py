@@ -179,3 +179,30 @@ def speech_form(text: Col, variant: str = "spaced") -> Column:
         return F.regexp_replace(low, "[^a-z]", "")
     out = F.regexp_replace(low, r"[\p{P}\p{S}]", " " if variant == "spaced" else "")
     return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def escaped(text: Col) -> Column:
+    """Text safe inside HTML."""
+    out = _c(text)
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def period(values: Column, offence: Column) -> Column:
+    """The offence date, or the span of the dates, or that there is none."""
+    span = F.when(F.size(values) > 1, F.concat(F.array_min(values), F.lit(" to "), F.array_max(values)))
+    return F.coalesce(offence, span, F.lit("an unspecified date"))
+
+
+def media_type(header: Col) -> Column:
+    return F.lower(F.trim(F.element_at(F.split(_c(header), ";"), 1)))
+
+
+def detection_status(p: Column, supported: Column) -> Column:
+    return F.when(~supported, "unsupported").when(p >= 0.8, "detected").otherwise("uncertain")
+
+
+def relative_path(path: Col) -> Column:
+    """A path with forward slashes and without a leading "./"."""
+    return F.regexp_replace(F.replace(_c(path), F.lit("\\"), F.lit("/")), r"^(\./)+", "")

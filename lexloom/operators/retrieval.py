@@ -48,9 +48,9 @@ def scores(qtokens: DataFrame, dtokens: DataFrame, n_docs: int, bonus: float = T
     return matched.groupBy("qid", "doc").agg(F.sum(F.col("idf") + F.when(F.col("in_title"), F.lit(bonus)).otherwise(0.0)).alias("score"))
 
 
-def top(ranked: DataFrame, k: int = 3, by=("qid",), order=("score", "doc")) -> DataFrame:
-    """The k best per group, with `rank`; ties by the document's id."""
-    window = Window.partitionBy(*by).orderBy(F.col(order[0]).desc(), *(F.col(c) for c in order[1:]))
+def top(ranked: DataFrame, k: int = 3, by=("qid",), order=("score", "doc"), first=()) -> DataFrame:
+    """The k best per group, with `rank`; columns of `first` go before the score, greatest first; ties by the document's id."""
+    window = Window.partitionBy(*by).orderBy(*(F.col(c).desc() for c in first), F.col(order[0]).desc(), *(F.col(c) for c in order[1:]))
     return ranked.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 

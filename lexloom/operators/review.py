@@ -19,6 +19,13 @@ def doubtful_words(rows: DataFrame, by: str, word: str, p: str, floor: float = 0
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("p", "word"))).where(F.col("rank") <= limit)
 
 
+def doubtful_segments(rows: DataFrame, by: str, text: str, p: str, floor: float = 0.6, limit: int = 5, longest: int = 160) -> DataFrame:
+    """`by`, `text` (cut to `longest`, a feature of the report), `p`, `rank`: the least certain segments; ties by the text."""
+    low = rows.where((F.col(p) < floor) & (F.trim(text) != ""))
+    ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(p, text))).where(F.col("rank") <= limit)
+    return ranked.select(by, F.substring(F.trim(text), 1, longest).alias("text"), F.col(p).alias("p"), "rank")
+
+
 def weighted_confidence(p: Column, text: Column) -> Column:
     """Mean by length, as an aggregate."""
     return F.round(F.try_divide(F.sum(p * F.length(text)), F.sum(F.length(text))), 3)

@@ -15,7 +15,7 @@ from lexloom.functions import dates as D
 from lexloom.functions import grammar as G
 from lexloom.functions import text as T
 from lexloom.functions import words
-from lexloom.operators import corpus, evaluation, intervals, keyphrases, retrieval, review
+from lexloom.operators import corpus, evaluation, intervals, keyphrases, retrieval, review, validation
 from lexloom.plans import analysis
 from lexloom.session import ship
 from lexloom.streaming import events as stream
@@ -566,6 +566,81 @@ def repaired_once(spark, sf_dir):
     return analysis.once_per_value(own, "title", "composed", G.nfc_udf("NFC")("title")).select("row_id", "composed")
 
 
+def crosswalk_benchmark(spark, sf_dir):
+    """A query for either end of every edge: whether a statute of that provision stands first, or among three, by exact and mapped references."""
+    edges = _t(spark, sf_dir, "crosswalk_edges", "ipc", "bns")
+    asked = edges.select(F.concat_ws("-", F.lit("ipc"), "ipc", "bns").alias("qid"), F.lit("IPC").alias("code"), F.col("ipc").alias("section")).unionAll(edges.select(F.concat_ws("-", F.lit("bns"), "ipc", "bns"), F.lit("BNS"), "bns"))
+    docs = _documents(spark, sf_dir).where("section is not null").select(F.col("row_id").alias("doc"), F.col("code").alias("doc_code"), T.section_base("section").alias("base"), F.transform(F.coalesce("maps_to", F.array().cast("array<string>")), lambda m: F.element_at(F.split(m, "-r"), 1)).alias("maps_to"))
+    exact = asked.join(docs, (F.col("code") == F.col("doc_code")) & (F.col("section") == F.col("base"))).select("qid", "doc", F.lit(50).alias("points"))
+    names = docs.select("doc", "doc_code", F.explode("maps_to").alias("name"))
+    mapped = asked.withColumn("name", F.concat_ws("-", F.lower("code"), F.lower("section"))).join(names, "name").where("code <> doc_code").select("qid", "doc", F.lit(30).alias("points"))
+    ranked = retrieval.top(exact.unionAll(mapped).groupBy("qid", "doc").agg(F.sum("points").alias("score")), 3)
+    right = exact.select("qid", "doc").distinct().withColumn("hit", F.lit(True))
+    hits = ranked.join(right, ["qid", "doc"], "left").groupBy("qid").agg(F.coalesce(F.bool_or((F.col("rank") == 1) & F.col("hit")), F.lit(False)).alias("top1"), F.coalesce(F.bool_or("hit"), F.lit(False)).alias("top3"))
+    return asked.join(hits, "qid", "left").agg(F.count("*").alias("queries"), F.count_if("top1").alias("top1"), F.count_if("top3").alias("top3"), evaluation.percent(F.count_if("top1"), F.count("*"), 0.0).alias("top1_percent"))
+
+
+def localized_dates(spark, sf_dir):
+    """Dates written with Hindi month names."""
+    ship(spark)
+    months = G.locale_months(spark, ("hi",))
+    own = _t(spark, sf_dir, "eval_items", "item_id", "text", "lang").where("lang = 'hi'")
+    return own.select("item_id", F.explode(G.localized_dates_udf(months)("text")).alias("value"))
+
+
+def eligible_cases(spark, sf_dir):
+    """Dated, long enough cases of known stations that have no label and were not sent again."""
+    cases = _t(spark, sf_dir, "candidate_cases", "row_id", "case_id", "station", "submitted_at", "facts")
+    again = evaluation.repeated_keys(cases, "case_id")
+    condition = F.col("station").isNotNull() & F.col("submitted_at").isNotNull() & (F.length("facts") >= 50)
+    return validation.eligible(cases, condition, (_t(spark, sf_dir, "gold_labels", "case_id"), "case_id"), (again, "case_id")).select("row_id", "case_id")
+
+
+def provisions_without_text(spark, sf_dir):
+    """Labelled provisions that a mandatory join with the corpus would lose."""
+    wanted = _t(spark, sf_dir, "gold_labels", "correct_top3_provisions").select(F.explode("correct_top3_provisions").alias("p")).select(F.concat_ws(" ", "p.code", "p.section").alias("provision")).distinct()
+    known = _t(spark, sf_dir, "statute_supplements", "code", "section").where("section is not null").select(F.concat_ws(" ", "code", T.section_base("section")).alias("provision"))
+    return validation.unmatched(wanted, known, "provision")
+
+
+def aligned_deliveries(spark, sf_dir):
+    """Records of the two codes with the same section, side by side in order: how many places each fills."""
+    own = _t(spark, sf_dir, "statute_supplements", "row_id", "code", "section").where("section is not null")
+    both = validation.aligned(own.where("code = 'IPC'"), own.where("code = 'BNS'"), "section", "row_id", "row_id")
+    return both.groupBy("section").agg(F.count("row_id_a").alias("ipc"), F.count("row_id_b").alias("bns"), F.count("*").alias("places"))
+
+
+def code_bounds(spark, sf_dir):
+    return validation.bounds_kept(_t(spark, sf_dir, "statute_supplements", "code"), "code", {"IPC": 450, "BNS": 358, "CRPC": 1})
+
+
+def lost_numbers(spark, sf_dir):
+    """Numbers of `theft` that `injury` keeps and `cheating` loses."""
+    own = _t(spark, sf_dir, "multilingual_completion", "row_id", "theft", "injury", "cheating").where("theft is not null and injury is not null and cheating is not null")
+    return own.select("row_id", F.explode(validation.lost_cues(F.col("theft"), F.col("injury"), F.col("cheating"))).alias("cue"))
+
+
+def doubtful_segments(spark, sf_dir):
+    own = _t(spark, sf_dir, "events", "user_id", "event_id", "event_type", "value").where("value is not null and not isnan(value)")
+    own = own.select("user_id", F.concat_ws(" ", "event_type", "event_id").alias("segment"), (F.col("value") / 100).alias("p"))
+    return review.doubtful_segments(own, "user_id", "segment", "p").select("user_id", "text", F.round("p", 6).alias("p"), "rank")
+
+
+def case_periods(spark, sf_dir):
+    own = _dated(spark, sf_dir)
+    return own.select("row_id", T.period(F.transform("dates", lambda d: d["value"]), F.col("offence")).alias("period"))
+
+
+def escaped_titles(spark, sf_dir):
+    return _t(spark, sf_dir, "statute_supplements", "row_id", "title").where("title is not null").select("row_id", T.escaped(F.concat(F.lit("<"), "title", F.lit("> & 'it'"))).alias("html"))
+
+
+def repaired_transcripts(spark, sf_dir):
+    ship(spark)
+    own = _t(spark, sf_dir, "documents", "doc_id", "text", "lang").where("lang = 'en'").withColumn("r", G.transcript_udf()("text"))
+    return own.select("doc_id", F.length("r.text").alias("length"), F.size("r.corrections").alias("corrections"))
+
+
 def _folder(spark):
     """The shared folder that the session names, or a temporary one where it names none (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -82,3 +82,15 @@ def write_by_code(df: DataFrame, path: str, code: str) -> None:
 def forbidden_columns(df: DataFrame, names: tuple[str, ...]) -> list[str]:
     """Columns that an input must not have, whatever their case."""
     return [c for c in df.columns if c.lower().replace("_", "") in {n.lower().replace("_", "") for n in names}]
+
+
+def gated(spark: SparkSession, path: str, schema: str, sha256: str) -> DataFrame:
+    """A catalog's rows if its file has the expected digest, else none."""
+    found = digests(spark, path).where(F.col("sha256") == sha256).limit(1).count()
+    rows = json_array(spark, path, schema)
+    return rows if found else rows.limit(0)
+
+
+def registered_changes(found: DataFrame, registered: DataFrame) -> DataFrame:
+    """`file` of registered inputs that are gone or have another digest."""
+    return identity_problems(found, registered).where("problem <> 'unlisted'").select("file")

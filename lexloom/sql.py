@@ -16,6 +16,7 @@ def _tokens(text: str) -> str:
     return f"list_filter(string_split(trim(regexp_replace(lower(coalesce({text}, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: length(t) > 1 AND t NOT IN ({_list(words.RETRIEVAL_STOP)}) AND NOT regexp_matches(t, '^[0-9]{{1,4}}$'))"
 
 
+_REPEALED = r"regexp_matches(coalesce(title, '') || ' ' || coalesce(text, '')[1:80], '(?i)\brepealed\b|\[repealed\]|^\s*rep\.\s+by')"
 _SCORES = f"""
 WITH docs AS (SELECT * FROM statute_supplements WHERE NOT regexp_matches(coalesce(title, '') || ' ' || coalesce(text, '')[1:80], '(?i)\\brepealed\\b|\\[repealed\\]|^\\s*rep\\.\\s+by')),
 b AS (SELECT row_id, code, list_distinct({_tokens("concat_ws(' ', section, title, text, array_to_string(keywords, ' '))")}) AS body, {_tokens("title")} AS head FROM docs),
@@ -87,7 +88,30 @@ def oracle_sql() -> dict[str, str]:
     pairs = "WITH e AS (SELECT user_id, ts, event_type, lag(event_type) OVER w AS was, lag(ts) OVER w AS opened FROM events WHERE event_type IN ('view', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, epoch_us(opened) AS opened, epoch_us(ts) AS closed FROM e WHERE event_type = 'purchase' AND was = 'view'"
     ascii_only = "regexp_full_match(theft, '[\\x00-\\x7F]*', 's')"
     has_script = " ".join(f"WHEN '{c}' THEN regexp_matches(theft, '[\\x{{{b.split('-')[0]}}}-\\x{{{b.split('-')[1]}}}]')" for c, b in C.SCRIPTS.items())
-    return {
+    hindi = "जनवरी फ़रवरी मार्च अप्रैल मई जून जुलाई अगस्त सितंबर अक्तूबर नवंबर दिसंबर".split()  # fixed values: the months
+    hindi_cases = " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(hindi, 1))
+    hindi_get = lambda g: rf"unnest(regexp_extract_all(text, '([0-9]{{1,2}})\s+({'|'.join(hindi)}),?\s+(20[0-9]{{2}})', {g}))"
+    base = "nullif(regexp_extract(replace(section, ' ', ''), '^[0-9]{1,3}[A-Z]*'), '')"
+    html = "'<' || title || '> & ''it'''"
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
+        html = f"replace({html}, '{a}', '{b}')"
+    more = {
+        "crosswalk_benchmark": "WITH a AS (SELECT concat_ws('-', 'ipc', ipc, bns) AS qid, 'IPC' AS code, ipc AS section FROM crosswalk_edges UNION ALL SELECT concat_ws('-', 'bns', ipc, bns), 'BNS', bns FROM crosswalk_edges), "
+        f"d AS (SELECT row_id AS doc, code, {base} AS base, maps_to FROM statute_supplements WHERE section IS NOT NULL AND NOT {_REPEALED}), x AS (SELECT qid, doc, 50 AS points FROM a JOIN d ON a.code = d.code AND a.section = base), "
+        "m AS (SELECT qid, doc, 30 AS points FROM (SELECT doc, code, split_part(unnest(maps_to), '-r', 1) AS name FROM d) n JOIN a ON name = lower(a.code) || '-' || lower(a.section) AND a.code <> n.code), s AS (SELECT qid, doc, sum(points) AS score FROM (SELECT * FROM x UNION ALL SELECT * FROM m) GROUP BY ALL), "
+        "r AS (SELECT s.*, x.doc IS NOT NULL AS hit, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS rank FROM s LEFT JOIN (SELECT DISTINCT qid, doc FROM x) x USING (qid, doc)), h AS (SELECT qid, bool_or(rank = 1 AND hit) AS t1, bool_or(hit) AS t3 FROM r WHERE rank <= 3 GROUP BY qid) "
+        "SELECT count(*) AS queries, count(*) FILTER (t1) AS top1, count(*) FILTER (t3) AS top3, round(count(*) FILTER (t1) * 100.0 / count(*), 2) AS top1_percent FROM a LEFT JOIN h USING (qid)",
+        "localized_dates": f"SELECT item_id, format('{{}}-{{:02d}}-{{:02d}}', y, CASE m {hindi_cases} END, d::INTEGER) AS value FROM (SELECT item_id, {hindi_get(1)} AS d, {hindi_get(2)} AS m, {hindi_get(3)} AS y FROM eval_items WHERE lang = 'hi')",
+        "eligible_cases": "SELECT row_id, case_id FROM candidate_cases WHERE station IS NOT NULL AND submitted_at IS NOT NULL AND length(facts) >= 50 AND case_id NOT IN (SELECT case_id FROM gold_labels) AND case_id NOT IN (SELECT case_id FROM candidate_cases GROUP BY case_id HAVING count(*) > 1)",
+        "provisions_without_text": f"WITH w AS (SELECT DISTINCT concat_ws(' ', p.code, p.section) AS provision FROM (SELECT unnest(correct_top3_provisions) AS p FROM gold_labels)) SELECT provision FROM w WHERE provision NOT IN (SELECT concat_ws(' ', code, {base}) FROM statute_supplements WHERE section IS NOT NULL)",
+        "aligned_deliveries": "WITH r AS (SELECT section, code, row_number() OVER (PARTITION BY section, code ORDER BY row_id) AS k FROM statute_supplements WHERE section IS NOT NULL AND code IN ('IPC', 'BNS')) SELECT section, count(*) FILTER (code = 'IPC') AS ipc, count(*) FILTER (code = 'BNS') AS bns, max(k) AS places FROM r GROUP BY section",
+        "code_bounds": "SELECT w.code, count(s.row_id) AS n, least, count(s.row_id) >= least AS kept FROM (VALUES ('IPC', 450), ('BNS', 358), ('CRPC', 1)) AS w(code, least) LEFT JOIN statute_supplements s ON s.code = w.code GROUP BY w.code, least",
+        "lost_numbers": f"SELECT row_id, unnest(list_filter(list_distinct({_numbers('theft')}), lambda x: list_contains({_numbers('injury')}, x) AND NOT list_contains({_numbers('cheating')}, x))) AS cue FROM multilingual_completion WHERE theft IS NOT NULL AND injury IS NOT NULL AND cheating IS NOT NULL",
+        "doubtful_segments": "SELECT * FROM (SELECT user_id, concat_ws(' ', event_type, event_id) AS text, round(value / 100, 6) AS p, row_number() OVER (PARTITION BY user_id ORDER BY value / 100, concat_ws(' ', event_type, event_id)) AS rank FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND value / 100 < 0.6) WHERE rank <= 5",
+        "case_periods": _ROUTES + "SELECT r.row_id, coalesce(offence, CASE WHEN r.n_dates > 1 THEN low || ' to ' || high END, 'an unspecified date') AS period FROM routes r LEFT JOIN by_case USING (row_id)",
+        "escaped_titles": f"SELECT row_id, {html} AS html FROM statute_supplements WHERE title IS NOT NULL",
+    }
+    return more | {
         "streamed_windows": hourly,
         "streamed_pairs": pairs,
         "english_like_texts": f"SELECT {ascii_only} AND len(regexp_extract_all(theft, '{C.ENGLISH_MARKERS}')) >= 2 AS english, count(*) AS n FROM multilingual_completion WHERE theft IS NOT NULL GROUP BY 1",
