@@ -11,6 +11,7 @@ give repeated results; an unknown, null or empty label names no language; an emp
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -30,10 +31,11 @@ NAMES = {
 }
 CODES = tuple(NAMES)
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (1, 2, 3, 4)
-EPOCHS, STEP, BATCH = 4, 2.0, 64
+EPOCHS, STEP, BATCH = 5, 2.0, 64
 DOUBT = 0.6
+SHARE = 0.05
 #: Labelled documents of each language, and labelled rows, to train on at most.
-DOCUMENTS, ROWS = 80, 1200
+DOCUMENTS, ROWS = 80, 1800
 PRECISION = 0.998
 LETTER = regex.compile(r"\p{L}")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -156,10 +158,23 @@ def _parts(tagger: Tagger, text: str) -> list[tuple[int, int]]:
     return [(a, a + len(text[a:b].rstrip())) for a, b in zip(at, [*at[1:], len(text)])]
 
 
+def _script(text: str) -> str:
+    """The script of most letters, by the Unicode names of the first of them."""
+    found = Counter(unicodedata.name(c, "?").split()[0] for c in LETTER.findall(text)[:60])
+    return found.most_common(1)[0][0] if found else "?"
+
+
+def _plausible(labelled: list[tuple]) -> list[tuple]:
+    """Labelled sentences without those whose label fewer than SHARE of the sentences in their script have: such labels are mostly wrong."""
+    scripts = [_script(t) for _, t, _ in labelled]
+    total, of = Counter(scripts), Counter((s, y) for s, (_, _, y) in zip(scripts, labelled))
+    return [x for s, x in zip(scripts, labelled) if of[s, x[2]] >= SHARE * total[s]]
+
+
 def train(documents: DataFrame, doc_id: str, text: str, lang: str, rows: DataFrame, row_id: str, label: str, fields: tuple[str, ...], tagger: Tagger) -> Identifier:
     """Fits on sentences of at most DOCUMENTS documents a language and of at most ROWS labelled rows, chosen by hashes of the ids.
 
-    A first fit is on all of them; sentences that it gives to another language with a confidence of DOUBT leave the second, since few
+    Labels that are rare in a sentence's script are left out. A first fit is on the rest; sentences that it gives to another language with a confidence of DOUBT leave the second, since few
     labels are wrong and a language that is written in several scripts has most of its sentences labelled rightly in each.
     """
     own = documents.select(F.col(doc_id).alias("k"), F.col(text).cast("string").alias("t"), language_expr(lang).alias("y")).where("t is not null and t <> '' and y is not null")
@@ -186,7 +201,7 @@ def train(documents: DataFrame, doc_id: str, text: str, lang: str, rows: DataFra
                         votes[form][CODES.index(y)] += 1
         return [(*seen[form], votes[form].most_common(1)[0][0]) for form in sorted(seen)]
 
-    first, second = split(docs), split(more) if more else []
+    first, second = split(docs), _plausible(split(more)) if more else []
     balance = lambda y: (np.bincount(y, minlength=len(CODES)).clip(1) ** -0.5)[y]
     both = first + second
     y = np.array([c for _, _, c in both])

@@ -33,6 +33,8 @@ SIZE = 1 << 17
 #: Texts of each field in Latin script that the tagger is fitted on at most; which, is decided by a hash of the row.
 SAMPLE = 2000
 ROUNDS = 4
+#: By how much the right tags must win in training.
+MARGIN = 2.0
 COPIES = 2
 QUOTE_SPAN = 240
 
@@ -192,7 +194,7 @@ class Tagger:
             rng.shuffle(order)
             for k in order:
                 feats, gold = chains[k][0].tolist(), chains[k][1]
-                guess = viterbi([sum(w[f] for f in fs) for fs in feats], t)
+                guess = viterbi([sum(w[f] for f in fs) + (-MARGIN if y else MARGIN) for fs, y in zip(feats, gold)], t)
                 if guess != gold:
                     was = now = 1
                     for fs, g, y in zip(feats, guess, gold):
@@ -261,10 +263,15 @@ def _learn(texts: list[str]) -> Tagger:
             if copy is not None and copy.at:
                 data.append((_table(copy), [at in true for at in copy.at]))
     unmarked = [c for c in chains if UNMARKED.match(c.text, c.first)]
-    for k in range(min(400, len(chains)) + 2 * min(300, len(unmarked))):  # texts of two scripts, and of one that has no closing marks, run together
-        a, b = (rng.choice(chains), rng.choice(chains)) if k < min(400, len(chains)) else (rng.choice(unmarked), rng.choice(unmarked))
-        head = a.text[:2000].rstrip().rstrip(MARKS + CLOSERS + " ")
-        if not (head[-1:].isalpha() and _turned(head[-1:], _script(b.text[b.first])) or UNMARKED.match(head[-1:]) and UNMARKED.match(b.text, b.first)):
+    for k in range(2 * min(400, len(chains)) + 2 * min(300, len(unmarked))):
+        a, b = (rng.choice(unmarked), rng.choice(unmarked)) if k >= 2 * min(400, len(chains)) else (rng.choice(chains), rng.choice(chains))
+        head = a.text[:2000].rstrip()
+        if k < min(400, len(chains)):  # texts one after the other, whatever their scripts
+            runs = head[-1:] in MARKS
+        else:  # texts of two scripts, and of one that has no closing marks, run together without a mark
+            head = head.rstrip(MARKS + CLOSERS + " ")
+            runs = head[-1:].isalpha() and _turned(head[-1:], _script(b.text[b.first])) or UNMARKED.match(head[-1:]) and UNMARKED.match(b.text, b.first)
+        if not runs:
             continue
         both = Chain(head + " " + b.text[b.first :])
         join = len(head) + 1
