@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.operators import ordered
 
 
 def overlay(base: DataFrame, extra: DataFrame, key: str) -> DataFrame:
@@ -42,22 +43,21 @@ def keyword_lists(df: DataFrame, key: str, title: str, text: str, k: int = 16) -
 
 def page_offsets(pages: DataFrame, book: str, order: list[str], text: str, gap: int = 2) -> DataFrame:
     """Adds `page_start`: where a page's text begins in its book, with `gap` characters between pages."""
-    before = Window.partitionBy(book).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return pages.withColumn("page_start", F.coalesce(F.sum(F.coalesce(F.length(text), F.lit(0)).cast("long") + gap).over(before), F.lit(0).cast("long")))
+    size = F.coalesce(F.length(text), F.lit(0)).cast("long") + gap
+    return ordered.running(pages, [book], order, size, "page_start").withColumn("page_start", F.coalesce("page_start", F.lit(0).cast("long")))
 
 
 def as_of(points: DataFrame, starts: DataFrame, by: str, at: str, start: str, value: str) -> DataFrame:
     """Adds to each point the `value` of the last start at or before it in its group: one sort by group and place, no range join."""
     own = points.select("*", F.lit(None).cast(starts.schema[value].dataType).alias(f"__{value}"), F.col(at).alias("__at"), F.lit(1).alias("__point"))
     other = starts.select(by, F.col(value).alias(f"__{value}"), F.col(start).alias("__at"), F.lit(0).alias("__point"))
-    window = Window.partitionBy(by).orderBy("__at", "__point").rowsBetween(Window.unboundedPreceding, 0)
-    both = own.unionByName(other, allowMissingColumns=True).withColumn(value, F.last(f"__{value}", ignorenulls=True).over(window))
+    both = ordered.last_known(own.unionByName(other, allowMissingColumns=True), [by], ["__at", "__point"], f"__{value}", value)
     return both.where("__point = 1").drop(f"__{value}", "__at", "__point")
 
 
 def spans(starts: DataFrame, by: str, order: list[str], start: str, end: str = "span_end") -> DataFrame:
     """Adds the next row's start as the end of a span; the last of a group is open."""
-    return starts.withColumn(end, F.lead(start).over(Window.partitionBy(by).orderBy(*order)))
+    return ordered.neighbour(starts, [by], order, [start], "__next", following=True).withColumn(end, F.col(f"__next.{start}")).drop("__next")
 
 
 def manifest(records: DataFrame, code: str, kind: str) -> DataFrame:

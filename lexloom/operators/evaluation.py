@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.operators import ordered
+
 
 def percent(hits: Column, total: Column, empty: float | None = None) -> Column:
     """100 * hits / total with two decimals; `empty` where the total is 0."""
@@ -105,6 +107,7 @@ def reserves(df: DataFrame, by: str, order: list[str], identity: str, eligible:
     """All rows in a frozen order with `choice`: chosen (the first n eligible of a group), reserve, repeated, or ineligible."""
     same = Window.partitionBy(by, identity).orderBy(*order)
     marked = df.withColumn("__ok", F.coalesce(eligible, F.lit(False))).withColumn("__again", F.row_number().over(same) > 1)
-    marked = marked.withColumn("__n", F.sum(F.when(F.col("__ok") & ~F.col("__again"), 1).otherwise(0)).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    counts = F.when(F.col("__ok") & ~F.col("__again"), 1).otherwise(0)
+    marked = ordered.running(marked, [by], order, counts, "__n").withColumn("__n", F.coalesce("__n", F.lit(0)) + counts)
     choice = F.when(~F.col("__ok"), "ineligible").when(F.col("__again"), "repeated").when(F.col("__n") <= n, "chosen").otherwise("reserve")
     return marked.withColumn("choice", choice).drop("__ok", "__again", "__n")

@@ -1,16 +1,17 @@
-"""Ordered rows, intervals and paired events, as windows over one sort per group."""
+"""Ordered rows, intervals and paired events."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.operators import ordered
+
 
 def gaps(intervals: DataFrame, by: str, start: str, end: str, low: Column, high: Column) -> DataFrame:
     """`by`, `gap_start`, `gap_end`: what intervals leave free of [low, high); they may touch, overlap or nest."""
-    order = Window.partitionBy(by).orderBy(start, end)
-    until = F.coalesce(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), low)
-    inner = intervals.select(by, until.alias("gap_start"), F.col(start).alias("gap_end"))
+    until = ordered.running(intervals, [by], [start, end], end, "__until", F.max)
+    inner = until.select(by, F.coalesce("__until", low).alias("gap_start"), F.col(start).alias("gap_end"))
     last = intervals.groupBy(by).agg(F.greatest(F.max(end), low).alias("gap_start")).select(by, "gap_start", high.alias("gap_end"))
     return inner.unionByName(last).where("gap_start < gap_end")
 
@@ -21,29 +22,29 @@ def retained(intervals: DataFrame, by: str, start: str, end: str, total: Column)
 
 def pairs(events: DataFrame, by: str, at: str, tie: str, kind: str, opens: str, closes: str) -> DataFrame:
     """`by`, `opened`, `closed`: each closing event with the last opening one before it, if no closing one lies between; stray closings are left out."""
-    order = Window.partitionBy(by).orderBy(at, tie)
     own = events.where(F.col(kind).isin(opens, closes)).select(by, at, tie, kind)
-    own = own.withColumn("__was", F.lag(kind).over(order)).withColumn("__at", F.lag(at).over(order))
-    return own.where((F.col(kind) == closes) & (F.col("__was") == opens)).select(by, F.col("__at").alias("opened"), F.col(at).alias("closed"))
+    own = ordered.neighbour(own, [by], [at, tie], [kind, at], "__was")
+    return own.where((F.col(kind) == closes) & (F.col(f"__was.{kind}") == opens)).select(by, F.col(f"__was.{at}").alias("opened"), F.col(at).alias("closed"))
 
 
 def contiguous(windows: DataFrame, by: str, start: str, end: str) -> DataFrame:
     """`by`, `contiguous`, `low`, `high`: whether each window ends where the next begins."""
-    following = F.lead(start).over(Window.partitionBy(by).orderBy(start, end))
-    own = windows.select(by, start, end, following.alias("__next"))
-    return own.groupBy(by).agg(F.coalesce(F.bool_and(F.col("__next").isNull() | (F.col("__next") == F.col(end))), F.lit(True)).alias("contiguous"), F.min(start).alias("low"), F.max(end).alias("high"))
+    own = ordered.neighbour(windows.select(by, start, end), [by], [start, end], [start], "__next", following=True)
+    meets = F.col(f"__next.{start}").isNull() | (F.col(f"__next.{start}") == F.col(end))
+    return own.groupBy(by).agg(F.coalesce(F.bool_and(meets), F.lit(True)).alias("contiguous"), F.min(start).alias("low"), F.max(end).alias("high"))
 
 
 def increasing(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
     """`by`, `increasing`: whether a value strictly rises in a given order."""
-    own = rows.withColumn("__was", F.lag(value).over(Window.partitionBy(by).orderBy(*order)))
-    return own.groupBy(by).agg(F.coalesce(F.bool_and(F.col("__was").isNull() | (F.col(value) > F.col("__was"))), F.lit(True)).alias("increasing"))
+    own = ordered.neighbour(rows, [by], order, [value], "__was")
+    rises = F.col(f"__was.{value}").isNull() | (F.col(value) > F.col(f"__was.{value}"))
+    return own.groupBy(by).agg(F.coalesce(F.bool_and(rises), F.lit(True)).alias("increasing"))
 
 
 def fill_up_to(rows: DataFrame, by: str, order: list[str], size: str, target: float) -> DataFrame:
     """Rows of a group in order until their sizes reach the target, with `filled` (sum before each)."""
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return rows.withColumn("filled", before).where(F.col("filled") < target)
+    own = ordered.running(rows, [by], order, size, "filled").withColumn("filled", F.coalesce("filled", F.lit(0.0)))
+    return own.where(F.col("filled") < target)
 
 
 def drift(wall: Column, elapsed: Column, allowed: float = 1000.0) -> Column:
