@@ -35,9 +35,9 @@ def excerpt(text: Col, tokens: Column, size: int = 560) -> Column:
 
 def tidy(text: Col) -> Column:
     """Without invisible characters and controls, with single spaces and none before punctuation."""
-    out = F.regexp_replace(_c(text), r"[​‎‏⁠﻿]", "")
+    out = F.regexp_replace(_c(text), r"[\x{200B}\x{200E}\x{200F}\x{2060}\x{FEFF}]", "")
     out = F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
-    out = F.regexp_replace(out, r"[ \t ]+", " ")
+    out = F.regexp_replace(out, r"[ \t\x{00A0}]+", " ")
     return F.trim(F.regexp_replace(out, r"\s+([,.;:!?।۔])", "$1"))
 
 

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import zipfile
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,15 +34,21 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the workers this package, once per application: Spark's own file server hands the archive to each executor, late ones too."""
+    """Gives the workers this package, once per application: Spark's own file server hands the archive to each executor, late ones too. The
+    archive lies in the session's shared folder, where it names one."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
     root = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="lexloom-package-")
+    shared = sc.getConf().get("spark.checkpoint.dir", "")
+    if shared.startswith(("/", "file:")):  # a folder that all machines share
+        folder = Path(urlparse(shared).path) / f"lexloom-package-{sc.applicationId}"
+        folder.mkdir(parents=True, exist_ok=True)
+    else:
+        folder = Path(tempfile.mkdtemp(prefix="lexloom-package-"))
     atexit.register(shutil.rmtree, folder, True)
-    archive = Path(folder) / "lexloom_package.zip"
+    archive = folder / "lexloom_package.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, Path(root.name) / path.relative_to(root))

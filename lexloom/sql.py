@@ -111,6 +111,17 @@ def oracle_sql() -> dict[str, str]:
         "case_periods": _ROUTES + "SELECT r.row_id, coalesce(offence, CASE WHEN r.n_dates > 1 THEN low || ' to ' || high END, 'an unspecified date') AS period FROM routes r LEFT JOIN by_case USING (row_id)",
         "escaped_titles": f"SELECT row_id, {html} AS html FROM statute_supplements WHERE title IS NOT NULL",
     }
+    collapsed = r"regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^[ .\-]+|[ .\-]+$', '', 'g')"
+    first = rf"regexp_replace({collapsed}, '^(.*?[.;:])\s.*$', '\1')"
+    title = f"regexp_replace(array_to_string(string_split({first}, ' ')[1:14], ' '), '[.,;:]+$', '')"
+    tidy = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(theft, '[\x{200B}\x{200E}\x{200F}\x{2060}\x{FEFF}]', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g'), '[ \t\x{00A0}]+', ' ', 'g'), '\s+([,.;:!?।۔])', '\1', 'g'))"
+    anchor = f"list_min(list_filter(list_transform(list_filter({_tokens('q')}, lambda t: length(t) > 3), lambda t: instr(lower(text), t)), lambda p: p > 0))"
+    more |= {
+        "derived_titles": f"SELECT row_id, CASE WHEN coalesce({title}, '') = '' THEN 'Statutory provision' ELSE {title} END AS derived, {base} AS base FROM statute_supplements",
+        "tidied": f"SELECT row_id, {tidy} AS tidy FROM multilingual_completion WHERE theft IS NOT NULL",
+        "excerpts": _SCORES + f", t AS (SELECT item_id, row_id FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, row_id) = 1), x AS (SELECT t.item_id, t.row_id, i.text AS q, d.text FROM t JOIN eval_items i USING (item_id) JOIN statute_supplements d USING (row_id)), y AS (SELECT *, greatest(1, coalesce({anchor}, 1) - 80) AS a FROM x) SELECT item_id, row_id, CASE WHEN length(text) <= 560 THEN text ELSE CASE WHEN a > 1 THEN '...' ELSE '' END || trim(text[a : a + 559]) || '...' END AS excerpt FROM y",
+        "citations": "SELECT row_id, to_json(struct_pack(id := id, citation := code || ' ' || section || ': ' || title || ' (' || source.authority || ', ' || source.file || coalesce(', p. ' || source.page, '') || ')'))::VARCHAR AS json FROM statute_supplements WHERE source.file IS NOT NULL AND section IS NOT NULL AND title IS NOT NULL",
+    }
     return more | {
         "streamed_windows": hourly,
         "streamed_pairs": pairs,
