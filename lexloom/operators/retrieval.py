@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.session import cut
 
 #: A set of query tokens of at most so many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -42,7 +43,7 @@ def scores(qtokens: DataFrame, dtokens: DataFrame, n_docs: int, bonus: float = T
     distinct = qtokens.select("token").distinct()
     small = qtokens.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     mark = F.broadcast if small else (lambda x: x)
-    used = dtokens.join(mark(distinct), "token", "left_semi")
+    used = cut(dtokens.join(mark(distinct), "token", "left_semi"))  # read twice below; the corpus is tokenised once
     weight = document_frequency(used).select("token", idf(F.col("df"), n_docs).alias("idf"))
     matched = used.join(mark(qtokens.join(weight, "token")), "token")
     return matched.groupBy("qid", "doc").agg(F.sum(F.col("idf") + F.when(F.col("in_title"), F.lit(bonus)).otherwise(0.0)).alias("score"))
