@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.session import ship
+from lexloom.session import cut, ship  # noqa: F401
 
 #: A worker handles at most this many bytes of text at once, whatever Arrow batch it is given.
 SLICE_BYTES = 4 << 20
+OVERSAMPLE = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -30,16 +28,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows behind a reliable checkpoint in the folder that the session names; a temporary folder only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="lexloom-checkpoint-")
-            atexit.register(shutil.rmtree, folder, True)
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+def sampled(df: DataFrame, key: str, limit: Column | int, by: str | None = None) -> DataFrame:
+    """At most `limit` rows of each value of `by` (of all, if None), those whose keys hash least.
+
+    Rows are counted first, and only those under a hash that lets about OVERSAMPLE times the limit through are ordered, so that what tasks
+    send on doesn't grow with their number. by: a column of few values; limit: a number, or an expression of `by`.
+    """
+    group = F.col(by) if by else F.lit(0)
+    own = df.withColumn("__g", group).withColumn("__h", F.xxhash64(F.col(key)))
+    size = own.groupBy("__g").agg(F.count("*").alias("__n")).select(F.col("__g").alias("__s"), "__n")
+    most = F.lit(limit) if isinstance(limit, int) else limit
+    near = own.join(F.broadcast(size), own["__g"].eqNullSafe(F.col("__s"))).where(F.pmod("__h", F.lit(1 << 30)) * F.col("__n") < F.lit(OVERSAMPLE << 30) * most.cast("double"))
+    place = F.row_number().over(Window.partitionBy("__g").orderBy(F.pmod("__h", F.lit(1 << 30)), "__h", key))
+    return near.withColumn("__r", place).where(F.col("__r") <= most).drop("__g", "__h", "__s", "__n", "__r")
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: int | None = None, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import base
@@ -179,13 +179,11 @@ def train(documents: DataFrame, doc_id: str, text: str, lang: str, rows: DataFra
     """
     own = documents.select(F.col(doc_id).alias("k"), F.col(text).cast("string").alias("t"), language_expr(lang).alias("y")).where("t is not null and t <> '' and y is not null")
     own = own.where("length(t) < 20000")
-    first_by = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")
-    chosen = own.select("k", "y").withColumn("n", F.row_number().over(first_by)).where(F.col("n") <= DOCUMENTS).select("k").distinct()
-    docs = [(r.k, r.t, r.y) for r in own.join(F.broadcast(chosen), "k").dropDuplicates(["k"]).orderBy("k").collect()]
+    docs = [(r.k, r.t, r.y) for r in base.sampled(own, "k", DOCUMENTS, "y").orderBy("k", "t").collect()]
     if not docs:
         raise ValueError("no labelled document to learn from")
-    extra = rows.select(F.col(row_id).alias("k"), language_expr(label).alias("y"), F.array(*(F.col(f).cast("string") for f in fields)).alias("t")).where("y is not null").orderBy(F.xxhash64("k"), "k").limit(ROWS)
-    more = [(r.k, t, r.y) for r in extra.collect() for t in r.t if t]
+    extra = rows.select(F.col(row_id).alias("k"), language_expr(label).alias("y"), F.array(*(F.col(f).cast("string") for f in fields)).alias("t")).where("y is not null")
+    more = [(r.k, t, r.y) for r in base.sampled(extra, "k", ROWS).orderBy("k", "t").collect() for t in r.t if t]
 
     def split(source):
         """Distinct sentences; of those that read the same, one, with the commonest of their labels."""

@@ -23,7 +23,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import base
@@ -324,8 +324,7 @@ def sample(fields: list[tuple[DataFrame, str, str]], limit: int = SAMPLE) -> lis
     for df, row_id, text in fields:
         own = df.select(F.col(row_id).alias("k"), F.col(text).cast("string").alias("t")).where("t is not null and t <> '' and length(t) < 20000")
         own = own.withColumn("block", F.floor(F.ascii(F.regexp_extract("t", r"\p{L}", 0)) / 128))
-        place = F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64("k"), "k"))
-        chosen = own.withColumn("n", place).where(F.col("n") <= F.when(F.col("block") == 0, limit).otherwise(max(1, limit // 8)))
+        chosen = base.sampled(own, "k", F.when(F.col("block") == 0, limit).otherwise(max(1, limit // 8)), "block")
         texts += dict.fromkeys(r.t for r in chosen.orderBy("k", "t").select("t").collect())
     out: list[str] = []
     for at in range(0, len(texts), 512):
