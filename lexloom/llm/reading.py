@@ -173,9 +173,9 @@ def train(documents: DataFrame, doc_id: str, text: str, source: str, labels: Dat
     """Fits on the labelled documents, at most MAX_LABELS of them; a document with several labels counts by their mean."""
     grade = F.element_at(F.create_map(*(x for i, b in enumerate(BANDS) for x in (F.lit(b), F.lit(float(i))))), F.col(band))
     known = labels.where(F.col(band).isin(*BANDS)).groupBy(F.col(label_id).alias("doc_key")).agg(F.avg(grade).alias("y"))
-    known = known.orderBy(F.xxhash64("doc_key"), "doc_key").limit(MAX_LABELS)
+    known = base.sampled(known, "doc_key", MAX_LABELS)
     rows = documents.select(F.col(doc_id).alias("doc_key"), F.col(text).cast("string").alias("t"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source")).where("t is not null")
-    sample = base.cut(rows.join(known, "doc_key").select("doc_key", "t", "y", "source"))
+    sample = base.cut(rows.join(F.broadcast(known), "doc_key").select("doc_key", "t", "y", "source"))
     measured = base.map_arrow(base.spread(sample.select("doc_key", "t")), _measure, f"doc_key {sample.schema['doc_key'].dataType.simpleString()}, x array<double>")
     got = measured.join(sample.select("doc_key", "y", "source"), "doc_key").orderBy("doc_key").select("x", "y", "source").collect()
     return Grader(np.array([r.x for r in got]).reshape(-1, len(NAMES)), np.array([r.y for r in got]), np.array([r.source for r in got]))
