@@ -35,3 +35,17 @@ def test_pieces_keep_their_record(spark):
     got = queries.p2_pieces(spark, SF)
     assert got.columns == ["row_id", "id", "section", "piece_no", "start_char", "end_char", "piece"]
     assert got.where("length(piece) > 1500 or length(piece) <> end_char - start_char").count() == 0
+
+
+def test_samples_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from lexloom.llm import base
+
+    rows = [(k, "a" if k % 3 else "b" if k % 5 else None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, g string")
+    got = {r.g: r.n for r in base.sampled(df, "id", F.when(F.col("g") == "a", 50).otherwise(7), "g").groupBy("g").agg(F.count("*").alias("n")).collect()}
+    assert got == {"a": 50, "b": 7, None: 7}
+    assert base.sampled(df, "id", 10_000).count() == 3000
+    assert {r.id for r in base.sampled(df, "id", 20).collect()} == {r.id for r in base.sampled(df.repartition(7), "id", 20).collect()}
+    assert base.sampled(df.limit(0), "id", 5).count() == 0
