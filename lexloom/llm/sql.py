@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lexloom.llm import uniform
+
 _TERMS = r"""
 WITH r AS (SELECT id, keywords, text FROM statute_supplements WHERE id IS NOT NULL),
 k AS (SELECT 'keywords' AS field, id, lower(trim(v)) AS term FROM (SELECT id, unnest(keywords) AS v FROM r) WHERE v IS NOT NULL AND trim(v) <> ''),
@@ -18,9 +20,27 @@ dg AS (SELECT doc_id, array_to_string(w[k : k + 11], ' ') AS gram FROM (SELECT d
 """
 
 
+def _form(text: str) -> str:
+    """The uniform form, for the characters that these tables hold: look-alikes, full-width forms, spaces, invisible characters, Latin ligatures, composition."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    seen = uniform.LIKE + wide + uniform.SPACES
+    reads = uniform.LATIN + "".join(chr(ord(c) - 0xFEE0) for c in wide) + " " * len(uniform.SPACES)
+    out = f"translate(regexp_replace({text}, '[\\x{{00AD}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g'), '{seen}', '{reads.replace(chr(39), chr(39) * 2)}')"
+    for ligature, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        out = f"replace({out}, '{ligature}', '{letters}')"
+    return f"nfc_normalize({out})"
+
+
+def _pairs(table: str, field: str) -> str:
+    own = f"(SELECT row_id, {field} AS t, {_form(field)} AS f FROM {table} WHERE {field} <> '')"
+    return f"SELECT '{table}' AS tbl, '{field}' AS field, a.row_id AS id_a, b.row_id AS id_b FROM {own} a JOIN {own} b ON a.f = b.f AND a.row_id < b.row_id AND a.t <> b.t"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_terms": _TERMS + "SELECT * FROM t",
         "p1_found": _TERMS + "SELECT field, term, mark FROM t WHERE mark IS NOT NULL",
+        "p5_found": " UNION ALL ".join(_pairs(t, f) for t, f in (("multilingual_completion", "theft"), ("multilingual_completion", "cheating"), ("statute_supplements", "text"))),
+        "p5_classes": f"SELECT row_id, min(row_id) OVER (PARTITION BY {_form('text')}) AS class_id FROM statute_supplements WHERE text <> ''",
         "p8_found": _GRAMS + "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (gram)",
     }

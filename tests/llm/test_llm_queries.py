@@ -23,7 +23,7 @@ def test_found(spark, name):
 @pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("statute_supplements", "documents", "eval_items"):
+    for t in ("statute_supplements", "documents", "eval_items", "multilingual_completion"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.queries()[name](spark, SF)
     result = con.execute(sql.oracle_sql()[name])
