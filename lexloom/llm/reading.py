@@ -11,6 +11,8 @@ used; repeated rows give repeated results; an empty table gives an empty table;
 from __future__ import annotations
 
 import math
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,27 +41,68 @@ PASSIVE = regex.compile(r"\b(?:is|was|are|were|be|been|being)\s+\p{L}+(?:ed|en)\
 NAMES = ("words", "sentence_mean", "sentence_sd", "sentence_q1", "sentence_q3", "sentence_max", "word_mean", "word_sd", "word_q3", "word_q9", "syllables", "polysyllables", "short_words", "long_words", "types", "hapax", "nominal", "learned", "links", "pronouns", "verbs", "passive", "commas", "semicolons", "digits", "capitals", "overlap", "overlap_sd", "repeats")
 
 
+#: Words whose traits a worker keeps; a full store starts anew.
+STORE = 1 << 17
+_store: dict[str, tuple] = {}
+
+
+def _traits(word: str) -> tuple:
+    """Length, syllables, and whether a word is nominal, learned, a link, a pronoun, a basic verb."""
+    if len(_store) >= STORE:
+        _store.clear()
+    n = len(word)
+    out = _store[word] = (n, max(1, len(VOWELS.findall(word))), n > 5 and NOMINAL.search(word) is not None, n > 6 and LEARNED.search(word) is not None, word in LINKS, word in PRONOUNS, word in BASIC_VERBS)
+    return out
+
+
+def _quantiles(values: list, *shares: float) -> list[float]:
+    """Linear quantiles of sorted values."""
+    out, last = [], len(values) - 1
+    for q in shares:
+        at = q * last
+        low = int(at)
+        out.append(values[low] + (values[min(low + 1, last)] - values[low]) * (at - low))
+    return out
+
+
+def _spread(total: float, squares: float, n: int) -> tuple[float, float]:
+    mean = total / n
+    return mean, math.sqrt(max(0.0, squares / n - mean * mean))
+
+
 def features(text: str) -> list[float]:
     """One value for each of NAMES."""
-    sentences = [w for part in END.split(text) if (w := [x.lower() for x in WORD.findall(part)])]
-    words = [w for s in sentences for w in s]
-    n = len(words)
+    sentences = [w for part in END.split(text.lower()) if (w := WORD.findall(part))]
+    counts = Counter(w for s in sentences for w in s)
+    n = counts.total()
     if not n:
         return [0.0] * len(NAMES)
-    lengths, sizes = np.array([len(w) for w in words], float), np.array([len(s) for s in sentences], float)
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    syllables = {w: max(1, len(VOWELS.findall(w))) for w in counts}
-    share = lambda test: sum(k for w, k in counts.items() if test(w)) / n
+    get = _store.get
+    traits = [(k, *(get(w) or _traits(w))) for w, k in counts.items()]
+    once = total = squares = syllables = many = short = long = 0
+    marks = [0, 0, 0, 0, 0]
+    for k, size, sounds, *flags in traits:
+        once += k == 1
+        total += k * size
+        squares += k * size * size
+        syllables += k * sounds
+        many += k * (sounds >= 3)
+        short += k * (size <= 4)
+        long += k * (size >= 10)
+        for i, flag in enumerate(flags):
+            if flag:
+                marks[i] += k
+    lengths = sorted(chain.from_iterable([t[1]] * t[0] for t in traits))
+    sizes = sorted(map(len, sentences))
     content = [{w for w in s if len(w) > 3} for s in sentences]
-    shared = np.array([len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(content, content[1:])] or [0.0])
+    shared = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(content, content[1:])] or [0.0]
     chars = max(1, len(text))
+    raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     return [
-        math.log1p(n), sizes.mean(), sizes.std(), *np.quantile(sizes, (0.25, 0.75)), sizes.max(), lengths.mean(), lengths.std(), *np.quantile(lengths, (0.75, 0.9)),
-        sum(syllables[w] * k for w, k in counts.items()) / n, share(lambda w: syllables[w] >= 3), share(lambda w: len(w) <= 4), share(lambda w: len(w) >= 10),
-        len(counts) / n**0.7, share(lambda w: counts[w] == 1), share(lambda w: len(w) > 5 and NOMINAL.search(w)), share(lambda w: len(w) > 6 and LEARNED.search(w)), share(LINKS.__contains__), share(PRONOUNS.__contains__), share(BASIC_VERBS.__contains__),
-        len(PASSIVE.findall(text)) / n, text.count(",") / n, text.count(";") / n, sum(c.isdigit() for c in text) / chars, sum(c.isupper() for c in text) / chars, shared.mean(), shared.std(), float((shared > 0.5).mean()),
+        math.log1p(n), *_spread(sum(sizes), sum(x * x for x in sizes), len(sizes)), *_quantiles(sizes, 0.25, 0.75), float(sizes[-1]), *_spread(total, squares, n), *_quantiles(lengths, 0.75, 0.9),
+        syllables / n, many / n, short / n, long / n, len(counts) / n**0.7, once / n, *(m / n for m in marks),
+        len(PASSIVE.findall(text)) / n, float(raw[44]) / n, float(raw[59]) / n, float(raw[48:58].sum()) / chars, float(raw[65:91].sum()) / chars,
+        *_spread(sum(shared), sum(x * x for x in shared), len(shared)), sum(x > 0.5 for x in shared) / len(shared),
     ]
 
 
