@@ -130,7 +130,25 @@ class Chain:
         return (name, '"' in close or any(c in "”」』»" for c in close), "n" if "\n" in gap else "s" if gap else "", DIGITS.sub("0", low)[-14:], kind, _script(text[at]), DIGITS.sub("0", one), DIGITS.sub("0", two), text[max(0, start - 3) : start], text[at : at + 5], inside, heading, not mark)
 
 
+#: Feature lists that a process keeps; a full store starts anew.
+STORE = 1 << 16
+_store: dict[tuple, list[int]] = {}
+
+
 def features(seen: tuple) -> list[int]:
+    """Hashes of what is seen at a place. After a closing mark they depend on the mark's surroundings only, which recur."""
+    if seen[-1]:
+        return _hashes(seen)
+    key = (*seen[:5], seen[5][0], *seen[10:12])
+    out = _store.get(key)
+    if out is None:
+        if len(_store) >= STORE:
+            _store.clear()
+        out = _store[key] = _hashes(seen)
+    return out
+
+
+def _hashes(seen: tuple) -> list[int]:
     mark, quote, gap, before, kind, cls, one, two, left, right, inside, heading, bare = seen
     frame = f"{mark}|{quote}|{gap}"
     was, turned = _script(left.rstrip()[-1:] or " "), _turned(left, cls)
