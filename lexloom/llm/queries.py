@@ -118,18 +118,21 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
-def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-    grader = reading.train(documents, "doc_id", "text", "source", table(spark, sf_dir, "reading_labels", "doc_id", "band"), "doc_id", "band")
-    return reading.levels(documents.where("lang = 'en'"), "doc_id", "text", grader)
+def _graded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), table(spark, sf_dir, "reading_labels", "doc_id", "band")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _levels(spark, sf_dir).select("doc_id", "band")
+    documents, labels = _graded(spark, sf_dir)
+    grader = reading.train(documents, "doc_id", "text", "source", labels, "doc_id", "band")
+    return reading.levels(documents.where("lang = 'en'"), "doc_id", "text", grader).select("doc_id", "band")
 
 
 def p9_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _levels(spark, sf_dir)
+    """The grade of every text, whatever its language and length, with a flag where the labels don't speak for it."""
+    documents, labels = _graded(spark, sf_dir)
+    graders = reading.train_both(documents, "doc_id", "text", "source", labels, "doc_id", "band")
+    return reading.every_level(documents, "doc_id", "text", "lang", graders)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

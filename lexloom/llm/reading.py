@@ -4,8 +4,13 @@ Gradient-boosted regression trees, fitted here in numpy on labelled documents, o
 cohesion. Grades are cross-validated by source: every fold leaves whole sources out, and its predictions place the cuts between the bands
 and measure the accuracy. Labels that the folds contradict by far (wrong labels) leave the final fit.
 
-Defined results: null texts and texts under `least` words give no row; a text of any length is read whole; a missing or unknown label is not
-used; repeated rows give repeated results; an empty table gives an empty table; fewer than MIN_LABELS usable labels is an error.
+Labels are English. `levels` grades texts in English; `every_level` grades texts of all languages and lengths and flags those that the labels
+don't speak for. Texts in other languages are graded by a second model, fitted on the same labels over the features that don't depend on
+English (lengths of sentences, vocabulary, commas, cohesion) alone.
+
+Defined results: null texts give no row, and in `levels` neither do texts under `least` words; a text without a word has no grade; a text of any
+length is read whole; a missing or unknown label is not used; repeated rows give repeated results; an empty table gives an empty table; fewer
+than MIN_LABELS usable labels is an error.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import base
@@ -30,6 +35,11 @@ TREES, DEPTH, RATE, BINS, FOLDS, LEAF = 60, 3, 0.15, 32, 5, 3
 
 WORD = regex.compile(r"\p{L}+(?:['’-]\p{L}+)*")
 END = regex.compile(r"[.!?]+[\"'”’)\]]*(?:\s+|$)|\n+")
+# Words and sentence ends of any script; where words aren't spaced, about as many characters as they have on average count as one.
+ANY_WORD = regex.compile(r"\p{Han}{1,2}|[\p{Hiragana}\p{Katakana}ー]{1,3}|[\p{Thai}--\p{N}]{1,5}|[\p{L}\p{M}\u200c\u200d--\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]+(?:['’-][\p{L}\p{M}]+)*", regex.V1)
+ANY_END = regex.compile(r"[.!?]+[\"'”’)\]]*(?:\s+|$)|[।॥۔؟。！？]+[\"'”’)\]」』]*\s*|\n+")
+COMMA, SEMICOLON = regex.compile("[,،、，]"), regex.compile("[;؛；]")
+LATIN, LETTER = regex.compile(r"\p{Latin}"), regex.compile(r"\p{L}")
 VOWELS = regex.compile(r"[aeiouy]+")
 # Function words by what they do in a sentence.
 LINKS = frozenset("because although though while whereas since unless until if when before after so but however moreover therefore thus hence notwithstanding inasmuch insofar considering whereby wherein".split())
@@ -39,6 +49,10 @@ NOMINAL = regex.compile(r"(?:tion|sion|ment|ness|ity|ance|ence|ency|ancy|ism|ure
 LEARNED = regex.compile(r"(?:al|ary|ory|ive|ous|ible|able|ate|ise|ize|ially|ively|ably)$")
 PASSIVE = regex.compile(r"\b(?:is|was|are|were|be|been|being)\s+\p{L}+(?:ed|en)\b")
 NAMES = ("words", "sentence_mean", "sentence_sd", "sentence_q1", "sentence_q3", "sentence_max", "word_mean", "word_sd", "word_q3", "word_q9", "syllables", "polysyllables", "short_words", "long_words", "types", "hapax", "nominal", "learned", "links", "pronouns", "verbs", "passive", "commas", "semicolons", "digits", "capitals", "overlap", "overlap_sd", "repeats")
+#: The features that don't depend on English, by their places in NAMES.
+SHARED = [NAMES.index(n) for n in ("words", "sentence_mean", "sentence_sd", "sentence_q1", "sentence_q3", "sentence_max", "types", "hapax", "commas", "semicolons", "overlap", "overlap_sd", "repeats")]
+#: Why a grade isn't one that the labels speak for.
+FLAGS = ("no-words", "other-language", "unknown-language", "short")
 
 
 #: Words whose traits a worker keeps; a full store starts anew.
@@ -70,9 +84,10 @@ def _spread(total: float, squares: float, n: int) -> tuple[float, float]:
     return mean, math.sqrt(max(0.0, squares / n - mean * mean))
 
 
-def features(text: str) -> list[float]:
-    """One value for each of NAMES."""
-    sentences = [w for part in END.split(text.lower()) if (w := WORD.findall(part))]
+def features(text: str, english: bool = True) -> list[float]:
+    """One value for each of NAMES; without `english` words and marks are those of any script, and only SHARED have a meaning."""
+    end, word = (END, WORD) if english else (ANY_END, ANY_WORD)
+    sentences = [w for part in end.split(text.lower()) if (w := word.findall(part))]
     counts = Counter(w for s in sentences for w in s)
     n = counts.total()
     if not n:
@@ -97,6 +112,8 @@ def features(text: str) -> list[float]:
     content = [{w for w in s if len(w) > 3} for s in sentences]
     shared = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(content, content[1:])] or [0.0]
     chars = max(1, len(text))
+    if not english:
+        text = SEMICOLON.sub(";", COMMA.sub(",", text))
     raw = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     return [
         math.log1p(n), *_spread(sum(sizes), sum(x * x for x in sizes), len(sizes)), *_quantiles(sizes, 0.25, 0.75), float(sizes[-1]), *_spread(total, squares, n), *_quantiles(lengths, 0.75, 0.9),
@@ -212,8 +229,8 @@ def _measure(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_key", "x"])
 
 
-def train(documents: DataFrame, doc_id: str, text: str, source: str, labels: DataFrame, label_id: str, band: str) -> Grader:
-    """Fits on the labelled documents, at most MAX_LABELS of them; a document with several labels counts by their mean."""
+def _labelled(documents: DataFrame, doc_id: str, text: str, source: str, labels: DataFrame, label_id: str, band: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and sources of the labelled documents, at most MAX_LABELS of them; a document with several labels counts by their mean."""
     grade = F.element_at(F.create_map(*(x for i, b in enumerate(BANDS) for x in (F.lit(b), F.lit(float(i))))), F.col(band))
     known = labels.where(F.col(band).isin(*BANDS)).groupBy(F.col(label_id).alias("doc_key")).agg(F.avg(grade).alias("y"))
     known = base.sampled(known, "doc_key", MAX_LABELS)
@@ -221,7 +238,18 @@ def train(documents: DataFrame, doc_id: str, text: str, source: str, labels: Dat
     sample = base.cut(rows.join(F.broadcast(known), "doc_key").select("doc_key", "t", "y", "source"))
     measured = base.map_arrow(base.spread(sample.select("doc_key", "t")), _measure, f"doc_key {sample.schema['doc_key'].dataType.simpleString()}, x array<double>")
     got = measured.join(sample.select("doc_key", "y", "source"), "doc_key").orderBy("doc_key").select("x", "y", "source").collect()
-    return Grader(np.array([r.x for r in got]).reshape(-1, len(NAMES)), np.array([r.y for r in got]), np.array([r.source for r in got]))
+    return np.array([r.x for r in got]).reshape(-1, len(NAMES)), np.array([r.y for r in got]), np.array([r.source for r in got])
+
+
+def train(documents: DataFrame, doc_id: str, text: str, source: str, labels: DataFrame, label_id: str, band: str) -> Grader:
+    """Fits on the labelled documents."""
+    return Grader(*_labelled(documents, doc_id, text, source, labels, label_id, band))
+
+
+def train_both(documents: DataFrame, doc_id: str, text: str, source: str, labels: DataFrame, label_id: str, band: str) -> tuple[Grader, Grader]:
+    """The same grader, and one that knows only the SHARED features."""
+    x, y, names = _labelled(documents, doc_id, text, source, labels, label_id, band)
+    return Grader(x, y, names), Grader(x[:, SHARED], y, names)
 
 
 def _grade(grader):
@@ -239,10 +267,49 @@ def _grade(grader):
 SPLIT = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
+def _words() -> Column:
+    return F.size(F.filter(F.split("t", SPLIT), lambda w: w != ""))
+
+
 def levels(documents: DataFrame, doc_id: str, text: str, grader: Grader, least: int = LEAST_WORDS) -> DataFrame:
     """`doc_id`, `grade` (0 to 2), `band` of every text of at least `least` words separated by white space."""
     own = _own(documents, doc_id, text)
-    own = own.where(F.size(F.filter(F.split("t", SPLIT), lambda w: w != "")) >= least)
+    own = own.where(_words() >= least)
     shared = documents.sparkSession.sparkContext.broadcast(grader)
     out = base.map_arrow(base.spread(own), _grade(shared), f"doc_key {own.schema['doc_key'].dataType.simpleString()}, grade double, band string")
     return out.withColumnRenamed("doc_key", doc_id)
+
+
+def _is_english(text: str, lang: str | None) -> bool:
+    """What the language says; where none is named, whether most letters are Latin."""
+    if lang:
+        return lang == "en"
+    return 2 * len(LATIN.findall(text)) > len(LETTER.findall(text))
+
+
+def _grade_all(graders):
+    def work(batches):
+        english, shared = graders.value
+        for batch in base.slices(batches, 1):
+            texts, langs, flags = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            own = np.array([_is_english(t, lang) for t, lang in zip(texts, langs)], bool)
+            x = np.array([features(t, e) for t, e in zip(texts, own.tolist())]).reshape(-1, len(NAMES))
+            other = shared.grades(x[:, SHARED])
+            grades = np.where(own, english.grades(x), other)
+            bands = np.where(own, english.bands(grades), shared.bands(other))
+            none = x[:, 0] == 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grades, mask=none), pa.array([None if w else BANDS[k] for k, w in zip(bands, none)], pa.string()), pa.array([FLAGS[0] if w else f for f, w in zip(flags, none)], pa.string())], ["doc_key", "grade", "band", "flag"])
+
+    return work
+
+
+def every_level(documents: DataFrame, doc_id: str, text: str, lang: str, graders: tuple[Grader, Grader], least: int = LEAST_WORDS) -> DataFrame:
+    """`doc_id`, `grade`, `band` and `flag` of every text that isn't null.
+
+    flag: null for English texts of at least `least` words, else the first of FLAGS that holds; only the first comes without a grade.
+    """
+    own = documents.select(F.col(doc_id).alias("doc_key"), F.col(text).cast("string").alias("t"), F.nullif(F.trim(F.col(lang).cast("string")), F.lit("")).alias("lang")).where("t is not null")
+    own = own.withColumn("flag", F.when(F.col("lang").isNull(), FLAGS[2]).when(F.col("lang") != "en", FLAGS[1]).when(_words() < least, FLAGS[3]))
+    shared = documents.sparkSession.sparkContext.broadcast(graders)
+    out = base.map_arrow(base.spread(own), _grade_all(shared), f"doc_key {own.schema['doc_key'].dataType.simpleString()}, grade double, band string, flag string")
+    return out.withColumnRenamed("doc_key", doc_id)
