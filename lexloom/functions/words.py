@@ -32,6 +32,10 @@ VOCABULARY = (
     "assaulted attack attacked beat beaten hit struck blow physical hurt hurts injure injured injures injury injuries grievous serious seriously bodily pain wound wounded"
 ).split()
 
+# Whose consent, possession or property. The apostrophe is written by its code point, so that SQL can quote the patterns.
+_ONES = r"(?:another|that)\s+person[\x{27}\x{2019}]s\s+|[a-z][a-z0-9]*[\x{27}\x{2019}]s\s+|(?:his|her|their|its)\s+"
+_ANYONES = r"(?:someone|somebody|anyone|anybody)\s+else[\x{27}\x{2019}]s\s+|" + _ONES
+_VICTIMS = r"(?:my|our|his|her|their|victim[\x{27}\x{2019}]s|complainant[\x{27}\x{2019}]s)"
 # Labelled phrases; patterns that hold in every regular-expression dialect used here.
 PHRASES = (
     ("movable property", r"\bmovable\s+property\b"),
@@ -39,17 +43,25 @@ PHRASES = (
     ("phone property", r"\b(?:(?:mobile|cell(?:ular)?|smart)\s*)?phones?\b"),
     ("dishonestly induced", r"\bdishonestly\s+induc(?:e|ed|es|ing|ement)\b"),
     ("deliver property", r"\bdeliver(?:s|ed|ing|y)?\s+(?:any\s+)?property\b"),
+    ("give property", r"\b(?:giv(?:e|es|ing)|gave)\s+(?:(?:him|her|them|a\s+person|someone)\s+)?(?:false\s+|any\s+)?property\b"),
     ("hand over property", r"\bhand(?:ed)?\s+over\s+(?:any\s+)?property\b"),
     ("transfer property", r"\btransfer(?:s|red|ring)?\s+(?:any\s+)?property\b"),
     ("sell property", r"\bs(?:ell|old|elling)\s+(?:any\s+)?property\b"),
-    ("without consent", r"\bwithout\s+(?:the\s+)?(?:(?:his|her|their|its)\s+)?consent\b"),
-    ("without permission", r"\bwithout\s+(?:the\s+)?(?:(?:his|her|their|its)\s+)?permission\b"),
-    ("out of possession", r"\bout\s+of\s+(?:(?:his|her|their|its)\s+)?possession\b"),
-    ("from possession", r"\bfrom\s+(?:(?:his|her|their|its)\s+)?possession\b"),
+    ("delivery of property", r"\b(?:caused\s+|resulted\s+in\s+)?delivery\s+of\s+(?:any\s+)?property\b"),
+    ("deceived person", r"\b(?:person\s+was\s+deceived|deceived\s+(?:a\s+)?person|person\s+deceived)\b"),
+    ("tricked person", r"\b(?:person\s+was\s+tricked|tricked\s+(?:a\s+)?person|person\s+tricked)\b"),
+    ("deceived into property transfer", r"\b(?:deceived|tricked|seduced|defrauded?)\s+(?:a\s+)?person\s+into\s+(?:giv(?:e|ing)|hand(?:ing)?\s+over|deliver(?:ing)?|transfer(?:ring)?|sell(?:ing)?)\s+(?:any\s+)?property\b"),
+    ("led to property transfer", r"\b(?:led|induced|persuaded|caused|made|forced)\s+(?:him|her|them|a\s+person|person|someone)?\s*(?:to\s+)?(?:give|hand\s+over|deliver|transfer|sell)\s+(?:(?:him|her|them|a\s+person|someone)\s+)?(?:false\s+|any\s+)?property\b"),
+    ("without consent", rf"\bwithout\s+(?:the\s+)?(?:{_ANYONES})?consent\b"),
+    ("without permission", rf"\bwithout\s+(?:the\s+)?(?:{_ANYONES})?permission\b"),
+    ("out of possession", rf"\bout\s+of\s+(?:{_ONES})?possession\b"),
+    ("from possession", rf"\bfrom\s+(?:{_ONES})?possession\b"),
+    ("victim property stolen", rf"\b(?:{_VICTIMS}\s+(?:[a-z]+\s+){{1,3}}(?:was|were|got)\s+stolen|got\s+{_VICTIMS}\s+(?:[a-z]+\s+){{1,4}}stolen)\b"),
     ("seriously injured", r"\bseriously\s+injur(?:e|ed|es|ing)\b"),
     ("serious injury", r"\bserious\s+injur(?:y|ies)\b"),
     ("grievous hurt", r"\bgrievous\s+hurt\b"),
     ("caused hurt", r"\b(?:voluntarily\s+)?caus(?:e|ed|es|ing)\s+(?:bodily\s+)?hurt\b"),
+    ("caused injury", r"\b(?:caus(?:e|ed|es|ing)|inflict(?:ed|s|ing)?|seriously\s+injur(?:e|ed|es|ing))\s+(?:serious\s+|bodily\s+|grave\s+|grievous\s+)?injur(?:y|ies|e|ed|es|ing)\b"),
     ("physical injury", r"\b(?:physical|bodily)\s+injur(?:y|ies|e|ed|es|ing)\b"),
     ("physical harm", r"\b(?:caus(?:e|ed|es|ing)\s+)?(?:physical|bodily)\s+harm\b"),
     ("bodily pain", r"\bbodily\s+pain\b"),
