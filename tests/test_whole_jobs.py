@@ -1,7 +1,6 @@
 """What the queries must not leave out."""
 
-import pytest
-
+from lexloom import queries
 from lexloom.functions import text as T
 from lexloom.functions import words
 
@@ -25,3 +24,10 @@ def test_all_phrases_have_labels(spark):
     assert len(words.PHRASES) == 27
     rows = spark.createDataFrame(list(PHRASES.items()), "label string, t string").select("label", T.phrase_labels("t").alias("got")).collect()
     assert [r.label for r in rows if r.label not in r.got] == []
+
+
+def test_last_delivery_counts(spark, tmp_path):
+    rows = [("a", 1, "x"), ("a", 2, "x"), ("a", 3, "y"), ("b", 4, "x"), ("b", 5, "y"), ("b", 6, "x"), ("c", 7, "x"), ("d", 8, "x"), ("d", 9, "x")]
+    spark.createDataFrame(rows, "case_id string, row_id long, facts string").write.parquet(f"{tmp_path}/candidate_cases.parquet")
+    got = {r.status: r.n for r in queries.redelivery_diff(spark, str(tmp_path)).collect()}
+    assert got == {"changed": 1, "removed": 1}
