@@ -76,9 +76,13 @@ def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.document_languages(_languages(spark, sf_dir)[1], "row_id")
 
 
+#: The fields of problem 5.
+ALIKE = (("multilingual_completion", "theft"), ("multilingual_completion", "cheating"), ("statute_supplements", "text"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
-    for name, field in (("multilingual_completion", "theft"), ("multilingual_completion", "cheating"), ("statute_supplements", "text")):
+    for name, field in ALIKE:
         pairs = uniform.differing_pairs(table(spark, sf_dir, name, "row_id", field), "row_id", field)
         parts.append(pairs.select(F.lit(name).alias("tbl"), F.lit(field).alias("field"), "id_a", "id_b"))
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
@@ -89,6 +93,18 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uniform.classes(table(spark, sf_dir, "statute_supplements", "row_id", "text"), "row_id", "text").select("row_id", "class_id")
 
 
+def p5_field_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of equal reading of every value of all three fields; a class holds values of one field."""
+    parts = [uniform.classes(table(spark, sf_dir, name, "row_id", field), "row_id", field).select(F.lit(name).alias("tbl"), F.lit(field).alias("field"), "row_id", "class_id") for name, field in ALIKE]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+def p5_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The uniform form of every value of all three fields; null stays null."""
+    parts = [uniform.uniform(table(spark, sf_dir, name, "row_id", field), field, "row_id").select(F.lit(name).alias("tbl"), F.lit(field).alias("field"), "row_id", "uniform_text") for name, field in ALIKE]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 def _scans(spark: SparkSession, sf_dir: str) -> ocr.Scans:
     return ocr.Scans(table(spark, sf_dir, "statute_supplements", "row_id", "text", "source", "title", "record_type"), "row_id", "text", SCAN, PAGE_FACTS)
 

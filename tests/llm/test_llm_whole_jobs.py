@@ -34,3 +34,16 @@ def test_flags_of_grades(spark):
 @pytest.mark.parametrize("text, sizes", [("उसने चोरी की। वह भाग गया।", [3, 3]), ("اس نے چوری کی۔ وہ بھاگ گیا۔", [4, 3]), ("他偷了东西。他跑了。", [3, 2])])
 def test_words_of_other_scripts(text, sizes):
     assert [len(R.ANY_WORD.findall(p)) for p in R.ANY_END.split(text) if R.ANY_WORD.findall(p)] == sizes
+
+
+def test_uniform_forms_and_classes_of_all_fields(spark):
+    got = queries.p5_uniform(spark, SF)
+    assert got.columns == ["tbl", "field", "row_id", "uniform_text"]
+    forms = {(r.tbl, r.field, r.row_id): r.uniform_text for r in got.collect()}
+    classes = {(r.tbl, r.field, r.row_id): r.class_id for r in queries.p5_field_classes(spark, SF).collect()}
+    stored = {(name, field, r[0]): r[1] for name, field in queries.ALIKE for r in table(spark, SF, name, "row_id", field).collect()}
+    assert forms.keys() == stored.keys() and {k for k, t in stored.items() if t} == classes.keys()
+    assert all((forms[k] is None) == (t is None) for k, t in stored.items())
+    assert all(forms[k] == forms[k[0], k[1], c] for k, c in classes.items())
+    pairs = {tuple(r) for r in queries.p5_found(spark, SF).collect()}
+    assert pairs and all(forms[t, f, a] == forms[t, f, b] and classes[t, f, a] == classes[t, f, b] for t, f, a, b in pairs)
