@@ -589,6 +589,15 @@ def localized_dates(spark, sf_dir):
     return own.select("item_id", F.explode(G.localized_dates_udf(months)("text")).alias("value"))
 
 
+def named_dates(spark, sf_dir):
+    """Dates written with month names of the five languages, in all documents, evaluation items and cases of whatever language."""
+    ship(spark)
+    found = G.named_dates_udf(G.locale_months(spark, ("en", "hi", "mr", "gu", "ur")))
+    sources = (("documents", "doc_id", "text"), ("eval_items", "item_id", "text"), ("candidate_cases", "row_id", "facts"))
+    parts = [_t(spark, sf_dir, name, key, text).where(F.col(text).isNotNull()).select(F.lit(name).alias("tbl"), F.col(key).alias("row_id"), F.explode(found(text)).alias("value")) for name, key, text in sources]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 def eligible_cases(spark, sf_dir):
     """Dated, long enough cases of known stations that have no label and were not sent again."""
     cases = _t(spark, sf_dir, "candidate_cases", "row_id", "case_id", "station", "submitted_at", "facts")
