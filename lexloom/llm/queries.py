@@ -121,11 +121,12 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", table(spark, sf_dir, "eval_items", "item_id", "text"), "item_id", "text")
+def _leaks(spark: SparkSession, sf_dir: str, coverage: float = 0.0) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", table(spark, sf_dir, "eval_items", "item_id", "text"), "item_id", "text", coverage=coverage)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of whose words tiles hold at least 12, by document."""
     return _leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
@@ -134,6 +135,11 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
+def p8_mostly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items at least half of whose words a document holds in tiles, in whatever order."""
+    return _leaks(spark, sf_dir, 0.5).select("doc_id", "item_id")
+
+
 def _graded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), table(spark, sf_dir, "reading_labels", "doc_id", "band")
 

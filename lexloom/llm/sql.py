@@ -42,5 +42,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _TERMS + "SELECT field, term, mark FROM t WHERE mark IS NOT NULL",
         "p5_found": " UNION ALL ".join(_pairs(t, f) for t, f in (("multilingual_completion", "theft"), ("multilingual_completion", "cheating"), ("statute_supplements", "text"))),
         "p5_classes": f"SELECT row_id, min(row_id) OVER (PARTITION BY {_form('text')}) AS class_id FROM statute_supplements WHERE text <> ''",
+        "p8_mostly": _GRAMS.replace("SELECT DISTINCT item_id, array", "SELECT item_id, k, array") + "SELECT doc_id, item_id FROM (SELECT DISTINCT doc_id, item_id, k + unnest(range(12)) AS at FROM (SELECT DISTINCT doc_id, gram FROM dg) JOIN ig USING (gram)) JOIN iw USING (item_id) GROUP BY doc_id, item_id, len(w) HAVING count(*) >= 0.5 * len(w)",
         "p8_found": _GRAMS + "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (gram)",
     }
