@@ -1,11 +1,13 @@
 """Problem 6: text from scanned pages, repaired into continuous paragraphs.
 
-Headers and footers are lines that recur, fuzzily (by their shape, with the common misreadings undone), at page edges, or that repeat the
-record's own title or book; page-number lines follow the record's pages. Without them, lines are joined by the corpus's vocabulary: a
-word cut at a line's end becomes the one of its two spellings that the clean records use. Words outside the vocabulary that become a
-vocabulary word when one or two misread sequences are undone are corrected, to the commonest such word.
-
-The vocabulary, the recurring lines and the corrections are tables that grow with the corpus; they are joined, never broadcast by hand.
+Headers and footers are lines at page edges that repeat, fuzzily: at other edges of the same record, at the edges of a share of its book's
+records, or what the record says its pages carry (`llm.pages`); page-number lines follow the record's pages. Without them, lines are joined
+by the corpus's vocabulary: a word cut at a line's end becomes the one of its two spellings that the clean records use more often. A word
+is taken for a misreading if undoing one or two misread sequences gives a word that the clean records have RARER times as often; it is
+corrected to the commonest such word. Both are rates, so that they hold at any size of the corpus.
+
+Every scan is read once; those whose edges carry a head that only its book's other records tell are read again with it. The vocabulary,
+the heads and the corrections are tables that grow with the corpus; they are joined, never broadcast by hand.
 Defined results: null and empty texts give no row; a text without lines to remove or words to repair gives itself; repeated rows are repaired each for itself;
 without any clean record no word is corrected; an empty table gives an empty table.
 """
@@ -18,30 +20,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import base, pages
-from lexloom.llm.uniform import fold_text
+from lexloom.llm.uniform import fold_column
 
 WORD = regex.compile(r"[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}]|'I'|'i'|['’](?=\p{L}{2}))*(?:-(?:[\p{L}\p{M}\p{N}]|'I'|'i')+)*|'[Ii]'[\p{L}\p{M}\p{N}]+(?:-[\p{L}\p{M}\p{N}]+)*")
 #: What a word can have been misread from: letters, with hyphens and apostrophes inside.
 PLAIN = regex.compile(r"\p{L}+(?:[-'’]\p{L}+)*")
-#: A word is known if at least so many clean rows have it.
-KNOWN = 2
-#: A line's shape that so many records have recurs.
-RECURS = 2
+#: A misreading is at least so many times rarer in clean records than the word it stands for; a word that none has counts as a quarter of one.
+RARER, NONE = 8, 0.25
+#: A running head stands at the edges of at least this share of its book's records, and of two.
+SHARE = 0.05
 
 
 def _vocabulary_rows(batches):
     """Distinct words of each clean text."""
     for batch in base.slices(batches, 0):
         out = []
-        for text in batch.column(0).to_pylist():
-            out += {w.lower() for w in WORD.findall(fold_text(text)[0])}
+        for text in fold_column(batch.column(0))[0]:
+            out += set(WORD.findall(text.lower()))
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["word"])
 
 
 def vocabulary(clean: DataFrame, text: str) -> DataFrame:
-    """`word`, `n` (rows that have it) of the words that clean texts share."""
+    """`word`, `n` (rows that have it) of clean texts."""
     own = base.spread(clean.select(F.col(text).cast("string").alias("t")).where("t is not null and t <> ''"))
-    return base.map_arrow(own, _vocabulary_rows, "word string").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= KNOWN)
+    return base.map_arrow(own, _vocabulary_rows, "word string").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def undone(word: str) -> dict[str, int]:
@@ -57,40 +59,26 @@ def undone(word: str) -> dict[str, int]:
     return {w: k for w, k in out.items() if w != word and k < len(word) and PLAIN.fullmatch(w)}
 
 
-def _edges(batches):
-    """Lines shaped like headers that stand at page edges, by shape."""
-    for batch in base.slices(batches, 1):
-        keys, shapes = [], []
-        for key, text, page, end, title, document in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:])):
-            spans = pages.lines(text)
-            for (a, b), mark in zip(spans, pages.furniture(text, spans, page, end, title, document)):
-                if mark == "maybe":
-                    keys.append(key.as_py())
-                    shapes.append(pages.shape(text[a:b]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(shapes, pa.string())], ["row_key", "shape"])
-
-
 def _reads(batches):
-    """Per row: furniture lines, cut words and words, with the places of the lines. kind: header, pagenum, cut (left and right part), word."""
+    """Per row: furniture lines, cut words and words, and edge lines that may be heads. kind: header, pagenum, cut (left and right part), word, edge (key and book)."""
     for batch in base.slices(batches, 1):
         out: tuple[list, ...] = ([], [], [], [])
-        for key, text, page, end, title, document, recurring in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:])):
-            spans, marks = marked(text, page, end, title, document, recurring)
-            found = {("header" if m in ("header", "maybe") else m, text[a:b].strip(), "") for (a, b), m in zip(spans, marks) if m}
-            words, cuts = read_words(text, spans, marks)
+        for key, text, page, end, title, document, running in zip(batch.column(0).to_pylist(), *(c.to_pylist() for c in batch.columns[1:])):
+            own = marked(text, page, end, title, document, running)
+            found = {(m, own.words[i], "") for i, m in enumerate(own.marks) if m}
+            words, cuts = read_words(text, own.spans, own.marks)
             found |= {("cut", left, right) for left, right in cuts} | {("word", w, "") for w in words}
+            found |= {("edge", own.keys[i], document or "") for i in own.edges()}
             for kind, item, right in found:
-                for column, value in zip(out, (key.as_py(), kind, item, right)):
+                for column, value in zip(out, (key, kind, item, right)):
                     column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), *(pa.array(c, pa.string()) for c in out[1:])], ["row_key", "kind", "item", "rest"])
 
 
-def marked(text, page, end, title, document, recurring):
-    """Lines and their marks; a line of doubtful shape counts if its shape recurs in the corpus."""
-    spans = pages.lines(text)
-    marks = pages.furniture(text, spans, page, end, title, document)
-    recurring = set(recurring or ())
-    return spans, [None if m == "maybe" and pages.shape(text[a:b]) not in recurring else m for (a, b), m in zip(spans, marks)]
+def marked(text, page, end, title, document, running) -> pages.Page:
+    """Lines and their marks; running: keys that repeat at the edges of the book's records."""
+    own = pages.Page(text, page, end, pages.known_heads(title, document, text[:400]))
+    return own.mark_heads(own.repeated() | set(running or ()))
 
 
 def read_words(text, spans, marks) -> tuple[set[str], set[tuple[str, str]]]:
@@ -120,28 +108,31 @@ def _options(batches):
         for item, rest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for spelt, hyphen in (((item + rest, 0), (f"{item}-{rest}", 1)) if rest else ((item, 0),)):
                 for word, cost in {spelt: 0, **undone(spelt)}.items() if rest else undone(spelt).items():
-                    for column, value in zip(out, (item, rest, word, 4 * cost + hyphen)):
+                    for column, value in zip(out, (item, rest, word, 2 * cost + hyphen)):
                         column.append(value)
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in out[:3]), pa.array(out[3], pa.int32())], ["item", "rest", "word", "cost"])
 
 
 def readings(reads: DataFrame, words: DataFrame) -> DataFrame:
-    """`item`, `rest`, `meant`, `misread` for every distinct cut word and every unknown word that a known word explains.
+    """`item`, `rest`, `meant`, `misread` for every distinct cut word, and every word that a much commoner word explains.
 
-    A cut word that no known word explains is joined without its hyphen unless both its parts are known words.
+    The fewest misread sequences win, then the commonest word. A cut word that no clean record's word explains is joined without its hyphen
+    unless clean records have both its parts.
     """
     distinct = reads.where("kind in ('cut', 'word')").select("item", "rest").distinct()
-    known = words.select(F.col("word").alias("item"))
-    unknown = distinct.where("rest = ''").join(known, "item", "left_anti").where(F.length("item") > 1).where(F.col("item").rlike(r"\p{L}"))
-    asked = base.cut(unknown.unionByName(distinct.where("rest <> ''")))
-    options = base.map_arrow(asked, _options, "item string, rest string, word string, cost int")
-    best = options.join(words, "word").groupBy("item", "rest").agg(F.min_by(F.struct("word", "cost"), F.struct("cost", -F.col("n"), "word")).alias("b"))
+    asked = base.cut(distinct.where((F.col("rest") != "") | (F.length("item") > 1) & F.col("item").rlike(r"\p{L}")))
+    common = words.where(F.col("n") >= RARER * NONE)
+    options = base.map_arrow(asked, _options, "item string, rest string, word string, cost int").join(common, "word")
+    order = F.struct(F.floor(F.col("cost") / 2), -F.col("n"), "cost", "word")
+    best = options.groupBy("item", "rest").agg(F.min_by(F.struct("word", F.col("cost"), "n"), order).alias("b"))
     cuts = asked.where("rest <> ''").join(best, ["item", "rest"], "left")
-    left, right = words.select(F.col("word").alias("item"), F.lit(True).alias("l")), words.select(F.col("word").alias("rest"), F.lit(True).alias("r"))
+    left, right = common.select(F.col("word").alias("item"), F.lit(True).alias("l")), common.select(F.col("word").alias("rest"), F.lit(True).alias("r"))
     cuts = cuts.join(left, "item", "left").join(right, "rest", "left")
     plain = F.when(F.col("l") & F.col("r"), F.concat_ws("-", "item", "rest")).otherwise(F.concat("item", "rest"))
-    cuts = cuts.select("item", "rest", F.coalesce("b.word", plain).alias("meant"), F.coalesce(F.col("b.cost") >= 4, F.lit(False)).alias("misread"))
-    return cuts.unionByName(best.where("rest = ''").select("item", "rest", F.col("b.word").alias("meant"), F.lit(True).alias("misread")))
+    cuts = cuts.select("item", "rest", F.coalesce("b.word", plain).alias("meant"), F.coalesce(F.col("b.cost") >= 2, F.lit(False)).alias("misread"))
+    own = words.select(F.col("word").alias("item"), F.col("n").alias("own"))
+    wrong = best.where("rest = ''").join(own, "item", "left").where(F.col("b.n") >= RARER * F.coalesce(F.col("own"), F.lit(NONE)))
+    return cuts.unionByName(wrong.select("item", "rest", F.col("b.word").alias("meant"), F.lit(True).alias("misread")))
 
 
 class Scans:
@@ -153,15 +144,26 @@ class Scans:
         own = df.select(F.col(row_id).alias("row_key"), F.col(text).cast("string").alias("t"), *((F.expr(facts[k]) if k in facts else F.lit(None)).cast(kind).alias(k) for k, kind in kinds.items()), F.coalesce(F.expr(scanned), F.lit(False)).alias("scanned")).where("t is not null and t <> ''")
         self.row_id = row_id
         self.scans = base.spread(own.where("scanned").drop("scanned"))
-        kind = own.schema["row_key"].dataType.simpleString()
-        edges = base.cut(base.map_arrow(self.scans, _edges, f"row_key {kind}, shape string").where("shape <> ''").distinct())
-        often = edges.groupBy("shape").agg(F.count("*").alias("n")).where(F.col("n") >= RECURS).select("shape")
-        recurring = edges.join(often, "shape").groupBy("row_key").agg(F.collect_set("shape").alias("recurring"))
-        self.rows = base.cut(self.scans.join(recurring, "row_key", "left"))
+        self.kind = own.schema["row_key"].dataType.simpleString()
+        first = base.cut(self._read(self.scans.withColumn("running", F.lit(None).cast("array<string>"))))
+        self.running = base.cut(self._running(first))
+        again = self._read(self.scans.join(self.running, "row_key"))
+        self.reads = base.cut(first.where("kind <> 'edge'").join(self.running.select("row_key"), "row_key", "left_anti").unionByName(again.where("kind <> 'edge'")))
         self.words = base.cut(vocabulary(own.where("not scanned"), "t"))
-        self.reads = base.cut(base.map_arrow(self.rows.select("row_key", "t", "page", "end_page", "title", "document", "recurring"), _reads, f"row_key {kind}, kind string, item string, rest string"))
         self.readings = base.cut(readings(self.reads, self.words))
-        self.kind = kind
+
+    def _read(self, rows: DataFrame) -> DataFrame:
+        return base.map_arrow(rows.select("row_key", "t", "page", "end_page", "title", "document", "running"), _reads, f"row_key {self.kind}, kind string, item string, rest string")
+
+    def _running(self, reads: DataFrame) -> DataFrame:
+        """`row_key`, `running`: heads of its book that a record's edges repeat. A book has at most as many as an edge's share allows."""
+        edges = reads.where("kind = 'edge'").select("row_key", F.col("item").alias("line"), F.col("rest").alias("book")).distinct()
+        size = self.scans.groupBy(F.coalesce("document", F.lit("")).alias("book")).agg(F.count("*").alias("size"))
+        heads = edges.groupBy("book", F.col("line").alias("head")).agg(F.count("*").alias("n")).join(size, "book").where((F.col("n") >= 2) & (F.col("n") >= SHARE * F.col("size"))).select("book", "head")
+        half = lambda c: F.explode(F.array(F.concat(F.lit("<"), F.substring(c, 1, pages.HALF)), F.concat(F.lit(">"), F.right(F.col(c), F.lit(pages.HALF)))))
+        met = edges.withColumn("half", half("line")).join(heads.withColumn("half", half("head")), ["book", "half"])
+        most = F.floor(pages.REPEATS * F.greatest(F.length("line"), F.length("head")))
+        return met.where(F.levenshtein("line", "head") <= most).groupBy("row_key").agg(F.collect_set("head").alias("running"))
 
     def findings(self) -> DataFrame:
         """Distinct `row_id`, `kind` (hyphen, misread, header, pagenum), `item`."""
@@ -175,7 +177,7 @@ class Scans:
         """`row_id`, `paragraphs`: each scanned text as continuous paragraphs."""
         fixes = self.reads.where("kind in ('cut', 'word')").select("row_key", "item", "rest").join(self.readings, ["item", "rest"])
         by = fixes.groupBy("row_key").agg(F.collect_list(F.struct("item", "rest", "meant")).alias("fixes"))
-        rows = self.rows.join(by, "row_key", "left").select("row_key", "t", "page", "end_page", "title", "document", "recurring", "fixes")
+        rows = self.scans.join(self.running, "row_key", "left").join(by, "row_key", "left").select("row_key", "t", "page", "end_page", "title", "document", "running", "fixes")
         return base.map_arrow(rows, _repair, f"row_key {self.kind}, paragraphs array<string>").withColumnRenamed("row_key", self.row_id)
 
 
@@ -186,9 +188,10 @@ def _cased(meant: str, seen: str) -> str:
     return meant[:1].upper() + meant[1:] if letters and letters[0].isupper() and seen[:1].isalpha() else meant
 
 
-def repair(text, page, end, title, document, recurring, fixes) -> list[str]:
+def repair(text, page, end, title, document, running, fixes) -> list[str]:
     """A paragraph ends where a blank line that is not a page's edge, or a short line that closes a sentence, ends it."""
-    spans, marks = marked(text, page, end, title, document, recurring)
+    own = marked(text, page, end, title, document, running)
+    spans, marks = own.spans, own.marks
     meant = {(f["item"], f["rest"]): f["meant"] for f in fixes or ()}
     body = [(i, text[a:b].strip()) for i, ((a, b), m) in enumerate(zip(spans, marks)) if m is None and text[a:b].strip()]
     width = max((len(s) for _, s in body), default=0)

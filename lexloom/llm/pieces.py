@@ -1,9 +1,11 @@
 """Problem 2: cutting items larger than a limit into overlapping pieces at natural boundaries.
 
-Byte-range processing: a text (a row of a table, or a file that is never loaded whole) is taken in ranges with halos on both sides. A worker
-finds the boundaries of its own range; the boundary tables are stitched by range, lengths are prefix-summed into offsets in the whole, and
-every range emits its pieces by offset. Where a range's pieces begin depends only on the characters in reach of its start, which the range
-before sees in its halo, so neighbours agree without talking.
+Byte-range processing: every text over the limit, a row of a table or a file that is never loaded whole, is taken in ranges with halos on both
+sides. A worker finds the boundaries of its own range; whatever decides on a boundary stands within the halo. How the pieces run through a
+range depends only on where the first one enters it, so a worker notes for every place of entry where the last piece leaves and how many there
+are. These tables are stitched from range to range, the counts are summed into piece numbers, and every range emits its pieces by offset. The
+result doesn't depend on the ranges' size. The ranges of a row, which Parquet reads whole, stay in the row's task; those of a file are spread over
+the cluster and meet only by their tables.
 
 Boundaries, best first: a unit of the section (numbered sub-section after the first, proviso, explanation, exception, block of
 illustrations), a sentence, white space, any character. Defined results: null and empty texts give no piece; texts up to the limit are one
@@ -13,42 +15,42 @@ piece; repeated rows are cut each for itself; an empty table gives an empty tabl
 from __future__ import annotations
 
 import difflib
-import os
-from bisect import bisect_right
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm import base, pages
-from lexloom.llm.uniform import fold_text
+from lexloom.llm.uniform import fold_column, fold_text
 
 LIMIT, OVERLAP = 1500, 150
-#: Characters (of a table's text) or bytes (of a file) in a range of its own.
-RANGE = 1 << 18
-#: Beyond the limit a halo holds what a boundary's own context needs.
-CONTEXT = 512
+#: Characters of a text's beginning in which its section's heading is looked for.
+OPENING = 400
+#: Characters of a table's text in a range: as many as the limit, so that every text over it has several. Bytes of a file in a range.
+RANGE, FILE_RANGE = LIMIT, 1 << 18
+#: What decides on a boundary stands within so many characters of it; in a scan, where lines that the page added lie between, within more.
+CONTEXT, SCAN_CONTEXT = 128, 1024
+#: Characters over which the parts of a unit's number or label, and what stands before and after it, may be spread in a scan; and without page lines.
+SPREAD, LOOK = 320, 64
 
 # The words that open a unit.
 OPENERS = ("provided", "explanation", "exception", "illustration", "illustrations")
-NUMBERED = regex.compile(r"[(\[]?(?<![\w.\-,])(\d{1,3})[)\]](?=\s*[\p{Lu}\"“‘(])")
+NUMBERED = regex.compile(r"[(\[]?(?<![\w.\-,])(\d{1,3})[)\]](?=\s{0,32}[\p{Lu}\"“‘(])")
 WORD = regex.compile(r"(?<![\w\-])\p{L}[\p{L}\d']{6,13}(?![\w\-])")
 SENTENCE = regex.compile(r"[.!?।॥۔。！？]['\"”’」』)\]]*\s+(?=\S)")
 #: A line that gives only a value, as after "Number of entries:".
 VALUE_LINE = regex.compile(r"\n\s*\d[\d,.]*\s*\n\s*$")
-SPACE = regex.compile(r"\s+(?=\S)")
+SPACE = regex.compile(r"(?<=\s)(?=\S)")
 
 
-def compact(text: str, page: int | None, end_page: int | None, title: str | None, document: str | None, scanned: bool) -> tuple[str, list[int]]:
-    """The text as it reads, in uniform characters and, for a scan, without page furniture and line-end hyphens; and each character's place."""
-    plain, source = fold_text(text)
-    if not scanned:
-        return plain, source.tolist()
-    spans = pages.lines(plain)
-    marks = pages.furniture(plain, spans, page, end_page, title, document)
-    body = [(a, b) for (a, b), mark in zip(spans, marks) if mark is None and plain[a:b].strip()]
+def compact(plain: str, source: np.ndarray, page: pages.Page | None) -> tuple[str, np.ndarray]:
+    """A text in uniform characters as it reads: a scan without the lines that its pages added and without line-end hyphens. And each character's place."""
+    if page is None:
+        return plain, source
+    body = [(a, b) for k, (a, b) in enumerate(page.spans) if page.marks[k] is None and page.words[k]]
     out, place = [], []
     for k, (a, b) in enumerate(body):
         end = a + len(plain[a:b].rstrip())
@@ -57,11 +59,11 @@ def compact(text: str, page: int | None, end_page: int | None, title: str | None
             end -= 1
         skip = len(plain[a:end]) - len(plain[a:end].lstrip())
         out.append(plain[a + skip : end])
-        place.extend(source[a + skip : end].tolist())
+        place.append(source[a + skip : end])
         if not joined:
             out.append("\n")
-            place.append(int(source[min(end, len(source) - 1)]))
-    return "".join(out), place
+            place.append(source[min(end, len(source) - 1) :][:1])
+    return "".join(out), np.concatenate([*place, np.zeros(0, np.int64)]).astype(np.int64)
 
 
 def _opens(word: str) -> str | None:
@@ -77,22 +79,35 @@ def _opens(word: str) -> str | None:
     return None
 
 
-def unit_starts(text: str, place: list[int] | None = None, first: bool = True) -> list[int]:
-    """Places where a unit of the section begins in a compact text."""
+def unit_starts(text: str, place: np.ndarray | None = None) -> list[int]:
+    """Places where a unit of the section begins in a compact text. What stands further off than LOOK characters here, or SPREAD in the text as stored, decides nothing."""
+    place = np.arange(len(text)) if place is None else place
     out = []
+
+    def near(at: int, to: int, of: int) -> str:
+        """text[at:to] as far as it lies within SPREAD of the character `of`."""
+        at, to = max(at, 0), min(to, len(text))
+        if to > at and abs(int(place[at]) - int(place[of])) > SPREAD:
+            at = max(at, bisect_left(place, place[of] - SPREAD))
+        if to > at and abs(int(place[to - 1]) - int(place[of])) > SPREAD:
+            to = min(to, bisect_right(place, place[of] + SPREAD))
+        return text[at:to]
+
     for m in NUMBERED.finditer(text):
-        before = text[: m.start()].rstrip()[-12:]
-        after_value = VALUE_LINE.search(text, max(0, m.start() - 24), m.start())
-        if int(m[1]) >= 2 and (before[-1:] in ".:;!?—\"”)]" or after_value or not before and not first) and not regex.search(r"(?i)\bsecs?\.$|\bnos?\.$|\brs\.$|sub-?\s?section$|section$|clause$", before):
+        if int(m[1]) < 2 or not near(m.end(), m.end() + 33, m.start()).strip():
+            continue
+        leading = near(m.start() - LOOK, m.start(), m.start())
+        before = leading.rstrip()[-12:]
+        if (before[-1:] in (".", ":", ";", "!", "?", "—", '"', "”", ")", "]") or VALUE_LINE.search(leading[-24:])) and not regex.search(r"(?i)\bsecs?\.$|\bnos?\.$|\brs\.$|sub-?\s?section$|section$|clause$", before):
             out.append(m.start())
     for m in WORD.finditer(text):
-        if not m[0][0].isupper():
+        if not m[0][0].isupper() or len(near(m.start(), m.end(), m.start())) < len(m[0]):
             continue
         opener = _opens(m[0])
         if opener is None:
             continue
-        before = text[: m.start()].rstrip()[-1:]
-        after = text[m.end() : m.end() + 24]
+        before = near(m.start() - LOOK, m.start(), m.start()).rstrip()[-1:]
+        after = near(m.end(), m.end() + 24, m.start())
         if before and before not in ".:;!?—\"”)]":
             continue
         if opener == "provided":
@@ -100,14 +115,29 @@ def unit_starts(text: str, place: list[int] | None = None, first: bool = True) -
                 out.append(m.start())
         elif regex.match(r"\s*\d{0,3}\s*[.:]?\s*[-—–]|\s*\d{0,3}\s*[.:]\s*[-—–]?", after):
             out.append(m.start())
-    out = sorted(set(out))
-    return out if place is None else [place[k] for k in out]
+    return [int(place[k]) for k in sorted(set(out))]
 
 
 def starts_in(text: str, page=None, end_page=None, title=None, document=None, scanned=False) -> list[int]:
-    """Unit starts by place in the text as stored."""
-    plain, place = compact(text, page, end_page, title, document, scanned)
-    return unit_starts(plain, place)
+    """Unit starts of a whole text, by place in it as stored."""
+    plain, source = fold_text(text)
+    return unit_starts(*compact(plain, source, Scan(plain, page, end_page, title, document).page if scanned else None))
+
+
+class Scan:
+    """What relates a scan's pages to each other: heads that are known or repeat, numbers that go on."""
+
+    def __init__(self, plain: str, page: int | None, end_page: int | None, title: str | None, document: str | None):
+        self.facts = (page, end_page, pages.known_heads(title, document, plain[:OPENING]))
+        self.page = pages.Page(plain, *self.facts)
+        bare = {n for k, n in self.page.numbers.items() if self.page.bare(k)} if page is None else set()
+        self.continued = {n for n in bare if n - 1 in bare or n + 1 in bare}
+        self.running = self.page.repeated()
+        self.page.mark_heads(self.running)
+
+    def part(self, plain: str, begins: bool, ends: bool) -> pages.Page:
+        """The lines of a range."""
+        return pages.Page(plain, *self.facts, self.continued, begins, ends).mark_heads(self.running)
 
 
 class Cutter:
@@ -115,168 +145,238 @@ class Cutter:
 
     def __init__(self, body: str, units: list[int], limit: int, overlap: int):
         self.body, self.limit, self.overlap = body, limit, overlap
-        self.levels = [units, [m.end() for m in SENTENCE.finditer(body)], [m.end() for m in SPACE.finditer(body)]]
-
-    def last_cut(self, low: int, high: int) -> int:
-        """The best cut in (low, high]: of the best level that has one, the last."""
+        self.spaces = [m.start() for m in SPACE.finditer(body)]
+        self.levels = [units, [m.end() for m in SENTENCE.finditer(body)], self.spaces]
+
+    def following(self, at: int) -> int:
+        """Where a piece that begins at a place ends: of the best kind of boundary that there is, the last within the limit."""
+        low, high = at + self.overlap, at + self.limit
+        if high >= len(self.body):
+            return len(self.body)
         for level in self.levels:
-            at = bisect_right(level, high)
-            if at and level[at - 1] > low:
-                return level[at - 1]
+            k = bisect_right(level, high)
+            if k and level[k - 1] > low:
+                return level[k - 1]
         return high
 
-    def first_cut(self, low: int, high: int) -> int:
-        """The best cut in [low, high): of the best level that has one, the first."""
-        for level in self.levels:
-            at = bisect_right(level, low - 1)
-            if at < len(level) and level[at] < high:
-                return level[at]
-        return low
-
-    def cut(self, start: int, end: int) -> Iterator[tuple[int, int]]:
-        """Pieces of [start, end), each up to the limit; neighbours share `overlap` characters."""
-        at = start
-        while end - at > self.limit:
-            to = self.last_cut(at + self.overlap, at + self.limit)
-            yield at, to
-            at = to - self.overlap
-        if end > at:
-            yield at, end
+    def entries(self, begin: int, end: int) -> list[int]:
+        """Places in [begin, end) where the first piece of a range can begin whose text before it is cut elsewhere: all that a boundary allows, and all within a stretch without any."""
+        end = min(end, begin + self.limit - self.overlap)
+        near = {b - self.overlap for level in self.levels for b in level[bisect_left(level, begin + self.overlap) : bisect_left(level, end + self.overlap)]}
+        places = np.arange(begin, max(begin, end))
+        spaces = np.array([-1 << 40, *self.spaces])
+        last = spaces[np.searchsorted(spaces, places + self.overlap, "right") - 1]
+        free = last <= np.maximum(places - self.limit + 2 * self.overlap, 0)
+        return sorted(near | set(places[free].tolist()))
+
+    def through(self, begins: list[int], end: int) -> tuple[dict[int, tuple[int, int]], dict[int, int]]:
+        """For each place of entry, where the first piece beyond `end` begins (or the text's length) and how many pieces begin before; and the ends of all pieces on these ways."""
+        known: dict[int, tuple[int, int]] = {}
+        ends: dict[int, int] = {}
+        for first in begins:
+            way, at = [], first
+            while at < end and at not in known:
+                ends[at] = to = self.following(at)
+                way.append(at)
+                at = to - self.overlap if to < len(self.body) else len(self.body)
+            leave, n = known.get(at, (at, 0))
+            for place in reversed(way):
+                n += 1
+                known[place] = (leave, n)
+        return {b: known[b] for b in begins if b in known}, ends
 
 
 def pieces_of(text: str, units: list[int], limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    return list(Cutter(text, units, limit, overlap).cut(0, len(text))) if text else []
+    """Pieces of a whole text, one after the other."""
+    cutter, at, out = Cutter(text, units, limit, overlap), 0, []
+    while at < len(text):
+        to = cutter.following(at)
+        out.append((at, to))
+        at = to - overlap if to < len(text) else to
+    return out
+
 
+#: What the record may say of a scan.
+FACTS = {"page": "int", "end_page": "int", "title": "string", "document": "string", "scanned": "boolean"}
+#: A range's table: for places of entry, where the last piece leaves and how many pieces there are; and the pieces on all these ways.
+TABLE = ("enter", "leave", "many", "starts", "until")
 
-def _facts(df: DataFrame, row_id: str, text: str, facts: dict[str, str]) -> DataFrame:
+
+def _table(body: str, units: list[int], lead: int, size: int, offset: int, limit: int, overlap: int) -> dict[str, list[int]]:
+    cutter = Cutter(body, units, limit, overlap)
+    begins = [0] if offset == 0 else cutter.entries(lead, lead + size)
+    ways, ends = cutter.through(begins, lead + size)
+    whole = offset - lead
+    return dict(zip(TABLE, ([whole + b for b in ways], [whole + leave for leave, _ in ways.values()], [n for _, n in ways.values()], [whole + b for b in ends], [whole + e for e in ends.values()])))
+
+
+def stitch(parts: list[dict]) -> list[tuple[int, int, int]]:
+    """From range to range of a text: (index of a range, where its first piece begins, how many pieces there are before). A range that a piece spans has none."""
+    at, before, out = 0, 0, []
+    for no, part in enumerate(parts):
+        enter = part["enter"]
+        k = bisect_left(enter, at)
+        if k < len(enter) and enter[k] == at:
+            out.append((no, at, before))
+            at, before = part["leave"][k], before + part["many"][k]
+        elif k < len(enter):
+            raise RuntimeError(f"a piece begins at {at}, where none can")
+    return out
+
+
+def follow(part: dict, first: int, before: int, overlap: int) -> list[tuple[int, int, int]]:
+    """(number, start, end) of the pieces of a range on the way from its place of entry."""
+    ends, at, out = dict(zip(part["starts"], part["until"])), first, []
+    for no in range(before, before + part["many"][bisect_left(part["enter"], first)]):
+        out.append((no, at, ends[at]))
+        at = ends[at] - overlap
+    return out
+
+
+def ranges_of(n: int, size: int, context: int, tail: int) -> list[tuple[int, int, int, bool]]:
+    """(offset, characters of halo before, end of the halo behind, whether that is the text's end) of each range of n characters."""
+    return [(at, min(context, at), min(n, at + size + context + tail), at + size + context + tail >= n) for at in range(0, n, size)]
+
+
+def _texts(df: DataFrame, row_id: str, text: str, facts: dict[str, str]) -> DataFrame:
     """The columns that a worker needs; facts name the columns of title, document, page, end_page and scanned, or leave them out."""
-    kinds = {"title": "string", "document": "string", "page": "int", "end_page": "int", "scanned": "boolean"}
-    return df.select(F.col(row_id).alias("row_key"), F.col(text).cast("string").alias("t"), *((F.expr(facts[k]) if k in facts else F.lit(None)).cast(kind).alias(k) for k, kind in kinds.items()))
+    own = df.select(F.col(row_id).alias("row_key"), F.col(text).cast("string").alias("t"), *((F.expr(facts[k]) if k in facts else F.lit(None)).cast(kind).alias(k) for k, kind in FACTS.items()))
+    return own.where("t is not null and t <> ''")
+
+
+def _bodies(batch: pa.RecordBatch, size: int, tail: int):
+    """(row, text, offset, lead, body, units in the body) of every range of every text; the bodies of a slice of texts are folded together."""
+    texts = batch.column(1).to_pylist()
+    rows = list(zip(*(batch.column(n).to_pylist() for n in ("page", "end_page", "title", "document", "scanned"))))
+    scanned = [i for i, r in enumerate(rows) if r[4]]
+    scans = {i: Scan(plain, *rows[i][:4]) for i, plain in zip(scanned, fold_column(batch.column(1).take(pa.array(scanned, pa.int64())))[0])} if scanned else {}
+    cuts = [(i, *r) for i, t in enumerate(texts) for r in ranges_of(len(t), size, SCAN_CONTEXT if i in scans else CONTEXT, tail)]
+    bodies = [texts[i][at - lead : to] for i, at, lead, to, _ in cuts]
+    for (i, at, lead, _, ends), body, plain, source in zip(cuts, bodies, *fold_column(pa.array(bodies, pa.string()))):
+        page = scans[i].part(plain, at == lead, ends) if i in scans else None
+        yield i, texts[i], at, lead, body, unit_starts(*compact(plain, source, page))
 
 
-def _emit(what: str, limit: int, overlap: int):
+def _units(size: int):
     def work(batches):
         for batch in base.slices(batches, 1):
-            keys, starts, ends, nos = [], [], [], []
-            rows = batch.to_pydict()
-            for i, text in enumerate(rows["t"]):
-                units = starts_in(text, rows["page"][i], rows["end_page"][i], rows["title"][i], rows["document"][i], bool(rows["scanned"][i])) if len(text) > limit else []
-                spans = [(u, u) for u in units] if what == "units" else pieces_of(text, units, limit, overlap)
-                keys += [i] * len(spans)
-                starts += [a for a, _ in spans]
-                ends += [b for _, b in spans]
-                nos += range(len(spans))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(nos, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["row_key", "piece_no", "start_char", "end_char"])
+            keys, starts = [], []
+            for i, text, at, lead, _, units in _bodies(batch, size, 0):
+                own = [at + u - lead for u in units if lead <= u < lead + min(size, len(text) - at)]
+                keys += [i] * len(own)
+                starts += own
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(starts, pa.int32())], ["row_key", "start_char"])
 
     return work
 
 
-def unit_table(df: DataFrame, row_id: str, text: str, facts: dict[str, str], limit: int = LIMIT) -> DataFrame:
-    """`row_id`, `start_char` of every unit in texts over the limit."""
-    own = _facts(df, row_id, text, facts).where(F.length("t") > limit)
-    out = _ranged(own, "units", limit, OVERLAP)
+def _spans(size: int, limit: int, overlap: int):
+    def work(batches):
+        for batch in base.slices(batches, 1):
+            parts: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for i, text, at, lead, body, units in _bodies(batch, size, limit):
+                parts[i].append(_table(body, units, lead, min(size, len(text) - at), at, limit, overlap))
+            found = [(i, *span) for i, own in enumerate(parts) for no, first, before in stitch(own) for span in follow(own[no], first, before, overlap)]
+            columns = list(zip(*found)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int32()) for c in columns[1:])], ["row_key", "piece_no", "start_char", "end_char"])
+
+    return work
+
+
+def unit_table(df: DataFrame, row_id: str, text: str, facts: dict[str, str], limit: int = LIMIT, size: int = RANGE) -> DataFrame:
+    """`row_id`, `start_char` of every unit in texts over the limit, which are read in ranges of `size` characters."""
+    own = base.spread(_texts(df, row_id, text, facts).where(F.length("t") > limit))
+    out = base.map_arrow(own, _units(size), f"row_key {own.schema['row_key'].dataType.simpleString()}, start_char int")
     return out.select(F.col("row_key").alias(row_id), "start_char").distinct()
 
 
-def pieces(df: DataFrame, row_id: str, text: str, facts: dict[str, str], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def pieces(df: DataFrame, row_id: str, text: str, facts: dict[str, str], limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE) -> DataFrame:
     """`row_id`, `piece_no`, `start_char`, `end_char` of every piece of every non-empty text; join by `row_id` for whatever the record keeps."""
-    own = _facts(df, row_id, text, facts).where("t is not null and t <> ''")
-    return _ranged(own, "pieces", limit, overlap).withColumnRenamed("row_key", row_id)
-
-
-def _ranged(own: DataFrame, what: str, limit: int, overlap: int) -> DataFrame:
-    """Texts of one range are handled where they are; longer ones range by range."""
-    own = base.spread(own)
-    kind = own.schema["row_key"].dataType.simpleString()
-    schema = f"row_key {kind}, piece_no int, start_char int, end_char int"
-    short = base.map_arrow(own.where(F.length("t") <= RANGE), _emit(what, limit, overlap), schema)
-    halo = limit + overlap + CONTEXT
-    long = own.where(F.length("t") > RANGE).withColumn("range_no", F.explode(F.sequence(F.lit(0), ((F.length("t") - 1) / RANGE).cast("int"))))
-    long = long.withColumn("lead", F.least(F.lit(halo), F.col("range_no") * RANGE)).withColumn("size", F.least(F.lit(RANGE), F.length("t") - F.col("range_no") * RANGE))
-    long = long.withColumn("t", F.substring("t", F.col("range_no") * RANGE - F.col("lead") + 1, F.col("lead") + F.col("size") + halo))
-    long = long.withColumn("offset", F.col("range_no").cast("long") * RANGE)
-    long = long.repartition("row_key", "range_no")
-    cut = base.map_arrow(long.select("row_key", "range_no", "lead", "size", "offset", "t", "page", "end_page", "title", "document", "scanned"), _emit_range(what, limit, overlap), f"row_key {kind}, range_no int, start_char long, end_char long")
-    cut = _numbered(cut, "row_key")
-    return short.unionAll(cut.select("row_key", F.col("piece_no").cast("int").alias("piece_no"), F.col("start_char").cast("int").alias("start_char"), F.col("end_char").cast("int").alias("end_char")))
-
-
-def _numbered(cut: DataFrame, key: str) -> DataFrame:
-    """Adds `piece_no`: the range's first number, a prefix sum over the ranges' counts, plus the place within the range."""
-    counts = cut.groupBy(key, "range_no").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(key).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select(key, "range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy(key, "range_no").orderBy("start_char")
-    return cut.withColumn("k", F.row_number().over(inside) - 1).join(firsts, [key, "range_no"]).withColumn("piece_no", F.col("first") + F.col("k")).drop("first", "k")
-
-
-def _range_spans(what, body, lead, size, offset, limit, overlap, facts) -> list[tuple[int, int]]:
-    """Spans in the whole text that belong to the range body[lead : lead + size], which begins at `offset` of the whole."""
-    plain, place = compact(body, *facts)
-    units = unit_starts(plain, place, first=offset == 0)
-    if what == "units":
-        return [(offset + u - lead, offset + u - lead) for u in units if lead <= u < lead + size]
-    cutter = Cutter(body, units, limit, overlap)
-    start = lead if offset == 0 else cutter.first_cut(lead, min(lead + limit, len(body)))
-    end = cutter.first_cut(lead + size, min(lead + size + limit, len(body))) if lead + size < len(body) else len(body)
-    begin = start if offset == 0 else max(0, start - overlap)
-    return [(offset + a - lead, offset + b - lead) for a, b in cutter.cut(begin, end)] if end > start else []
+    own = base.spread(_texts(df, row_id, text, facts))
+    schema = f"row_key {own.schema['row_key'].dataType.simpleString()}, piece_no int, start_char int, end_char int"
+    short = own.where(F.length("t") <= limit).select("row_key", F.lit(0).alias("piece_no"), F.lit(0).alias("start_char"), F.length("t").alias("end_char"))
+    return short.unionAll(base.map_arrow(own.where(F.length("t") > limit), _spans(size, limit, overlap), schema)).withColumnRenamed("row_key", row_id)
 
 
-def _emit_range(what: str, limit: int, overlap: int):
-    def work(batches):
-        for batch in base.slices(batches, 5):
-            rows, keys, starts, ends = batch.to_pydict(), [], [], []
-            for i, body in enumerate(rows["t"]):
-                facts = (rows["page"][i], rows["end_page"][i], rows["title"][i], rows["document"][i], bool(rows["scanned"][i]))
-                for a, b in _range_spans(what, body, rows["lead"][i], rows["size"][i], rows["offset"][i], limit, overlap, facts):
-                    keys.append(i)
-                    starts.append(a)
-                    ends.append(b)
-            at = pa.array(keys, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["row_key", "range_no", "start_char", "end_char"])
+def _opened(path: str):
+    """A file on whatever storage its address names."""
+    from pyarrow import fs
 
-    return work
+    if "://" not in path:
+        path = "file://" + path
+    system, inner = fs.FileSystem.from_uri(path)
+    return system, inner
 
 
-def _read_range(path: str, begin: int, end: int, halo: int) -> tuple[str, int, int]:
+def _read_range(path: str, begin: int, end: int, lead: int, tail: int) -> tuple[str, int, int]:
     """Body with halos, characters before the range's own, and its own characters. A character belongs to the range of its first byte."""
-    with open(path, "rb") as f:
-        f.seek(max(0, begin - 4 * halo))
-        raw = f.read(end - f.tell() + 4 * halo)
-        base_at = max(0, begin - 4 * halo)
-    heads = lambda at: next((k for k in range(at, min(at + 4, len(raw))) if raw[k] & 0xC0 != 0x80), len(raw))
-    first, own, to = heads(0), heads(begin - base_at), heads(min(end - base_at, len(raw)))
-    lead, body, tail = raw[first:own].decode("utf-8", "replace"), raw[own:to].decode("utf-8", "replace"), raw[to:].decode("utf-8", "ignore")
-    lead = lead[-halo:]
-    return lead + body + tail[:halo], len(lead), len(body)
-
-
-def file_pieces(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE) -> DataFrame:
+    system, inner = _opened(path)
+    at = max(0, begin - 4 * lead)
+    with system.open_input_file(inner) as f:
+        f.seek(at)
+        raw = f.read(end - at + 4 * tail)
+    heads = lambda k: next((i for i in range(k, min(k + 4, len(raw))) if raw[i] & 0xC0 != 0x80), len(raw))
+    first, own, to = heads(0), heads(begin - at), heads(min(end - at, len(raw)))
+    before, body, after = raw[first:own].decode("utf-8", "replace"), raw[own:to].decode("utf-8", "replace"), raw[to:].decode("utf-8", "ignore")
+    before = before[len(before) - min(lead, len(before)) :]
+    return before + body + after[:tail], len(before), len(body)
+
+
+def _columns(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names)
+
+
+def file_pieces(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = FILE_RANGE) -> DataFrame:
     """`path`, `piece_no`, `start_char`, `end_char`, `piece` of UTF-8 files on storage that all workers see. No file is loaded whole.
 
-    First pass: characters per range; these are prefix-summed. Second pass: every range cuts its own part and emits by offset.
+    First pass: characters per range; these are prefix-summed. Second: every range's table; these are stitched, one small table per range.
+    Third: the pieces, by offset.
     """
-    halo = limit + overlap + CONTEXT
-    sizes = spark.createDataFrame([(p, os.path.getsize(p)) for p in paths], "path string, bytes long").where("bytes > 0")
-    ranges = sizes.select("path", "bytes", F.explode(F.sequence(F.lit(0), ((F.col("bytes") - 1) / range_bytes).cast("int"))).alias("range_no"))
-    ranges = ranges.select("path", "range_no", (F.col("range_no").cast("long") * range_bytes).alias("begin"), F.least(F.col("bytes"), (F.col("range_no").cast("long") + 1) * range_bytes).alias("end")).repartition("path", "range_no")
+    long, longs, string = pa.int64(), pa.list_(pa.int64()), pa.string()
+
+    def sized(batches):
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            yield _columns([(n, system.get_file_info(inner).size) for n, (system, inner) in zip(names, map(_opened, names))], [string, long], ["path", "bytes"])
 
     def count(batches):
         for batch in batches:
-            sizes = [_read_range(p, a, b, 0)[2] for p, a, b in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], [*batch.schema.names, "chars"])
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            yield _columns([(*r, _read_range(r[0], r[2], r[3], 0, 0)[2]) for r in rows], [string, pa.int32(), long, long, long], ["path", "range_no", "begin", "end", "chars"])
 
-    def emit(batches):
+    def tables(batches):
         for batch in batches:
+            out = []
             for path, no, begin, end, offset in zip(*(c.to_pylist() for c in batch.columns)):
-                body, lead, size = _read_range(path, begin, end, halo)
-                spans = _range_spans("pieces", body, lead, size, offset, limit, overlap, (None, None, None, None, False))
-                texts = [body[a - offset + lead : b - offset + lead] for a, b in spans]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(spans), pa.string()), pa.array([no] * len(spans), pa.int32()), pa.array([a for a, _ in spans], pa.int64()), pa.array([b for _, b in spans], pa.int64()), pa.array(texts, pa.string())], ["path", "range_no", "start_char", "end_char", "piece"])
+                body, lead, size = _read_range(path, begin, end, CONTEXT, limit + CONTEXT)
+                out.append((path, no, *_table(body, unit_starts(*fold_text(body)), lead, size, offset, limit, overlap).values()))
+            yield _columns(out, [string, pa.int32(), *[longs] * 5], ["path", "range_no", *TABLE])
 
-    counted = base.map_arrow(ranges, count, "path string, range_no int, begin long, end long, chars long")
+    def ways(batches):
+        for batch in batches:
+            out = []
+            for path, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts.sort(key=lambda p: p["range_no"])
+                out += [(path, parts[k]["range_no"], first, before) for k, first, before in stitch(parts)]
+            yield _columns(out, [string, pa.int32(), long, long], ["path", "range_no", "first", "before"])
+
+    def emit(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                body, lead, _ = _read_range(r["path"], r["begin"], r["end"], 0, limit)
+                out += [(r["path"], no, a, b, body[a - r["offset"] + lead : b - r["offset"] + lead]) for no, a, b in follow(r, r["first"], r["before"], overlap)]
+            yield _columns(out, [string, long, long, long, string], ["path", "piece_no", "start_char", "end_char", "piece"])
+
+    names = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "path string")
+    sizes = base.map_arrow(names, sized, "path string, bytes long").where("bytes > 0")
+    ranges = sizes.select("path", "bytes", F.explode(F.sequence(F.lit(0), ((F.col("bytes") - 1) / range_bytes).cast("int"))).alias("range_no"))
+    ranges = ranges.select("path", "range_no", (F.col("range_no").cast("long") * range_bytes).alias("begin"), F.least(F.col("bytes"), (F.col("range_no").cast("long") + 1) * range_bytes).alias("end")).repartition("path", "range_no")
+    counted = base.cut(base.map_arrow(ranges, count, "path string, range_no int, begin long, end long, chars long"))
     before = Window.partitionBy("path").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.select("path", "range_no", "begin", "end", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("offset")).repartition("path", "range_no")
-    out = base.map_arrow(placed, emit, "path string, range_no int, start_char long, end_char long, piece string")
-    return _numbered(out, "path").select("path", "piece_no", "start_char", "end_char", "piece")
+    own = base.cut(base.map_arrow(placed, tables, "path string, range_no int, " + ", ".join(f"{c} array<long>" for c in TABLE)))
+    by = own.groupBy("path").agg(F.collect_list(F.struct("range_no", "enter", "leave", "many")).alias("parts"))
+    entered = base.map_arrow(by, ways, "path string, range_no int, first long, before long")
+    met = placed.join(own, ["path", "range_no"]).join(entered, ["path", "range_no"])
+    return base.map_arrow(met, emit, "path string, piece_no long, start_char long, end_char long, piece string")

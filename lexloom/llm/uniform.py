@@ -177,6 +177,15 @@ def fold_text(text: str) -> tuple[str, np.ndarray]:
     return out.astype("<u4").tobytes().decode("utf-32-le"), source
 
 
+def fold_column(column: pa.Array) -> tuple[list[str], list[np.ndarray]]:
+    """The uniform forms of a slice of texts, folded at once, and each character's place in the text as stored."""
+    points, offsets = base.code_points(column)
+    out, ends, source = fold(points, offsets)
+    whole = out.astype("<u4").tobytes().decode("utf-32-le")
+    ends, offsets = ends.tolist(), offsets.tolist()
+    return [whole[a:b] for a, b in zip(ends, ends[1:])], [source[a:b] - o for a, b, o in zip(ends, ends[1:], offsets)]
+
+
 def _uniform(batches):
     for batch in base.slices(batches, 0):
         column = batch.column(0)

@@ -1,3 +1,6 @@
+import random
+
+import pyarrow as pa
 import pytest
 
 from lexloom.llm import pieces as P
@@ -48,15 +51,31 @@ def test_table(spark):
     assert P.pieces(df.limit(0), "row_id", "text", {}).count() == 0
 
 
-def test_ranges_agree_with_the_whole(spark, monkeypatch):
-    text = (SECTION + " ") * 200
-    df = spark.createDataFrame([(1, text)], "row_id long, text string")
-    units = set(P.starts_in(text))
-    monkeypatch.setattr(P, "RANGE", 20_000)
-    assert {r.start_char for r in P.unit_table(df, "row_id", "text", {}).collect()} == units
-    got = P.pieces(df, "row_id", "text", {}).orderBy("piece_no").collect()
-    assert [r.piece_no for r in got] == list(range(len(got)))
-    check(text, [(r.start_char, r.end_char) for r in got])
+SCANNED = "6. Keeping of a boat.—(1) Whoever keeps a boat pays.\n- 12 -\nKEEPING OF A BOAT    12\n2) A person shall. Expla-\nnation.—A boat. Number of entries:\n458\n3) Where so. Prov1ded that it is.\n"
+
+
+def scanned(n):
+    return "".join(SCANNED.replace("12", str(12 + k)) for k in range(n))
+
+
+@pytest.mark.parametrize("size", [7, 500, 1500, 20_000])
+@pytest.mark.parametrize("kind", ["plain", "scan", "scan without pages", "no spaces", "odd"])
+def test_ranges_of_any_size_agree_with_the_whole(size, kind):
+    rng = random.Random(3)
+    plain = (SECTION + " ") * 30
+    text = {"plain": plain, "scan": scanned(30), "scan without pages": scanned(30), "no spaces": "ab" * 2000 + " c " + "d" * 4000, "odd": "".join(rng.choice(["(2) ", "A", ". ", "\n", "\u200b", "é", "Explanation.—", "Provided that it", " e\u0301", ": "]) for _ in range(3000))}[kind]
+    text = text[: 9000 if size > 10 else 900]
+    facts = (12, 42, "Keeping of a boat", None) if kind == "scan" else (None, None, None, None)
+    batch = pa.RecordBatch.from_pylist([{"row_key": 1, "t": text, "page": facts[0], "end_page": facts[1], "title": facts[2], "document": facts[3], "scanned": kind.startswith("scan")}] * 2)
+    units = P.starts_in(text, *facts, kind.startswith("scan"))
+    got = next(iter(P._units(size)(iter([batch]))))
+    assert sorted(got.column(1).to_pylist()) == sorted(units * 2)
+    assert kind == "no spaces" or units or size < 10
+    limit, overlap = (1500, 150) if size > 10 else (300, 40)
+    spans = next(iter(P._spans(size, limit, overlap)(iter([batch])))).to_pylist()
+    want = P.pieces_of(text, units, limit, overlap)
+    check(text, want, limit, overlap)
+    assert [(r["piece_no"], r["start_char"], r["end_char"]) for r in spans] == [(k, a, b) for k, (a, b) in enumerate(want)] * 2
 
 
 def test_files(spark, tmp_path):
@@ -64,5 +83,5 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(text.encode())
     (tmp_path / "b.txt").write_bytes(b"")
     got = P.file_pieces(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")], range_bytes=9000).orderBy("piece_no").collect()
-    check(text, [(r.start_char, r.end_char) for r in got])
+    assert [(r.start_char, r.end_char) for r in got] == P.pieces_of(text, P.starts_in(text)) and [r.piece_no for r in got] == list(range(len(got)))
     assert all(r.piece == text[r.start_char : r.end_char] for r in got)
