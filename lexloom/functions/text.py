@@ -181,6 +181,26 @@ def speech_form(text: Col, variant: str = "spaced") -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+#: Normal form and steps of each variant of words for edit rates: what is deleted, and what becomes a space.
+SPEECH = {"report": ("NFC", "", r"[\p{P}\p{S}\p{Cf}]"), "study": ("NFC", r"\p{P}", ""), "public": ("NFKC", "", r"[\p{P}\p{S}\p{Cf}]"), "legacy": ("", r"[^\p{L}\p{M}\p{N}_\s]", "")}
+
+
+def speech_words(text: Col, variant: str = "public") -> Column:
+    """Array of lower-case words of a text in its variant's normal form; null gives none."""
+    _, deleted, spaced = SPEECH[variant]
+    out = F.lower(F.coalesce(_c(text), F.lit("")))
+    out = F.regexp_replace(out, deleted, "") if deleted else out
+    out = F.regexp_replace(out, spaced, " ") if spaced else out
+    return F.filter(F.split(F.trim(F.regexp_replace(out, r"\s+", " ")), " "), lambda w: w != "")
+
+
+def word_edits(reference: Column, hypothesis: Column) -> Column:
+    """Edits between two arrays of words: each distinct word of both becomes one character of its own, then strings are compared."""
+    known = F.array_distinct(F.concat(reference, hypothesis))
+    one = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "UTF-32")
+    return F.levenshtein(F.array_join(F.transform(reference, one), ""), F.array_join(F.transform(hypothesis, one), ""))
+
+
 def escaped(text: Col) -> Column:
     """Text safe inside HTML."""
     out = _c(text)

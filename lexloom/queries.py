@@ -288,7 +288,7 @@ def protected_spans(spark, sf_dir):
 def composed_texts(spark, sf_dir):
     ship(spark)
     own = _t(spark, sf_dir, "multilingual_completion", "row_id", "theft").where("theft is not null")
-    return own.select("row_id", G.nfc_udf("NFC")("theft").alias("nfc"))
+    return own.select("row_id", G.normal_udf("NFC")("theft").alias("nfc"))
 
 
 # Evaluation
@@ -345,10 +345,13 @@ def character_errors(spark, sf_dir):
 
 
 def word_errors(spark, sf_dir):
+    """Word edits of `cheating` against `theft`, words as the public variant forms them."""
     ship(spark)
     own = _t(spark, sf_dir, "multilingual_completion", "row_id", "theft", "cheating").where("theft is not null and cheating is not null")
-    scored = own.select("row_id", G.word_edits_udf("public")("theft", "cheating").alias("e"))
-    return scored.select("row_id", "e.edits", "e.words", F.round(F.try_divide("e.edits", "e.words"), 6).alias("wer"))
+    form = G.normal_udf(T.SPEECH["public"][0])
+    own = own.select("row_id", T.speech_words(form("theft")).alias("r"), T.speech_words(form("cheating")).alias("h"))
+    scored = own.select("row_id", T.word_edits(F.col("r"), F.col("h")).alias("edits"), F.size("r").alias("words"))
+    return scored.withColumn("wer", F.round(F.try_divide("edits", "words"), 6))
 
 
 def value_quantiles(spark, sf_dir):
@@ -564,7 +567,7 @@ def repaired_once(spark, sf_dir):
     """Composed forms of titles, each distinct title handled once."""
     ship(spark)
     own = _t(spark, sf_dir, "statute_supplements", "row_id", "title")
-    return analysis.once_per_value(own, "title", "composed", G.nfc_udf("NFC")("title")).select("row_id", "composed")
+    return analysis.once_per_value(own, "title", "composed", G.normal_udf("NFC")("title")).select("row_id", "composed")
 
 
 def crosswalk_benchmark(spark, sf_dir):

@@ -1,6 +1,5 @@
 """Column expressions and grammars on small literal cases."""
 
-import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -10,6 +9,8 @@ from pyspark.sql import functions as F
 from lexloom.functions import checks as C
 from lexloom.functions import dates as D
 from lexloom.functions import grammar as G
+from lexloom.functions import lexicon as X
+from lexloom.functions import numbers as N
 from lexloom.functions import text as T
 
 
@@ -87,12 +88,19 @@ def test_checks(spark):
 @pytest.mark.parametrize(
     "text, expected",
     [
-        ("section three seventy nine", "section 379"), ("IPC four twenty", "IPC 420"), ("section three oh two", "section 302"), ("five lakh twenty thousand rupees", "520,000 rupees"), ("no one may enter", "no one may enter"),
-        ("twenty first of June two thousand twenty four", "21 June 2024"), ("on 5 June 2024", "on 5 June 2024"), ("three hundred and seventy nine boats", "three hundred and seventy nine boats"),
+        ("section three seventy nine", "section 379"), ("IPC four twenty", "IPC 420"), ("section three oh two", "section 302"), ("section number three fifteen", "section number 315"), ("sec three two three", "sec 323"),
+        ("BNS three hundred and three", "BNS 303"), ("article twenty-one", "article 21"), ("section zero", "section zero"), ("five lakh twenty thousand rupees", "520,000 rupees"), ("two crore and five rupees", "20,000,005 rupees"),
+        ("nine hundred ninety nine rupees", "999 rupees"), ("hundred rupees", "hundred rupees"), ("no one may enter", "no one may enter"), ("twenty first of June two thousand twenty four", "21 June 2024"),
+        ("the fifth of July, twenty twenty three", "5 July 2023"), ("on thirty first May", "on thirty first May"), ("on thirty first May nineteen ninety nine", "on 31 May 1999"), ("thirty second of June", "thirty second of June"),
+        ("on 5 June 2024", "on 5 June 2024"), ("three hundred and seventy nine boats", "three hundred and seventy nine boats"), ("march two thousand and five", "March 2005"), ("march on", "march on"), ("", ""),
     ],
 )
 def test_written_numbers(text, expected):
-    assert G.written_numbers(text)[0] == expected
+    assert N.written_numbers(text)[0] == expected
+
+
+def test_number_log():
+    assert N.written_numbers("Section four twenty, five hundred rupees")[1] == [("section", "four twenty", "420"), ("amount", "five hundred", "500")]
 
 
 @pytest.mark.parametrize("text, expected", [("Rs. 5.50 is due. Pay.", ["Rs. 5.50 is due.", "Pay."]), ("हुआ। ठीक", ["हुआ।", "ठीक"]), ("", []), ('He said "no!" Then left', ['He said "no!"', "Then left"])])
@@ -105,15 +113,33 @@ def test_entities():
     assert got == {("DATE", "2024-07-05"), ("SECTION", "IPC 379"), ("OFFENCE", "theft"), ("MONEY", "5000.0"), ("SECTION", "302")}
 
 
-def test_lexicon():
-    assert G.lexicon_repair("grievious hurt under the Bharatiya Nyay Sanhada")[0] == "grievous hurt under the Bharatiya Nyaya Sanhita"
-    assert G.lexicon_repair("a grave hurdle")[0] == "a grave hurdle"
+@pytest.mark.parametrize(
+    "heard, expected",
+    [
+        ("grievious hurt under the Bharatiya Nyay Sanhada", "grievous hurt under the Bharatiya Nyaya Sanhita"), ("a grave hurdle", "a grave hurdle"), ("the Indian Peenal Code", "the Indian Penal Code"), ("extorsion of money", "extortion of money"),
+        ("a movable property", "a movable property"), ("mov able property kept", "movable property kept"), ("a moveable, property", "a moveable, property"), ("", ""), ("criminal breech of trust", "criminal breach of trust"), ("without concent", "without consent"),
+    ],
+)
+def test_lexicon(heard, expected):
+    assert X.lexicon_repair(heard)[0] == expected
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abc", max_size=12), st.text(alphabet="abc", max_size=12))
+def test_bit_parallel_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (c != d)))
+        row = new
+    assert X.edits(a, b) == row[-1]
 
 
-def test_edit_distance():
-    assert G.distance("kitten", "sitting") == 3
-    assert G.distance("one two three".split(), ["two"]) == 2
-    assert G.distance("", "abc") == 3
+def test_word_edits(spark):
+    rows = spark.createDataFrame([("one two three", "two"), ("a b c", "a x c d"), ("", "x"), (None, "a"), ("É! a-b", "é a b")], "r string, h string")
+    got = rows.select(T.word_edits(T.speech_words("r"), T.speech_words("h")).alias("n")).collect()
+    assert [r.n for r in got] == [2, 2, 1, 1, 0]
 
 
 @settings(max_examples=60, deadline=None)
@@ -129,13 +155,12 @@ def test_udfs_take_nulls(spark):
 
     ship(spark)
     rows = spark.createDataFrame([(None,), ("",), ("section three oh two",)], "t string")
-    got = rows.select(G.numbers_udf()("t").alias("n"), G.sentences_udf()("t").alias("s"), G.entities_udf()("t").alias("e"), G.nfc_udf()("t").alias("c"), G.word_edits_udf()("t", "t").alias("w")).collect()
+    got = rows.select(G.numbers_udf()("t").alias("n"), G.sentences_udf()("t").alias("s"), G.entities_udf()("t").alias("e"), G.normal_udf("NFKC")("t").alias("c")).collect()
     assert [r.n.text for r in got] == [None, "", "section 302"]
     assert [r.s for r in got] == [[], [], ["section three oh two"]]
-    assert [r.w.words for r in got] == [0, 0, 4]
+    assert [r.c for r in got] == [None, "", "section three oh two"]
 
 
-def test_speech_words():
-    assert G.speech_words("É! a-b", "public") == ["é", "a", "b"]
-    assert G.speech_words("a-b", "study") == ["ab"]
-    assert G.speech_words(unicodedata.normalize("NFD", "É"), "report") == ["é"]
+def test_speech_words(spark):
+    words = lambda t, v: one(spark, T.speech_words(F.col("t"), v), t=t)
+    assert words("É! a-b", "public") == ["é", "a", "b"] and words("a-b", "study") == ["ab"] and words("a-b_c", "legacy") == ["ab_c"] and words(" ", "report") == []
