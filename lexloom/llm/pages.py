@@ -130,10 +130,10 @@ def halves(k: str) -> tuple[str, str]:
 class Page:
     """The lines of a text, or of a range of it, and their marks."""
 
-    def __init__(self, text: str, page: int | None, end_page: int | None, heads: Iterable[Head] = (), continued: Iterable[int] | None = None, begins: bool = True, ends: bool = True):
+    def __init__(self, text: str, page: int | None, end_page: int | None, heads: Iterable[Head] = (), continued: Iterable[int] | None = None, begins: bool = True, ends: bool = True, seen: dict[str, tuple[str, bool]] | None = None):
         """heads: known running heads. continued: numbers on lines of their own that go on elsewhere in the text (None: look in this text).
         begins, ends: whether the text's own beginning and end are here; if not, a line may be cut there and counts for nothing. The text's
-        end is where the section ends, which is no page's edge."""
+        end is where the section ends, which is no page's edge. seen: keys of lines, and whether these are known heads; kept between ranges."""
         self.text, self.spans, self.page, self.end_page, self.begins = text, lines(text), page, end_page, begins
         self.words = [text[a:b].strip() for a, b in self.spans]
         self.full = [i for i, s in enumerate(self.words) if s and (begins or i) and (ends or i + 1 < len(self.spans))]
@@ -141,11 +141,15 @@ class Page:
         self.marks: list[str | None] = [None] * len(self.spans)
         self.heads = list(heads)
         self.keys: dict[int, str] = {}
+        seen = {} if seen is None else seen
         for i in self.full:
-            if len(self.words[i]) <= LONGEST and not NUMBERED.match(self.words[i]) and len(k := key(self.words[i])) >= LEAST:
+            line = self.words[i]
+            if line not in seen:
+                seen[line] = self._judge(line)
+            k, known = seen[line]
+            if k:
                 self.keys[i] = k
-                own = pairs(k) if self.heads else set()
-                if any(h.repeats(k, own) for h in self.heads):
+                if known:
                     self.marks[i] = "header"
         self.numbers = {i: n for i in self.full if len(self.words[i]) <= LONGEST and (n := number(self.words[i])) is not None}
         if continued is None:
@@ -153,6 +157,15 @@ class Page:
             continued = {n for n in bare if n - 1 in bare or n + 1 in bare}
         self._number_pages(set(continued))
 
+    def _judge(self, line: str) -> tuple[str, bool]:
+        """A line's key, empty if it can't be a head; and whether a known head says it."""
+        k = key(line) if len(line) <= LONGEST and not NUMBERED.match(line) else ""
+        if len(k) < LEAST:
+            return "", False
+        heads = [h for h in self.heads if len(h.text) >= (1 - BESIDES) * len(k)]
+        own = pairs(k) if heads else set()
+        return k, any(h.repeats(k, own) for h in heads)
+
     def _near(self, i: int, step: int) -> Iterator[int]:
         """Lines with text before or after line i, the nearest first, within REACH."""
         k = self.place[i] + step

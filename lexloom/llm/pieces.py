@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import difflib
 from bisect import bisect_left, bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,11 @@ SPREAD, LOOK = 320, 64
 # The words that open a unit.
 OPENERS = ("provided", "explanation", "exception", "illustration", "illustrations")
 NUMBERED = regex.compile(r"[(\[]?(?<![\w.\-,])(\d{1,3})[)\]](?=\s{0,32}[\p{Lu}\"“‘(])")
-WORD = regex.compile(r"(?<![\w\-])\p{L}[\p{L}\d']{6,13}(?![\w\-])")
+WORD = regex.compile(r"(?<![\w\-])\p{Lu}[\p{L}\d']{6,13}(?![\w\-])")
+#: What makes a number a mere reference; what follows the opener of a proviso, and of other units.
+REFERENCE = regex.compile(r"(?i)\bsecs?\.$|\bnos?\.$|\brs\.$|sub-?\s?section$|section$|clause$")
+PROVISO = regex.compile(r"\s+(?:(?:fur\w+|fu\w+er|al\w{1,2}|\w{4,7})\s+)?t\w{1,4}t\b|\s+\w{3,8}\s+\w{3,5}\b")
+LABELLED = regex.compile(r"\s*\d{0,3}\s*[.:]?\s*[-—–]|\s*\d{0,3}\s*[.:]\s*[-—–]?")
 SENTENCE = regex.compile(r"[.!?।॥۔。！？]['\"”’」』)\]]*\s+(?=\S)")
 #: A line that gives only a value, as after "Number of entries:".
 VALUE_LINE = regex.compile(r"\n\s*\d[\d,.]*\s*\n\s*$")
@@ -66,6 +71,7 @@ def compact(plain: str, source: np.ndarray, page: pages.Page | None) -> tuple[st
     return "".join(out), np.concatenate([*place, np.zeros(0, np.int64)]).astype(np.int64)
 
 
+@lru_cache(1 << 14)
 def _opens(word: str) -> str | None:
     """Which opener a word is, if it is one but for a few misread letters."""
     low = word.lower()
@@ -98,22 +104,20 @@ def unit_starts(text: str, place: np.ndarray | None = None) -> list[int]:
             continue
         leading = near(m.start() - LOOK, m.start(), m.start())
         before = leading.rstrip()[-12:]
-        if (before[-1:] in (".", ":", ";", "!", "?", "—", '"', "”", ")", "]") or VALUE_LINE.search(leading[-24:])) and not regex.search(r"(?i)\bsecs?\.$|\bnos?\.$|\brs\.$|sub-?\s?section$|section$|clause$", before):
+        if (before[-1:] in (".", ":", ";", "!", "?", "—", '"', "”", ")", "]") or VALUE_LINE.search(leading[-24:])) and not REFERENCE.search(before):
             out.append(m.start())
     for m in WORD.finditer(text):
-        if not m[0][0].isupper() or len(near(m.start(), m.end(), m.start())) < len(m[0]):
-            continue
         opener = _opens(m[0])
-        if opener is None:
+        if opener is None or len(near(m.start(), m.end(), m.start())) < len(m[0]):
             continue
         before = near(m.start() - LOOK, m.start(), m.start()).rstrip()[-1:]
         after = near(m.end(), m.end() + 24, m.start())
         if before and before not in ".:;!?—\"”)]":
             continue
         if opener == "provided":
-            if regex.match(r"\s+(?:(?:fur\w+|fu\w+er|al\w{1,2}|\w{4,7})\s+)?t\w{1,4}t\b|\s+\w{3,8}\s+\w{3,5}\b", after):
+            if PROVISO.match(after):
                 out.append(m.start())
-        elif regex.match(r"\s*\d{0,3}\s*[.:]?\s*[-—–]|\s*\d{0,3}\s*[.:]\s*[-—–]?", after):
+        elif LABELLED.match(after):
             out.append(m.start())
     return [int(place[k]) for k in sorted(set(out))]
 
@@ -129,7 +133,8 @@ class Scan:
 
     def __init__(self, plain: str, page: int | None, end_page: int | None, title: str | None, document: str | None):
         self.facts = (page, end_page, pages.known_heads(title, document, plain[:OPENING]))
-        self.page = pages.Page(plain, *self.facts)
+        self.seen: dict[str, tuple[str, bool]] = {}
+        self.page = pages.Page(plain, *self.facts, seen=self.seen)
         bare = {n for k, n in self.page.numbers.items() if self.page.bare(k)} if page is None else set()
         self.continued = {n for n in bare if n - 1 in bare or n + 1 in bare}
         self.running = self.page.repeated()
@@ -137,7 +142,7 @@ class Scan:
 
     def part(self, plain: str, begins: bool, ends: bool) -> pages.Page:
         """The lines of a range."""
-        return pages.Page(plain, *self.facts, self.continued, begins, ends).mark_heads(self.running)
+        return pages.Page(plain, *self.facts, self.continued, begins, ends, self.seen).mark_heads(self.running)
 
 
 class Cutter:
