@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import base
-from lexloom.llm.sentences import Tagger, _uniform_list
+from lexloom.llm.sentences import LONGEST, Tagger
+from lexloom.llm.uniform import fold_column as _uniform_list
 
 # The languages, and the names by which labels give them.
 NAMES = {
@@ -178,7 +179,7 @@ def train(documents: DataFrame, doc_id: str, text: str, lang: str, rows: DataFra
     labels are wrong and a language that is written in several scripts has most of its sentences labelled rightly in each.
     """
     own = documents.select(F.col(doc_id).alias("k"), F.col(text).cast("string").alias("t"), language_expr(lang).alias("y")).where("t is not null and t <> '' and y is not null")
-    own = own.where("length(t) < 20000")
+    own = own.where(F.length("t") < LONGEST)
     docs = [(r.k, r.t, r.y) for r in base.sampled(own, "k", DOCUMENTS, "y").orderBy("k", "t").collect()]
     if not docs:
         raise ValueError("no labelled document to learn from")

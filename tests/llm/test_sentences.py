@@ -1,9 +1,10 @@
 import itertools
+import random
 
+import numpy as np
 import pytest
 
 from lexloom.llm import sentences as S
-from lexloom.llm.base import table
 from lexloom.llm.queries import _sentence_tables
 
 SF = "/root/testdata/sf0.01"
@@ -44,11 +45,56 @@ def test_viterbi_is_the_best_path():
     assert S.viterbi([], pairs) == []
 
 
-def test_agreement_on_held_out_texts(spark, tagger):
-    texts = S.sample([(table(spark, "/root/testdata/sf0.001", "candidate_cases"), "row_id", "facts")], 200)
-    starts = {tuple(h) for h in ()}
-    pairs = [(y, at in set(tagger.starts(t))) for t in texts for c in [S.Chain(t)] if c.first is not None for at, y, s in zip(c.at, S.certain(c, starts), c.seen) if not s[-1]]
-    assert len(pairs) > 100 and sum(a == b for a, b in pairs) / len(pairs) > 0.99
+def test_pruned_lattice_is_the_whole_one():
+    """Places left out change no best path, whatever the scores."""
+    rng = random.Random(3)
+    for _ in range(2000):
+        marked, plain = rng.randint(0, 6), rng.randint(0, 8)
+        every = rng.sample(range(1, 40), marked + plain)
+        at, places = sorted(every[:marked]), sorted(every[marked:])
+        scores, own = [rng.uniform(-2, 2) for _ in at], np.array([rng.uniform(-3, 1.5) for _ in places])
+        pairs = [[rng.uniform(-1, 1) for _ in range(2)] for _ in range(2)]
+        score = dict(zip(at, scores)) | dict(zip(places, own))
+        order = sorted(score)
+        whole = {p for p, tag in zip(order, S.viterbi([score[p] for p in order], pairs)) if tag}
+        some, where, gaps, _ = S.merged(scores, at, own, np.array(places, np.int64), pairs)
+        assert {p for p, tag in zip(where, S.viterbi(some, pairs, gaps)) if tag} == whole
+
+
+def test_every_character_of_a_script_without_spaces_is_in_the_lattice(tagger):
+    text = "彼は偽の領収書53番を見せて6575円を受け取りました"
+    chain = S.Chain(text)
+    assert {k for k in range(1, len(text)) if not text[k].isdigit() and not text[k - 1].isdigit()} <= set(chain.plain)
+
+
+def test_unmarked_chinese_is_told_apart():
+    """Sentences that follow each other without mark or space, after training on marked ones."""
+    rng = random.Random(5)
+    who, what, end = ["店主", "証人", "警官"], ["鍵を壊して", "棒で殴って", "財布を取って"], ["逃げました", "報告しました", "帰りました"]
+    made = lambda: rng.choice(who) + "は" + rng.choice(what) + rng.choice(end)
+    texts = ["".join(made() + "。" for _ in range(3)) for _ in range(300)]
+    counts = S.Counts([("h", k, 9, 0) for k in {h for t in texts for h in S.head_keys(t)}])
+    own = S._learn(texts, counts)
+    parts = [made() for _ in range(3)]
+    assert own.starts("".join(parts)) == [0, len(parts[0]), len(parts[0] + parts[1])]
+
+
+def test_labels_come_from_counts_not_from_the_list(spark, monkeypatch):
+    monkeypatch.setattr(S, "BEFORE", frozenset())
+    monkeypatch.setattr(S, "EITHER", frozenset())
+    texts = [f"Paid Qx. {k} to the clerk there. Qx. {k + 1} was left. The clerk saw it. A boat was near." for k in range(40)]
+    texts += ["The clerk left it near the boat there by noon. A boat is there now."] * 40
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "row_id long, text string")
+    counts = S.counted([(df, "row_id", "text")], texts)
+    chain = S.Chain(texts[0])
+    where = [at for at, y in zip(chain.at, S.certain(chain, counts)) if y]
+    assert [texts[0][a : a + 5] for a in where] == ["Qx. 1", "The c", "A boa"]
+
+
+def test_quotations_of_any_length_divide_nothing(tagger):
+    speech = " ".join(["Leave him alone! He is bleeding."] * 30)
+    text = f'A witness shouted, "{speech}" and called a passenger. The ferry left.'
+    assert tagger.starts(text) == [0, text.index("The ferry")]
 
 
 def test_table(spark, tagger):
