@@ -83,7 +83,7 @@ def test_labels_come_from_counts_not_from_the_list(spark, monkeypatch):
     monkeypatch.setattr(S, "BEFORE", frozenset())
     monkeypatch.setattr(S, "EITHER", frozenset())
     texts = [f"Paid Qx. {k} to the clerk there. Qx. {k + 1} was left. The clerk saw it. A boat was near." for k in range(40)]
-    texts += ["The clerk left it near the boat there by noon. A boat is there now."] * 40
+    texts += ["The clerk left it near the boat there by noon. A boat is there now."] * 90
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "row_id long, text string")
     counts = S.counted([(df, "row_id", "text")], texts)
     chain = S.Chain(texts[0])
