@@ -10,13 +10,16 @@ from lexloom.functions import text as T
 # Words by which ASCII text counts as English, the scripts of languages, and words for a role and for dishonesty.
 ENGLISH_MARKERS = r"(?i)\b(?:the|on|of|a|person|theft|cheating|offence|offense|happened|property|under|consent|law|act|IPC|BNS)\b"
 SCRIPTS = {"hi": "0900-097F", "mr": "0900-097F", "gu": "0A80-0AFF", "bn": "0980-09FF", "ta": "0B80-0BFF", "te": "0C00-0C7F", "kn": "0C80-0CFF", "ml": "0D00-0D7F", "pa": "0A00-0A7F", "ur": "0600-06FF"}
-ACCUSED = {"hi": "आरोपी|अभियुक्त", "mr": "आरोपी", "gu": "આરોપી", "bn": "অভিযুক্ত", "te": "నిందిత", "kn": "ಆರೋಪಿ", "ml": "പ്രതി", "pa": "ਦੋਸ਼ੀ", "ur": "ملزم"}
-DISHONEST = {"hi": "बेईमान", "mr": "अप्रामाणिक", "gu": "બેઈમાન", "bn": "অসৎ", "kn": "ಅಪ್ರಾಮಾಣಿಕ", "pa": "ਬੇਈਮਾਨ"}
+ACCUSED = {"hi": "आरोपी|अभियुक्त", "mr": "आरोपी", "gu": "આરોપી", "bn": "অভিযুক্ত", "ta": r"குற்றம்\s*சாட்டப்பட்ட", "te": "నిందిత", "kn": "ಆರೋಪಿ", "ml": "പ്രതി", "pa": "ਦੋਸ਼ੀ", "ur": "ملزم"}
+DISHONEST = {"hi": "बेईमान", "mr": "अप्रामाणिक", "gu": "બેઈમાન", "bn": "অসৎ", "ta": "நேர்மையற்ற", "te": r"నిజాయితీ\s*లేకుండా", "kn": "ಅಪ್ರಾಮಾಣಿಕ", "ml": "സത്യസന്ധതയില്ലാതെ", "pa": "ਬੇਈਮਾਨ", "ur": r"بے\s*ایمانی"}
+# What alone is English, and words of theft and of killing.
+LONE_ENGLISH = r"(?i)\A(?:theft|cheating|(?:IPC|BNS)\s+(?:Section\s+)?[0-9]{1,3}[A-Za-z]*(?:\([0-9]+\))?)\z"
+THEFT, KILLING, ENGLISH_KILLING = r"(?<!\p{L})चोरी(?:ला|ची|चा|चे|च्या|ने)?(?!\p{L})", r"(?<!\p{L})(?:हत्या|खून|ख़ून)(?!\p{L})", r"(?i)\b(?:murder|homicide|kill(?:ed|ing)?)\b"
 
 
 def english_like(text: Column) -> Column:
-    """ASCII text with two marker words."""
-    return text.rlike(r"\A[\x00-\x7F]*\z") & (F.regexp_count(text, F.lit(ENGLISH_MARKERS)) >= 2)
+    """ASCII text with two marker words, or a lone offence or reference."""
+    return text.rlike(LONE_ENGLISH) | text.rlike(r"\A[\x00-\x7F]*\z") & (F.regexp_count(text, F.lit(ENGLISH_MARKERS)) >= 2)
 
 
 def expected_script(text: Column, language: Column) -> Column:
@@ -45,6 +48,21 @@ def intent_lost(source: Column, target: Column, language: Column) -> Column:
     return has & ~target.rlike(r"(?i)\b(?:dishonest|fraud|unjust|unfair|disloyal|unfaithful)|without\s+(?:being\s+)?honest")
 
 
+def offence_flipped(source: Column, target: Column, language: Column) -> Column:
+    """Whether a Hindi or Marathi source that tells of theft only has become a killing in an English target."""
+    return language.isin("hi", "mr") & source.rlike(THEFT) & ~source.rlike(KILLING) & target.rlike(ENGLISH_KILLING)
+
+
+def grounding_warnings(conclusion: Column, cited: Column, review: Column, notes: Column) -> Column:
+    """Array of what a conclusion lacks. cited: array of (code, section, exception) of what was retrieved; review: the route's message, null if none;
+    notes: further messages that the facts call for. A section is named if its text occurs, so that "3" is named by "303"."""
+    low = F.lower(conclusion)
+    named = F.exists(cited, lambda c: F.contains(low, F.lower(c["code"])) & F.contains(low, F.lower(c["section"])))
+    own = F.array(F.when((F.size(cited) > 0) & ~named, "no retrieved section is named"), review, F.when(F.size(cited) == 0, "nothing was retrieved"))
+    exceptions = F.transform(F.filter(cited, lambda c: c["exception"].isNotNull()), lambda c: F.concat_ws(" ", c["code"], F.concat(c["section"], F.lit(":")), c["exception"]))
+    return F.concat(F.array_compact(own), exceptions, F.coalesce(notes, F.array().cast("array<string>")))
+
+
 def invented_numbers(source: Column, target: Column) -> Column:
     """Number literals of a target that its source lacks."""
     return F.array_except(T.number_literals(target), T.number_literals(source))

@@ -57,6 +57,36 @@ def acronyms(text: Col) -> Column:
     return out
 
 
+def acronym_log(text: Col) -> Column:
+    """Array of (from, to) of what `acronyms` changes: the spellings that a text has, in the rules' order."""
+    out = []
+    for short, forms in words.ACRONYMS:
+        found = F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(r"(?<![\p{L}\p{M}])(?:" + "|".join(f.replace(".", r"\.") for f in forms) + r")(?![\p{L}\p{M}])"), F.lit(0))
+        out.append(F.arrays_zip(found.alias("from"), F.array_repeat(F.lit(short), F.size(found)).alias("to")))
+    return F.concat(*out)
+
+
+def unspaced_letters(text: Col) -> Column:
+    """Capitals that were set apart ("T H E F T") as one word; three letters or more."""
+    return F.regexp_replace(_c(text), r"(?<=(?<![A-Za-z])[A-Z]) (?=[A-Z](?![A-Za-z]) [A-Z](?![A-Za-z]))|(?<=(?<![A-Za-z])[A-Z] [A-Z]) (?=[A-Z](?![A-Za-z]))", "")
+
+
+def cleaned_page(text: Col) -> Column:
+    """Page text without soft hyphens, carriage returns, ruled lines and gazette heads, with at most one blank line."""
+    out = F.regexp_replace(_c(text), "[\u00ad\r]", "")
+    for line in (r"_+", r"\s*[0-9]+\s+THE\s+GAZETTE.+", r"\s*Sec\.\s*1\].+"):
+        out = F.regexp_replace(out, f"(?mi)^{line}$", "")
+    return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+
+
+def spaced_dates(text: Col) -> Column:
+    """A space where a written date runs into the next word; and none of the connectives that other languages put behind an ISO date."""
+    out = F.regexp_replace(_c(text), r"\b([0-3]?[0-9]\s+(?:January|February|March|April|May|June|July|August|September|October|November|December),?\s+20[0-9]{2})(?=[A-Za-z])", "$1 ")
+    for connective in (r"ના\s+રોજ", "ರಂದು"):
+        out = F.regexp_replace(out, rf"\b(20[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}})\s+{connective}(?=\s|[।,.!?]|$)", "$1 ")
+    return out
+
+
 def has_word(text: Col, word: str) -> Column:
     """Whether a lower-case text has the word with neither letter nor digit beside it."""
     return _c(text).rlike(rf"(^|[^a-z0-9]){word}([^a-z0-9]|$)")

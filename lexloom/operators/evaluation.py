@@ -111,3 +111,56 @@ def reserves(df: DataFrame, by: str, order: list[str], identity: str, eligible:
     marked = ordered.running(marked, [by], order, counts, "__n").withColumn("__n", F.coalesce("__n", F.lit(0)) + counts)
     choice = F.when(~F.col("__ok"), "ineligible").when(F.col("__again"), "repeated").when(F.col("__n") <= n, "chosen").otherwise("reserve")
     return marked.withColumn("choice", choice).drop("__ok", "__again", "__n")
+
+
+def label_metrics(rows: DataFrame, route: str, found: str, law: str, first: str, three: str) -> DataFrame:
+    """One row of ratios, each over the labels that have what it needs. found and three: arrays of provisions, the best first; null counts as none.
+
+    A label that names no provision agrees with a result that has none."""
+    none = F.array().cast("array<string>")
+    own = rows.select(F.col(route).alias("route"), F.col(law).alias("law"), F.nullif(F.col(first), F.lit("")).alias("first"), F.slice(F.coalesce(found, none), 1, 3).alias("found"), F.coalesce(three, none).alias("three"))
+    own = own.withColumn("hits", F.size(F.array_intersect("three", "found"))).withColumn("wanted", F.size("three"))
+    named = F.col("wanted") > 0
+    return own.agg(
+        F.count("*").alias("cases"),
+        masked_rate(F.col("route") == F.col("law"), F.col("law").isNotNull()).alias("law_accuracy"),
+        masked_rate(F.get("found", F.lit(0)).eqNullSafe(F.col("first")), F.lit(True)).alias("first_accuracy"),
+        masked_rate(F.get("found", F.lit(0)) == F.col("first"), F.col("first").isNotNull()).alias("named_first_accuracy"),
+        masked_rate(F.col("hits") == F.col("wanted"), F.lit(True)).alias("all_of_three"),
+        masked_rate(F.col("hits") > 0, named).alias("any_of_three"),
+        percent(F.sum("hits"), F.sum("wanted")).alias("recall_of_three"),
+    )
+
+
+def rescored(saved: DataFrame, fixtures: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """`keys`, `status` (missing, unexpected, changed, same) of saved results against fixtures by all keys; a null text is a text."""
+    a, b = saved.select(*keys, F.col(text).alias("a"), F.lit(1).alias("in_a")), fixtures.select(*keys, F.col(text).alias("b"), F.lit(1).alias("in_b"))
+    status = F.when(F.col("in_a").isNull(), "missing").when(F.col("in_b").isNull(), "unexpected").when(F.col("a").eqNullSafe(F.col("b")), "same").otherwise("changed")
+    return a.join(b, keys, "full").select(*keys, status.alias("status"))
+
+
+def study_gate(pairs: DataFrame, errors: list[str], cost: str, gain: float = 0.2, slower: float = 1.25, budget: float = 180_000.0, faults: str | None = None) -> DataFrame:
+    """One row: quality (each kind of error falls by the share `gain` in all, and for no pair rises), latency (at most `slower` in all, each under the budget),
+    safety (no pair has a fault), and whether all hold. With a gain of 0 a strict fall is asked. Without any whole pair nothing holds."""
+    total = lambda arm, e: F.sum(f"{arm}_{e}")
+    better = [total("c", e) <= (1 - gain) * total("b", e) if gain else total("c", e) < total("b", e) for e in errors]
+    worse = F.count_if(F.exists(F.array(*(F.col(f"c_{e}") > F.col(f"b_{e}") for e in errors)), lambda x: x))
+    quality = worse == 0
+    for b in better:
+        quality = quality & b
+    latency = (total("c", cost) <= slower * total("b", cost)) & (F.max(f"c_{cost}") < budget)
+    safety = F.count_if(F.coalesce(F.col(faults), F.lit(False))) == 0 if faults else F.lit(True)
+    out = pairs.where("complete").agg(F.count("*").alias("pairs"), worse.alias("regressions"), F.coalesce(quality, F.lit(False)).alias("quality"), F.coalesce(latency, F.lit(False)).alias("latency"), F.coalesce(safety, F.lit(False)).alias("safety"))
+    return out.select("*", ((F.col("pairs") > 0) & F.col("quality") & F.col("latency") & F.col("safety")).alias("passed"))
+
+
+def usable(rows: DataFrame, numbers: list[str], drift_of: tuple[str, str], expected: int, budget: float, allowed: float = 1000.0, others: bool = True) -> DataFrame:
+    """One row: whether measurements may be used: as many as expected, every number finite, positive and within the budget, wall and elapsed time
+    within `allowed` of each other, and what else must hold."""
+    good = F.lit(True)
+    for c in numbers:
+        good = good & F.coalesce(F.col(c).between(0, budget) & (F.col(c) > 0) & ~F.isnan(c), F.lit(False))
+    wall, elapsed = (F.col(c) for c in drift_of)
+    good = good & F.coalesce(F.abs(wall - elapsed) <= allowed, F.lit(False))
+    out = rows.agg(F.count("*").alias("n"), F.count_if(good).alias("good"))
+    return out.select("n", "good", ((F.col("n") == expected) & (F.col("n") == F.col("good")) & F.lit(others)).alias("usable"))

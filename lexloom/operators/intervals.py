@@ -54,3 +54,12 @@ def drift(wall: Column, elapsed: Column, allowed: float = 1000.0) -> Column:
 def timing_fault(elapsed: Column, error: Column, budget: float) -> Column:
     """worker-error, invalid-timing or elapsed-budget-exceeded; the first that holds."""
     return F.when(error, "worker-error").when(elapsed.isNull() | F.isnan(elapsed) | (elapsed < 0), "invalid-timing").when(elapsed > budget, "elapsed-budget-exceeded")
+
+
+def event_faults(events: DataFrame, by: str, at: str, kind: str, allowed: tuple[str, ...], low: str, high: str, most: int) -> DataFrame:
+    """`by`, `fault` (too-many, kind, outside, none; the first that holds) of each group's events: at most `most`, of allowed kinds, within [low, high]. A null
+    kind or time is a fault."""
+    inside = F.coalesce(F.col(at).cast("timestamp").between(F.lit(low).cast("timestamp"), F.lit(high).cast("timestamp")), F.lit(False))
+    own = events.groupBy(by).agg(F.count("*").alias("n"), F.bool_and(F.coalesce(F.col(kind).isin(*allowed), F.lit(False))).alias("kinds"), F.bool_and(inside).alias("inside"))
+    fault = F.when(F.col("n") > most, "too-many").when(~F.col("kinds"), "kind").when(~F.col("inside"), "outside").otherwise("none")
+    return own.select(by, fault.alias("fault"))

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 from lexloom.session import cut
 
-#: A set of query tokens of at most so many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
 TITLE_BONUS = 8.0
 
 
@@ -38,17 +36,23 @@ def idf(df: Column, n: Column | int) -> Column:
     return F.log((F.lit(n) + 1) / (df + 1)) + 1
 
 
-def scores(qtokens: DataFrame, dtokens: DataFrame, n_docs: int, bonus: float = TITLE_BONUS) -> DataFrame:
-    """`qid`, `doc`, `score`: summed IDF of shared tokens, with a bonus for each in the title."""
-    distinct = qtokens.select("token").distinct()
-    small = qtokens.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    mark = F.broadcast if small else (lambda x: x)
-    used = cut(dtokens.join(mark(distinct), "token", "left_semi"))  # read twice below; the corpus is tokenised once
-    weight = document_frequency(used).select("token", idf(F.col("df"), n_docs).alias("idf"))
-    matched = used.join(mark(qtokens.join(weight, "token")), "token")
+def scores(qtokens: DataFrame, dtokens: DataFrame, n_docs: DataFrame, bonus: float = TITLE_BONUS) -> DataFrame:
+    """`qid`, `doc`, `score`: summed IDF of shared tokens, with a bonus for each in the title. n_docs: one row, `n`.
+
+    Whether the queries' tokens are broadcast is for Spark to say, which knows their size when the join comes. A token's documents are summed
+    within tasks before they meet, so that a token of every document is no hot key of the last shuffle.
+    """
+    used = cut(dtokens.join(qtokens.select("token").distinct(), "token", "left_semi"))  # read twice below; the corpus is tokenised once
+    weight = document_frequency(used).crossJoin(F.broadcast(n_docs)).select("token", idf(F.col("df"), F.col("n")).alias("idf"))
+    matched = used.join(qtokens.join(weight, "token"), "token")
     return matched.groupBy("qid", "doc").agg(F.sum(F.col("idf") + F.when(F.col("in_title"), F.lit(bonus)).otherwise(0.0)).alias("score"))
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """One row: how many there are, without a job of its own."""
+    return df.agg(F.count("*").alias("n"))
+
+
 def top(ranked: DataFrame, k: int = 3, by=("qid",), order=("score", "doc"), first=()) -> DataFrame:
     """The k best per group, with `rank`; columns of `first` go before the score, greatest first; ties by the document's id."""
     window = Window.partitionBy(*by).orderBy(*(F.col(c).desc() for c in first), F.col(order[0]).desc(), *(F.col(c) for c in order[1:]))

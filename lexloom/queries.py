@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,17 +10,23 @@ from pyspark.sql import functions as F
 from lexloom.functions import checks as C
 from lexloom.functions import dates as D
 from lexloom.functions import grammar as G
+from lexloom.functions import profiles as P
 from lexloom.functions import text as T
 from lexloom.functions import words
-from lexloom.operators import corpus, evaluation, intervals, keyphrases, retrieval, review, validation
-from lexloom.plans import analysis
-from lexloom.session import ship
+from lexloom.operators import corpus, evaluation, intervals, keyphrases, ordered, retrieval, review, validation
+from lexloom.plans import analysis, ranking
+from lexloom.session import shared_folder, ship, spread
 from lexloom.streaming import events as stream
 
 
+#: Tables of texts, whose rows cost far more to handle than to deal out.
+TEXTS = ("statute_supplements", "candidate_cases", "documents", "multilingual_completion")
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if name in TEXTS else df
 
 
 def _micros(name: str):
@@ -46,7 +49,7 @@ def _doc_tokens(docs):
 def _item_scores(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     asked = retrieval.query_tokens(_t(spark, sf_dir, "eval_items", "item_id", "text"), "item_id", "text")
-    return docs, retrieval.scores(asked, _doc_tokens(docs), docs.count())
+    return docs, retrieval.scores(asked, _doc_tokens(docs), retrieval.counted(docs))
 
 
 def _named(ranked):
@@ -74,7 +77,7 @@ def retrieval_diversified(spark, sf_dir):
 
 def idf_table(spark, sf_dir):
     docs = _documents(spark, sf_dir)
-    return retrieval.document_frequency(_doc_tokens(docs)).select("token", "df", F.round(retrieval.idf(F.col("df"), docs.count()), 6).alias("idf"))
+    return retrieval.document_frequency(_doc_tokens(docs)).crossJoin(F.broadcast(retrieval.counted(docs))).select("token", "df", F.round(retrieval.idf(F.col("df"), F.col("n")), 6).alias("idf"))
 
 
 def excerpts(spark, sf_dir):
@@ -200,15 +203,21 @@ def repealed_records(spark, sf_dir):
 # Text analytics
 
 
+def _english(spark, sf_dir):
+    """Documents labelled as English: the word lists of these queries are English; `profile_counts` covers five languages."""
+    return _t(spark, sf_dir, "documents", "doc_id", "text", "lang").where("lang = 'en'").select("doc_id", "text")
+
+
 def _words(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents", "doc_id", "text", "lang").where("lang = 'en'")
-    return docs.select("doc_id", F.explode(T.tokens("text")).alias("token")).withColumn("kind", T.token_kind("token"))
+    return _english(spark, sf_dir).select("doc_id", F.explode(T.tokens("text")).alias("token")).withColumn("kind", T.token_kind("token"))
 
 
 def token_stats(spark, sf_dir):
-    own = _words(spark, sf_dir)
-    word = F.col("kind") == "word"
-    return own.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_if(word).alias("words"), F.countDistinct(F.when(word, F.lower("token"))).alias("unique_words"), F.count_if(F.col("kind") == "number").alias("numbers"), F.count_if(word & T.is_stop("token")).alias("stop_words"))
+    """Counts of tokens in each English document; a document is a row, so nothing is shuffled."""
+    own = _english(spark, sf_dir).select("doc_id", T.tokens("text").alias("t"))
+    words_only = F.filter("t", lambda t: T.token_kind(t) == "word")
+    own = own.where(F.size("t") > 0).withColumn("w", F.transform(words_only, lambda t: F.lower(t)))
+    return own.select("doc_id", F.size("t").alias("tokens"), F.size("w").alias("words"), F.size(F.array_distinct("w")).alias("unique_words"), F.size(F.filter("t", lambda t: T.token_kind(t) == "number")).alias("numbers"), F.size(F.filter("w", lambda t: T.is_stop(t))).alias("stop_words"))
 
 
 def stem_counts(spark, sf_dir):
@@ -413,7 +422,8 @@ def vocabulary_conflicts(spark, sf_dir):
     """Keywords whose frequency rank differs between the two codes, and those of one code only."""
     own = _t(spark, sf_dir, "statute_supplements", "code", "keywords").select("code", F.explode("keywords").alias("w")).select("code", F.lower(F.trim("w")).alias("word")).where("word <> ''")
     counted = own.groupBy("code", "word").agg(F.count("*").alias("n"))
-    ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy("code").orderBy(F.col("n").desc(), "word")))
+    less = counted.withColumn("less", -F.col("n"))
+    ranked = ordered.running(less, ["code"], ["less", "word"], F.lit(1), "before").withColumn("place", F.coalesce("before", F.lit(0)) + 1)
     a = ranked.where("code = 'IPC'").select("word", F.col("place").alias("ipc_place"))
     b = ranked.where("code = 'BNS'").select("word", F.col("place").alias("bns_place"))
     return a.join(b, "word", "full").where(~F.col("ipc_place").eqNullSafe(F.col("bns_place")))
@@ -530,12 +540,16 @@ def grounding_warnings(spark, sf_dir):
 
 
 def phrase_runs(spark, sf_dir):
-    """How often runs of three words recur in a document, overlapping ones counted."""
-    own = _t(spark, sf_dir, "documents", "doc_id", "text", "lang").where("lang = 'en'")
+    """How often runs of three words recur in an English document, overlapping ones counted. Runs are sorted within the row; equal ones stand together."""
+    own = _english(spark, sf_dir)
     w = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ")
     own = own.select("doc_id", w.alias("w")).where(F.size("w") >= 3)
-    runs = own.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("run"))
-    return runs.groupBy("doc_id", "run").agg(F.count("*").alias("n")).where("n > 1")
+    runs = F.array_sort(F.zip_with(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 2), F.slice("w", F.lit(2), F.size("w") - 2), lambda a, b: F.concat_ws(" ", a, b)), F.slice("w", F.lit(3), F.size("w") - 2), lambda a, b: F.concat_ws(" ", a, b)))
+    own = own.select("doc_id", runs.alias("r"))
+    own = own.select("doc_id", "r", F.filter(F.sequence(F.lit(1), F.size("r") + 1), lambda i: (i == 1) | (i > F.size("r")) | (F.element_at("r", F.greatest(i - 1, F.lit(1))) != F.element_at("r", F.least(i, F.size("r"))))).alias("first"))
+    ends = F.zip_with(F.slice("first", F.lit(1), F.size("first") - 1), F.slice("first", F.lit(2), F.size("first") - 1), lambda a, b: F.struct(a.alias("a"), (b - a).alias("n")))
+    each = own.select("doc_id", "r", F.explode(F.filter(ends, lambda x: x["n"] > 1)).alias("x"))
+    return each.select("doc_id", F.element_at("r", F.col("x.a")).alias("run"), F.col("x.n").cast("long").alias("n"))
 
 
 # Checks, plans and streams
@@ -560,7 +574,7 @@ def invented_numbers(spark, sf_dir):
 
 def item_analysis(spark, sf_dir):
     docs = _documents(spark, sf_dir)
-    return analysis.analysis(_t(spark, sf_dir, "eval_items", "item_id", "text"), "item_id", "text", docs, docs.count())
+    return analysis.analysis(_t(spark, sf_dir, "eval_items", "item_id", "text"), "item_id", "text", docs)
 
 
 def repaired_once(spark, sf_dir):
@@ -584,6 +598,41 @@ def crosswalk_benchmark(spark, sf_dir):
     return asked.join(hits, "qid", "left").agg(F.count("*").alias("queries"), F.count_if("top1").alias("top1"), F.count_if("top3").alias("top3"), evaluation.percent(F.count_if("top1"), F.count("*"), 0.0).alias("top1_percent"))
 
 
+def ranked_statutes(spark, sf_dir):
+    """The three best statutes of every case with a date that settles its codes: tokens, references, rules and ranks."""
+    cases = _cases(spark, sf_dir).select("row_id", "facts").where("facts is not null")
+    out = ranking.ranked(cases, "row_id", "facts", _documents(spark, sf_dir))
+    return out.select(F.col("qid").alias("row_id"), F.col("doc").alias("statute_row"), "code", "score", "cited", "rank")
+
+
+def rule_points_by_route(spark, sf_dir):
+    """Rules of the table that each route has, and their points."""
+    return ranking.rule_table(spark).groupBy("route", "family").agg(F.count("*").alias("rules"), F.sum("points").alias("points"))
+
+
+def cue_counts(spark, sf_dir):
+    """How many cases and scenarios give each cue of the rules."""
+    both = _t(spark, sf_dir, "candidate_cases", F.col("facts").alias("t")).unionAll(_t(spark, sf_dir, "multilingual_completion", "injury")).unionAll(_t(spark, sf_dir, "multilingual_completion", "theft")).where("t is not null")
+    seen = both.select("t", T.vocabulary_hits("t").alias("keywords"), T.phrase_labels("t").alias("phrases"))
+    found = seen.select(ranking.cues(F.col("t"), F.col("keywords"), F.col("phrases"), F.lit("IPC_ONLY")).alias("c"))
+    return found.select(F.explode_outer("c").alias("cue")).where("cue is not null").groupBy("cue").agg(F.count("*").alias("n"))  # an inner explode would first filter by the whole expression
+
+
+def profile_counts(spark, sf_dir):
+    """Words, function words, negations and distinct stems of the documents of the five languages that have a profile."""
+    docs = _t(spark, sf_dir, "documents", "text", "lang").where("lang in ('en', 'hi', 'mr', 'gu', 'ur')")
+    own = docs.select("lang", F.explode(T.tokens("text")).alias("w")).where(T.token_kind("w") == "word")
+    counted = own.groupBy("lang", "w").agg(F.count("*").alias("n"))  # each distinct word is looked up once
+    n = lambda condition: F.sum(F.when(condition, F.col("n")).otherwise(0))
+    return counted.groupBy("lang").agg(F.sum("n").alias("words"), n(P.is_stop(F.col("w"), F.col("lang"))).alias("stop_words"), n(P.is_negation(F.col("w"), F.col("lang"))).alias("negations"), F.countDistinct(P.stem(F.col("w"), F.col("lang"))).alias("stems"))
+
+
+def guessed_languages(spark, sf_dir):
+    """Languages that script and marker words tell, of all three fields."""
+    rows = _t(spark, sf_dir, "multilingual_completion", "theft", "injury", "cheating").select(F.explode(F.array("theft", "injury", "cheating")).alias("t")).where("t is not null")
+    return rows.groupBy(P.guessed_language(F.col("t")).alias("language")).agg(F.count("*").alias("n"))
+
+
 def localized_dates(spark, sf_dir):
     """Dates written with Hindi month names."""
     ship(spark)
@@ -648,33 +697,92 @@ def escaped_titles(spark, sf_dir):
     return _t(spark, sf_dir, "statute_supplements", "row_id", "title").where("title is not null").select("row_id", T.escaped(F.concat(F.lit("<"), "title", F.lit("> & 'it'"))).alias("html"))
 
 
+SPOKEN = (
+    "Under section three seventy nine he paid five lakh twenty thousand rupees.", "on the twenty first of June two thousand twenty four", "IPC four twenty and BNS three oh two", "grievious hurt under the Bharatiya Nyay Sanhada",
+    "the Indian Peenal Code and criminal breech of trust", "no one may march in May", "extorsion of mov able property", "the fifth of July, twenty twenty three", None, "",
+)
+
+
+def spoken_samples(spark, sf_dir):
+    """Number words and the lexicon over a fixed table of transcripts, since the tables hold none."""
+    ship(spark)
+    own = spark.createDataFrame([(k, t) for k, t in enumerate(SPOKEN)], "id long, t string").withColumn("r", G.transcript_udf()("t"))
+    return own.select("id", F.col("r.text").alias("text"), F.array_join(F.transform("r.corrections", lambda c: F.concat_ws(">", c["kind"], c["to"])), "|").alias("log"))
+
+
+def checked_translations(spark, sf_dir):
+    """Role, intent and offence checks over a fixed table of texts of ten languages and their English."""
+    texts = [("hi", "आरोपी ने बेईमानी से चोरी की"), ("mr", "आरोपीने चोरी केली"), ("gu", "આરોપીએ બેઈમાનીથી"), ("bn", "অভিযুক্ত অসৎ"), ("ta", "குற்றம் சாட்டப்பட்ட நேர்மையற்ற"), ("te", "నిందిత నిజాయితీ లేకుండా"), ("kn", "ಆರೋಪಿ ಅಪ್ರಾಮಾಣಿಕ"), ("ml", "പ്രതി സത്യസന്ധതയില്ലാതെ"), ("pa", "ਦੋਸ਼ੀ ਬੇਈਮਾਨ"), ("ur", "ملزم بے ایمانی")]
+    english = ["The accused and the defendant were dishonest.", "The accuser was killed.", "The accused took it."]
+    own = spark.createDataFrame([(c, k, s, e) for c, s in texts for k, e in enumerate(english)], "language string, variant int, source string, english string")
+    a = (F.col("source"), F.col("english"), F.col("language"))
+    return own.select("language", "variant", C.role_changed(*a).alias("role_changed"), C.intent_lost(*a).alias("intent_lost"), F.coalesce(C.offence_flipped(*a), F.lit(False)).alias("flipped"))
+
+
+def repaired_text(spark, sf_dir):
+    """Page cleaning, letters set apart, dates run into words, acronyms and their log, over a fixed table."""
+    rows = ["a\u00adb\r\n____\n\n\n12 THE GAZETTE OF X\nkept", "T H E F T of a B O A T", "on 5 July 2024he left, 2024-07-05 ના રોજ.", "आईपीसी 302 और बीएनएस 303", None]
+    own = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "id long, t string")
+    return own.select("id", T.cleaned_page("t").alias("page"), T.unspaced_letters("t").alias("letters"), T.spaced_dates("t").alias("dates"), T.acronyms("t").alias("acronyms"), F.array_join(F.transform(T.acronym_log("t"), lambda x: F.concat_ws(">", x["from"], x["to"])), "|").alias("log"))
+
+
+def grounded_answers(spark, sf_dir):
+    """Warnings of conclusions that name their statutes, or don't: for each case's best statutes and route."""
+    best = ranked_statutes(spark, sf_dir).join(_t(spark, sf_dir, "statute_supplements", F.col("row_id").alias("statute_row"), "section"), "statute_row").where("section is not null")
+    cited = best.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("code", "section", F.lit(None).cast("string").alias("exception")))).alias("cited"), F.min_by(F.concat_ws(" ", "code", "section"), "rank").alias("first"))
+    own = case_routes(spark, sf_dir).join(cited, "row_id", "left").withColumn("cited", F.coalesce("cited", F.array().cast("array<struct<code:string,section:string,exception:string>>")))
+    review = F.when(F.col("route").isin("CLARIFY", "MULTI_PERIOD_REVIEW"), F.col("route"))
+    warned = own.select(F.explode(C.grounding_warnings(F.concat(F.lit("This falls under "), F.coalesce("first", F.lit("nothing"))), F.col("cited"), review, F.array().cast("array<string>"))).alias("warning"))
+    return warned.groupBy("warning").agg(F.count("*").alias("n"))
+
+
+def label_metrics(spark, sf_dir):
+    """Ratios of the ranked statutes against the labels, each over its own denominator: law, first provision, all and any of three, recall of three."""
+    cases = _cases(spark, sf_dir)
+    routes = case_routes(spark, sf_dir).join(cases.select("row_id", "case_id"), "row_id").select("case_id", "route")
+    best = ranked_statutes(spark, sf_dir).join(cases.select("row_id", "case_id"), "row_id").join(_t(spark, sf_dir, "statute_supplements", F.col("row_id").alias("statute_row"), T.section_base("section").alias("section")), "statute_row")
+    found = best.groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.concat_ws("-", "code", "section").alias("p")))), lambda x: x["p"]).alias("found"))
+    gold = _t(spark, sf_dir, "gold_labels").groupBy("case_id").agg(F.max("applicable_law").alias("law"), F.max(F.concat_ws("-", "correct_top1_provision.code", "correct_top1_provision.section")).alias("first"), F.max(F.transform("correct_top3_provisions", lambda p: F.concat_ws("-", p["code"], p["section"]))).alias("three"))
+    return evaluation.label_metrics(gold.join(routes, "case_id").join(found, "case_id", "left"), "route", "found", "law", "first", "three")
+
+
+def rescored_pairs(spark, sf_dir):
+    """Saved results against their fixtures by name and digest: what is missing on either side, and whether texts agree."""
+    saved = _t(spark, sf_dir, "multilingual_completion", "row_id", F.col("theft").alias("t")).where("t is not null").select("row_id", F.sha2("t", 256).alias("digest"), "t")
+    again = saved.where("row_id % 10 <> 0").select("row_id", "digest", F.trim("t").alias("t"))
+    return evaluation.rescored(saved, again, ["row_id", "digest"], "t").groupBy("status").agg(F.count("*").alias("n"))
+
+
+def checked_events(spark, sf_dir):
+    """Events of each user within the allowed kinds, number and time."""
+    own = _t(spark, sf_dir, "events", "user_id", "ts", "event_type")
+    return intervals.event_faults(own, "user_id", "ts", "event_type", ("view", "purchase", "click", "signup", "error"), "2024-01-01 06:00:00", "2024-01-30 18:00:00", 70).groupBy("fault").agg(F.count("*").alias("users"))
+
+
+def quiet_cuts(spark, sf_dir):
+    """Where long signals are cut into windows: at the quietest frame near each window's end. The vectors stand for signals."""
+    ship(spark)
+    own = _t(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return own.select("vec_id", F.posexplode(G.quiet_cuts_udf(40, 16, 4, 4)("embedding")).alias("pos", "cut"))
+
+
 def repaired_transcripts(spark, sf_dir):
     ship(spark)
     own = _t(spark, sf_dir, "documents", "doc_id", "text", "lang").where("lang = 'en'").withColumn("r", G.transcript_udf()("text"))
     return own.select("doc_id", F.length("r.text").alias("length"), F.size("r.corrections").alias("corrections"))
 
 
-def _folder(spark):
-    """The shared folder that the session names, or a temporary one where it names none (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    folder = tempfile.mkdtemp(prefix="lexloom-stream-")
-    atexit.register(shutil.rmtree, folder, True)
-    return folder
-
-
 def streamed_windows(spark, sf_dir):
     """The hourly windows, by a stream."""
     events = stream.stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = stream.run(stream.windowed(events, "ts", ["event_type"], "1 hour", "400 days", value="value"), _folder(spark), "complete")
+    out = stream.run(stream.windowed(events, "ts", ["event_type"], "1 hour", "400 days", value="value"), shared_folder(spark, "stream"), "complete")
     return out.select(F.unix_micros("w.start").alias("window_start"), "event_type", "n", "total")
 
 
 def streamed_pairs(spark, sf_dir):
     """The event pairs, by a stream that carries state."""
     events = stream.stream(spark, f"{sf_dir}/events.parquet")
-    out = stream.run(stream.paired(events, "user_id", "ts", "event_id", "event_type", "view", "purchase"), _folder(spark))
+    out = stream.run(stream.paired(events, "user_id", "ts", "event_id", "event_type", "view", "purchase"), shared_folder(spark, "stream"))
     return out.select(F.col("key").alias("user_id"), "opened", "closed")
 
 

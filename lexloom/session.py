@@ -33,19 +33,33 @@ def session(app: str = "lexloom", master: str | None = None, **settings: str) ->
 _shipped: set[str] = set()
 
 
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A folder that all machines see: the one that the session names in spark.checkpoint.dir. A local session that names none gets a temporary
+    one; on a cluster that is an error, since executors would write to disks of their own."""
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    folder = tempfile.mkdtemp(prefix=f"lexloom-{purpose}-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the workers this package, once per application: Spark's own file server hands the archive to each executor, late ones too. The
-    archive lies in the session's shared folder, where it names one."""
+    archive is made on the driver, which serves it; it lies in the session's shared folder, where that is a path."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
     root = Path(__file__).resolve().parent
-    shared = sc.getConf().get("spark.checkpoint.dir", "")
-    if shared.startswith(("/", "file:")):  # a folder that all machines share
+    shared = shared_folder(spark, "package")
+    if shared.startswith(("/", "file:")):
         folder = Path(urlparse(shared).path) / f"lexloom-package-{sc.applicationId}"
         folder.mkdir(parents=True, exist_ok=True)
-    else:
+    else:  # storage of another kind: only the driver needs the archive
         folder = Path(tempfile.mkdtemp(prefix="lexloom-package-"))
     atexit.register(shutil.rmtree, folder, True)
     archive = folder / "lexloom_package.zip"
@@ -56,12 +70,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows behind a reliable checkpoint in the folder that the session names; a temporary folder only where none is named."""
+    """The same rows behind a reliable checkpoint in the session's shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="lexloom-checkpoint-")
-            atexit.register(shutil.rmtree, folder, True)
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Inputs of fewer splits than the cluster has cores (a single small file) are dealt out; larger ones stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -1,10 +1,8 @@
-"""The queries' results in SQL. Word lists come from the library's fixed values; the rest is written out."""
+"""The queries' results in SQL. Word lists and patterns are stated apart from the library's, in sql_values."""
 
 from __future__ import annotations
 
-from lexloom.functions import checks as C
-from lexloom.functions import dates as D
-from lexloom.functions import words
+from lexloom import sql_values as V
 
 
 def _list(values) -> str:
@@ -13,7 +11,7 @@ def _list(values) -> str:
 
 def _tokens(text: str) -> str:
     """Retrieval tokens of a text as a list."""
-    return f"list_filter(string_split(trim(regexp_replace(lower(coalesce({text}, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: length(t) > 1 AND t NOT IN ({_list(words.RETRIEVAL_STOP)}) AND NOT regexp_matches(t, '^[0-9]{{1,4}}$'))"
+    return f"list_filter(string_split(trim(regexp_replace(lower(coalesce({text}, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: length(t) > 1 AND t NOT IN ({_list(V.RETRIEVAL_STOP)}) AND NOT regexp_matches(t, '^[0-9]{{1,4}}$'))"
 
 
 _REPEALED = r"regexp_matches(coalesce(title, '') || ' ' || coalesce(text, '')[1:80], '(?i)\brepealed\b|\[repealed\]|^\s*rep\.\s+by')"
@@ -35,23 +33,23 @@ def _sections(group: int) -> str:
 def _date_rows() -> str:
     """Every date of every case: form, place in its form, value, raw text."""
     parts = []
-    months = " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(words.MONTHS, 1))
-    for k, (pattern, (y, m, d)) in enumerate(zip(D.PATTERNS, D.GROUPS)):
+    months = " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(V.MONTHS, 1))
+    for k, (pattern, (y, m, d)) in enumerate(zip(V.PATTERNS, V.GROUPS)):
         get = lambda g, p=pattern: f"regexp_extract_all(coalesce(facts, ''), '{p}', {g})"
         month = "try_cast(m AS INTEGER)" if k < 2 else f"CASE lower(m) {months} END"
         parts.append(f"SELECT row_id, facts, {k} AS form, i, format('{{}}-{{:02d}}-{{:02d}}', y, {month}, try_cast(d AS INTEGER)) AS value, raw FROM (SELECT row_id, facts, unnest({get(y)}) AS y, unnest({get(m)}) AS m, unnest({get(d)}) AS d, unnest({get(0)}) AS raw, generate_subscripts({get(0)}, 1) AS i FROM candidate_cases)")
     return " UNION ALL ".join(parts)
 
 
-_HINTS = " + ".join(f"contains(around, '{h}')::INTEGER" for h in words.OFFENCE_HINTS)
+_HINTS = " + ".join(f"contains(around, '{h}')::INTEGER" for h in V.OFFENCE_HINTS)
 _ROUTES = f"""
 WITH every AS (SELECT * FROM ({_date_rows()}) WHERE try_strptime(value, '%Y-%m-%d') IS NOT NULL),
 one AS (SELECT row_id, any_value(facts) AS facts, value, min(form * 100000 + i) AS place, arg_max(raw, form * 100000 + i) AS raw FROM every GROUP BY row_id, value),
 near AS (SELECT *, lower(facts[greatest(1, instr(facts, raw) - 45) : instr(facts, raw) + length(raw) + 44]) AS around FROM one),
 ranked AS (SELECT row_id, value, hints, row_number() OVER (PARTITION BY row_id ORDER BY hints DESC, place) AS r FROM (SELECT row_id, value, place, {_HINTS} AS hints FROM near)),
 by_case AS (SELECT row_id, count(*) AS n, min(value) AS low, max(value) AS high, max(CASE WHEN r = 1 THEN value END) AS best, max(CASE WHEN r = 1 THEN hints END) AS h1, max(CASE WHEN r = 2 THEN hints END) AS h2 FROM ranked GROUP BY row_id),
-c AS (SELECT c.row_id, c.case_id, regexp_matches(lower(coalesce(facts, '')), '{words.CONTINUING}') AS going_on, coalesce(n, 0) AS n_dates, low, high, CASE WHEN n > 1 AND h1 = h2 AND regexp_matches(lower(facts), '{words.UNDECIDED}') THEN NULL ELSE best END AS offence FROM candidate_cases c LEFT JOIN by_case USING (row_id)),
-routes AS (SELECT row_id, case_id, offence, going_on, n_dates, CASE WHEN going_on AND n_dates > 1 AND low < '{words.CUTOFF}' AND high >= '{words.CUTOFF}' THEN 'MULTI_PERIOD_REVIEW' WHEN offence IS NULL THEN 'CLARIFY' WHEN offence < '{words.CUTOFF}' THEN 'IPC_ONLY' ELSE 'BNS_PRIMARY' END AS route FROM c)
+c AS (SELECT c.row_id, c.case_id, regexp_matches(lower(coalesce(facts, '')), '{V.CONTINUING}') AS going_on, coalesce(n, 0) AS n_dates, low, high, CASE WHEN n > 1 AND h1 = h2 AND regexp_matches(lower(facts), '{V.UNDECIDED}') THEN NULL ELSE best END AS offence FROM candidate_cases c LEFT JOIN by_case USING (row_id)),
+routes AS (SELECT row_id, case_id, offence, going_on, n_dates, CASE WHEN going_on AND n_dates > 1 AND low < '{V.CUTOFF}' AND high >= '{V.CUTOFF}' THEN 'MULTI_PERIOD_REVIEW' WHEN offence IS NULL THEN 'CLARIFY' WHEN offence < '{V.CUTOFF}' THEN 'IPC_ONLY' ELSE 'BNS_PRIMARY' END AS route FROM c)
 """
 
 _PAGES = """
@@ -65,7 +63,7 @@ k AS (SELECT doc_id, token, lower(token) AS word, CASE WHEN regexp_matches(token
 _ARMS = "WITH a AS (SELECT l_suppkey, l_returnflag, sum(l_quantity) AS errors, round(avg(l_extendedprice), 4) AS cost FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL), p AS (SELECT l_suppkey, max(errors) FILTER (l_returnflag = 'A') AS be, max(errors) FILTER (l_returnflag = 'R') AS ce, max(cost) FILTER (l_returnflag = 'A') AS bc, max(cost) FILTER (l_returnflag = 'R') AS cc FROM a GROUP BY l_suppkey HAVING count(*) = 2)"
 _VISITS = "WITH v AS (SELECT DISTINCT user_id, epoch_us(ts) // 3600000000 * 3600 AS s FROM events WHERE ts IS NOT NULL), iv AS (SELECT user_id, s AS start, s + 3600 AS \"end\" FROM v)"
 _LABELS = "l AS (SELECT case_id, max(applicable_law) AS law, max(concat_ws(' ', correct_top1_provision.code, correct_top1_provision.section)) AS top1 FROM gold_labels GROUP BY case_id)"
-_DIGITS = "translate(coalesce({c}, ''), '" + "".join(chr(b + k) for b in words.DIGIT_BLOCKS for k in range(10)) + "', '" + "0123456789" * len(words.DIGIT_BLOCKS) + "')"
+_DIGITS = "translate(coalesce({c}, ''), '" + "".join(chr(b + k) for b in V.DIGIT_BLOCKS for k in range(10)) + "', '" + "0123456789" * len(V.DIGIT_BLOCKS) + "')"
 
 
 def _numbers(c: str) -> str:
@@ -73,21 +71,90 @@ def _numbers(c: str) -> str:
 
 
 def _delimited() -> str:
-    from lexloom.operators.keyphrases import DELIMITERS
+    return _list(sorted((set(V.ENGLISH_STOP) - set(V.ENGLISH_NEGATIONS)) | set(V.PHRASE_NOISE) | set(V.MONTHS) | set(V.MONTHS_SHORT)))
 
-    return _list(DELIMITERS)
+
+_P, _N, _M = "IPC_ONLY", "BNS_PRIMARY", "MULTI_PERIOD_REVIEW"
+#: Rules by cue: provision, points, routes.
+_RULES = {
+    "retained theft": ("IPC-378:30:PNM", "IPC-379:30:PNM", "BNS-303:30:PNM"), "theft": ("IPC-378:35:PM", "IPC-379:40:PM", "BNS-303:35:NM"), "retention": ("IPC-403:35:PNM", "BNS-314:35:PNM"),
+    "death": ("IPC-299:35:PNM", "IPC-300:35:PNM", "BNS-100:35:PNM", "BNS-101:35:PNM"), "stalking": ("IPC-354D:35:PNM", "BNS-78:35:PNM"), "cheating": ("BNS-318:35:NM", "IPC-420:35:PM", "IPC-415:25:PM"),
+    "grievous hurt": ("BNS-117:45:NM", "BNS-116:38:NM", "IPC-322:45:PM", "IPC-320:38:PM", "IPC-325:35:PM"), "serious hurt": ("BNS-117:24:NM", "BNS-116:20:NM", "IPC-322:24:PM", "IPC-320:20:PM"),
+    "hurt": ("BNS-115:40:NM", "BNS-114:36:NM", "BNS-117:26:NM", "BNS-116:22:NM", "IPC-321:40:PM", "IPC-319:36:PM", "IPC-322:26:PM", "IPC-320:22:PM", "IPC-323:25:PM"),
+}
+
+
+def _rules() -> str:
+    """Rules as rows: cue, family, order, code, section, route, points."""
+    rows = []
+    for order, (cue, provisions) in enumerate(_RULES.items()):
+        for provision in provisions:
+            name, points, routes = provision.split(":")
+            code, section = name.split("-")
+            rows += [f"('{cue}', '{cue.split()[-1]}', {order}, '{code}', '{section}', '{ {'P': _P, 'N': _N, 'M': _M}[r] }', {points}.0)" for r in routes]
+    return f"(VALUES {', '.join(rows)}) AS rules(cue, family, ord, code, section, route, points)"
+
+
+def _cue(text: str) -> str:
+    """The cues of a text as a list; those that need more than words and phrases (retention, deaths, stalking) are left out."""
+    words = f"string_split(regexp_replace(lower(coalesce({text}, '')), '[^a-z0-9]+', ' ', 'g'), ' ')"
+    said = lambda some: f"list_has_any({words}, [{_list(some.split())}])"
+    told = lambda *labels: "(" + " OR ".join(f"regexp_matches(lower(coalesce({text}, '')), '{p}')" for label, p in V.PHRASES if label in labels) + ")"
+    owned = f"({told('movable property', 'mobile phone', 'phone property')} OR {said('property')})"
+    theft = f"({said('theft')} OR {told('victim property stolen')} OR regexp_matches(trim(lower(coalesce({text}, ''))), '^(?:20[0-9]{{2}}[-/.][0-9]{{1,2}}[-/.][0-9]{{1,2}}\\s+)?(?:it\\s+(?:was|is)\\s+)?stolen[.!?\\s]*$') OR {owned} AND ({said('steal steals stealing stole')} OR {told('without consent', 'without permission')} AND ({said('stolen take took taking taken takes moved moves dishonest dishonestly')} OR {told('out of possession', 'from possession')})))"
+    handed = f"({said('deliver delivered delivering delivers delivery give gave giving hand handed transfer transferred transferring transfers sell sold selling')} OR {told('deliver property', 'give property', 'hand over property', 'transfer property', 'sell property', 'delivery of property', 'deceived into property transfer', 'led to property transfer')})"
+    misled = f"({said('deceive deceived deceiving deception deceptive trick tricked cheated defraud defrauded defrauding defrauds fraud fraudulent fraudulently')} OR {told('deceived person', 'tricked person', 'deceived into property transfer')})"
+    cheating = f"({said('cheating')} OR {misled} AND ({said('property')} OR {handed}) AND ({handed} OR {said('dishonest dishonestly unjustly unfairly unfaithfully treasonfully disloyalty')}))"
+    grievous = f"({said('grievous')} OR {told('grievous hurt')})"
+    serious = f"({said('serious seriously')} OR {told('seriously injured', 'serious injury')})"
+    harmed = f"({grievous} OR {serious} OR {said('hurt hurts injure injured injures injury injuries wound wounded bodily pain')} OR {told('caused hurt', 'caused injury', 'physical injury', 'physical harm', 'bodily pain')})"
+    parts = (("theft", theft), ("cheating", cheating), ("grievous hurt", grievous), ("serious hurt", serious), ("hurt", harmed))
+    return "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{name}' END" for name, c in parts) + "], lambda x: x IS NOT NULL)"
+
+
+def _ranked() -> str:
+    labels = ", ".join(f"CASE WHEN regexp_matches(lower(facts), '{p}') THEN '{label}' END" for label, p in V.PHRASES)
+    return _ROUTES + f"""
+, q AS (SELECT c.row_id, c.facts, r.route, CASE r.route WHEN 'BNS_PRIMARY' THEN 'BNS' ELSE 'IPC' END AS prim, {_sections(1)} AS rc, {_sections(2)} AS rs, {_cue('facts')} AS cues FROM (SELECT * FROM candidate_cases QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY row_id DESC) = 1) c JOIN routes r USING (row_id) WHERE facts IS NOT NULL AND r.route <> 'CLARIFY'),
+docs AS (SELECT * FROM statute_supplements WHERE NOT {_REPEALED}),
+b AS (SELECT row_id, list_distinct({_tokens("concat_ws(' ', section, title, text, array_to_string(keywords, ' '))")}) AS body, {_tokens("title")} AS head FROM docs),
+d AS (SELECT row_id AS doc, token, list_contains(head, token) AS in_title FROM (SELECT row_id, head, unnest(body) AS token FROM b)),
+w AS (SELECT token, ln(((SELECT count(*) FROM docs) + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM d GROUP BY token),
+qt AS (SELECT row_id, unnest(list_distinct({_tokens(f"concat_ws(' ', facts, {labels})")})) AS token FROM q),
+s AS (SELECT qt.row_id, d.doc, sum(idf + CASE WHEN in_title THEN 8.0 ELSE 0.0 END) AS score FROM qt JOIN w USING (token) JOIN d USING (token) GROUP BY ALL),
+rf AS (SELECT row_id, route, prim, upper(unnest(rc)) AS rcode, upper(unnest(rs)) AS rsec FROM q),
+ex AS (SELECT DISTINCT rf.row_id, docs.row_id AS doc, 50.0 AS points FROM rf JOIN docs ON upper(docs.section) = rsec AND (rcode = '' OR rcode IS NULL OR rcode = docs.code)),
+mp AS (SELECT DISTINCT rf.row_id, docs.row_id AS doc, 30.0 AS points FROM rf JOIN docs ON rcode <> '' AND rcode <> docs.code AND (route = 'MULTI_PERIOD_REVIEW' OR docs.code = prim) AND list_contains([string_split(m, '-r')[1] FOR m IN coalesce(maps_to, [])], lower(rcode) || '-' || lower(rsec))),
+cu AS (SELECT row_id, route, len(rs) AS n_refs, unnest(cues) AS cue FROM q),
+ru AS (SELECT cu.row_id, docs.row_id AS doc, family, ord, points FROM cu JOIN {_rules()} ON cu.cue = rules.cue AND cu.route = rules.route JOIN docs ON docs.code = rules.code AND upper(docs.section) = rules.section WHERE NOT (n_refs > 0 AND family IN ('hurt', 'death', 'stalking')) QUALIFY row_number() OVER (PARTITION BY cu.row_id, docs.row_id, family ORDER BY ord) = 1),
+al AS (SELECT row_id, doc, sum(x) AS score FROM (SELECT row_id, doc, score AS x FROM s UNION ALL SELECT row_id, doc, points FROM ex UNION ALL SELECT row_id, doc, points FROM mp UNION ALL SELECT row_id, doc, points FROM ru) GROUP BY ALL),
+f AS (SELECT q.row_id, doc, docs.code, q.route, prim, round(score + CASE WHEN q.route = 'MULTI_PERIOD_REVIEW' THEN 1 WHEN docs.code = prim THEN 2 ELSE 0 END, 3) AS score, coalesce((SELECT max(1) FROM rf WHERE rf.row_id = q.row_id AND rcode = docs.code AND rsec = upper(docs.section) AND docs.code = prim), 0) AS cited FROM al JOIN q USING (row_id) JOIN docs ON docs.row_id = doc WHERE NOT (q.route = 'IPC_ONLY' AND docs.code <> 'IPC') AND docs.code IN ('IPC', 'BNS')),
+g AS (SELECT *, (route = 'BNS_PRIMARY' AND code = 'BNS')::INTEGER AS fc, row_number() OVER (PARTITION BY row_id, code ORDER BY cited DESC, (route = 'BNS_PRIMARY' AND code = 'BNS') DESC, score DESC, doc) AS k FROM f WHERE score > 0),
+h AS (SELECT *, (route = 'MULTI_PERIOD_REVIEW' AND k = 1) AS lead FROM g)
+SELECT row_id, doc AS statute_row, code, score, cited::INTEGER AS cited, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY lead DESC, CASE WHEN lead THEN (code <> prim)::INTEGER END, cited DESC, fc DESC, score DESC, doc) AS rank FROM h) WHERE rank <= 3"""
+
+
+_SPOKEN = """SELECT * FROM (VALUES
+(0, 'Under section 379 he paid 520,000 rupees.', 'section>379|amount>520,000'), (1, 'on 21 June 2024', 'date>21 June 2024'), (2, 'IPC 420 and BNS 302', 'section>420|section>302'),
+(3, 'grievous hurt under the Bharatiya Nyaya Sanhita', 'lexicon>grievous hurt|lexicon>Bharatiya Nyaya Sanhita'), (4, 'the Indian Penal Code and criminal breach of trust', 'lexicon>Indian Penal Code|lexicon>criminal breach of trust'),
+(5, 'no one may march in May', ''), (6, 'extortion of movable property', 'lexicon>extortion|lexicon>movable property'), (7, '5 July 2023', 'date>5 July 2023'), (8, NULL, ''), (9, '', '')) AS t(id, text, log)"""
+_REPAIRED = """SELECT id, page, letters, dates, acronyms, log FROM (VALUES
+(0, 'ab' || chr(10) || chr(10) || 'kept', 'a' || chr(173) || 'b' || chr(13) || chr(10) || '____' || repeat(chr(10), 3) || '12 THE GAZETTE OF X' || chr(10) || 'kept', NULL, NULL, ''),
+(1, 'T H E F T of a B O A T', 'THEFT of a BOAT', 'T H E F T of a B O A T', 'T H E F T of a B O A T', ''),
+(2, 'on 5 July 2024he left, 2024-07-05 ના રોજ.', 'on 5 July 2024he left, 2024-07-05 ના રોજ.', 'on 5 July 2024 he left, 2024-07-05 .', 'on 5 July 2024he left, 2024-07-05 ના રોજ.', ''),
+(3, 'आईपीसी 302 और बीएनएस 303', 'आईपीसी 302 और बीएनएस 303', 'आईपीसी 302 और बीएनएस 303', 'IPC 302 और BNS 303', 'आईपीसी>IPC|बीएनएस>BNS'), (4, NULL, NULL, NULL, NULL, '')) AS t(id, page, letters, d, a, log), LATERAL (SELECT CASE WHEN id = 0 THEN letters ELSE d END AS dates, CASE WHEN id = 0 THEN letters ELSE a END AS acronyms)"""
 
 
 def oracle_sql() -> dict[str, str]:
     low = "list_distinct(string_split(regexp_replace(lower(coalesce(facts, '')), '[^a-z0-9]+', ' ', 'g'), ' '))"
-    phrases = " UNION ALL ".join(f"SELECT '{label}' AS label, count(*) AS n FROM candidate_cases WHERE regexp_matches(lower(coalesce(facts, '')), '{p}')" for label, p in words.PHRASES)
-    suffix = " ".join(f"WHEN suffix(word, '{s}') AND length(word) - {len(s)} >= 3 THEN word[1 : length(word) - {len(s)}]" for s in words.ENGLISH_SUFFIXES)
+    phrases = " UNION ALL ".join(f"SELECT '{label}' AS label, count(*) AS n FROM candidate_cases WHERE regexp_matches(lower(coalesce(facts, '')), '{p}')" for label, p in V.PHRASES)
+    suffix = " ".join(f"WHEN suffix(word, '{s}') AND length(word) - {len(s)} >= 3 THEN word[1 : length(word) - {len(s)}]" for s in V.ENGLISH_SUFFIXES)
     letters = lambda c: f"regexp_replace(lower(coalesce({c}, '')), '[^a-z]', '', 'g')"
-    scripts = " ".join(f"WHEN regexp_matches(theft, '{p}') THEN '{n}'" for n, p in words.SCRIPT_BLOCKS)
+    scripts = " ".join(f"WHEN regexp_matches(theft, '{p}') THEN '{n}'" for n, p in V.SCRIPT_BLOCKS)
     hourly = "SELECT epoch_us(date_trunc('hour', ts)) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL"
     pairs = "WITH e AS (SELECT user_id, ts, event_type, lag(event_type) OVER w AS was, lag(ts) OVER w AS opened FROM events WHERE event_type IN ('view', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, epoch_us(opened) AS opened, epoch_us(ts) AS closed FROM e WHERE event_type = 'purchase' AND was = 'view'"
     ascii_only = "regexp_full_match(theft, '[\\x00-\\x7F]*', 's')"
-    has_script = " ".join(f"WHEN '{c}' THEN regexp_matches(theft, '[\\x{{{b.split('-')[0]}}}-\\x{{{b.split('-')[1]}}}]')" for c, b in C.SCRIPTS.items())
+    has_script = " ".join(f"WHEN '{c}' THEN regexp_matches(theft, '[\\x{{{b.split('-')[0]}}}-\\x{{{b.split('-')[1]}}}]')" for c, b in V.SCRIPTS.items())
     hindi = "जनवरी फ़रवरी मार्च अप्रैल मई जून जुलाई अगस्त सितंबर अक्तूबर नवंबर दिसंबर".split()  # fixed values: the months
     hindi_cases = " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(hindi, 1))
     hindi_get = lambda g: rf"unnest(regexp_extract_all(text, '([0-9]{{1,2}})\s+({'|'.join(hindi)}),?\s+(20[0-9]{{2}})', {g}))"
@@ -125,7 +192,7 @@ def oracle_sql() -> dict[str, str]:
     return more | {
         "streamed_windows": hourly,
         "streamed_pairs": pairs,
-        "english_like_texts": f"SELECT {ascii_only} AND len(regexp_extract_all(theft, '{C.ENGLISH_MARKERS}')) >= 2 AS english, count(*) AS n FROM multilingual_completion WHERE theft IS NOT NULL GROUP BY 1",
+        "english_like_texts": f"SELECT {ascii_only} AND len(regexp_extract_all(theft, '{V.ENGLISH_MARKERS}')) >= 2 AS english, count(*) AS n FROM multilingual_completion WHERE theft IS NOT NULL GROUP BY 1",
         "script_mismatches": f"SELECT row_id, code FROM (SELECT row_id, theft, lower(split_part(language, '-', 1)) AS code FROM multilingual_completion WHERE theft IS NOT NULL) WHERE NOT CASE code WHEN 'en' THEN {ascii_only} {has_script} END",
         "invented_numbers": f"SELECT row_id, unnest(list_filter(list_distinct({_numbers('cheating')}), lambda x: NOT list_contains({_numbers('theft')}, x))) AS number FROM multilingual_completion WHERE theft IS NOT NULL AND cheating IS NOT NULL",
         "repaired_once": "SELECT row_id, nfc_normalize(title) AS composed FROM statute_supplements",
@@ -141,9 +208,9 @@ def oracle_sql() -> dict[str, str]:
         "route_counts": _ROUTES + "SELECT route, count(*) AS n, count(offence) AS dated FROM routes GROUP BY route",
         "grounding_warnings": _ROUTES + "SELECT * FROM (SELECT 'review' AS warning, count(*) AS n FROM routes WHERE route IN ('CLARIFY', 'MULTI_PERIOD_REVIEW') UNION ALL SELECT 'no date', count(*) FROM routes WHERE route = 'CLARIFY' AND n_dates = 0 UNION ALL SELECT 'continuing', count(*) FROM routes WHERE going_on) WHERE n > 0",
         "route_accuracy": _ROUTES + f", {_LABELS}, last AS (SELECT case_id, max(row_id) AS row_id FROM candidate_cases GROUP BY case_id), b AS (SELECT route, law, top1 FROM last JOIN routes USING (row_id) JOIN l ON l.case_id = last.case_id) SELECT count(*) AS cases, round(count(*) FILTER (route = law) * 100.0 / nullif(count(law), 0), 2) AS law_accuracy, round(count(*) FILTER (route = law AND law <> 'CLARIFY') * 100.0 / nullif(count(*) FILTER (law <> 'CLARIFY'), 0), 2) AS dated_accuracy, coalesce(round(count(*) FILTER (top1 <> '') * 100.0 / nullif(count(*), 0), 2), 0.0) AS with_top1 FROM b",
-        "vocabulary_counts": f"SELECT word, count(*) AS n FROM (SELECT unnest({low}) AS word FROM candidate_cases) WHERE word IN ({_list(words.VOCABULARY)}) GROUP BY word",
+        "vocabulary_counts": f"SELECT word, count(*) AS n FROM (SELECT unnest({low}) AS word FROM candidate_cases) WHERE word IN ({_list(V.VOCABULARY)}) GROUP BY word",
         "phrase_counts": f"SELECT * FROM ({phrases}) WHERE n > 0",
-        "keywords_top16": f"WITH w AS (SELECT row_id, unnest(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '[a-z][a-z-]{{3,}}')) AS keyword FROM statute_supplements), c AS (SELECT row_id, keyword, count(*) AS n FROM w WHERE keyword NOT IN ({_list(words.KEYWORD_STOP)}) GROUP BY ALL) SELECT * FROM (SELECT row_id, keyword, n, row_number() OVER (PARTITION BY row_id ORDER BY n DESC, keyword) AS rank FROM c) WHERE rank <= 16",
+        "keywords_top16": f"WITH w AS (SELECT row_id, unnest(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '[a-z][a-z-]{{3,}}')) AS keyword FROM statute_supplements), c AS (SELECT row_id, keyword, count(*) AS n FROM w WHERE keyword NOT IN ({_list(V.KEYWORD_STOP)}) GROUP BY ALL) SELECT * FROM (SELECT row_id, keyword, n, row_number() OVER (PARTITION BY row_id ORDER BY n DESC, keyword) AS rank FROM c) WHERE rank <= 16",
         "record_counts": "SELECT code, record_type, count(*) AS n, grouping(code, record_type) AS level FROM statute_supplements GROUP BY CUBE (code, record_type)",
         "overlaid_titles": "WITH x AS (SELECT id, arg_max(struct_pack(t := title), row_id).t AS title FROM statute_supplements WHERE record_type = 'primary-statute-supplement' GROUP BY id) SELECT s.row_id, s.id, CASE WHEN x.id IS NULL THEN s.title ELSE x.title END AS title FROM statute_supplements s LEFT JOIN x USING (id) WHERE record_type = 'primary-statute'",
         "latest_records": "SELECT id, row_id, code, record_type FROM statute_supplements QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_id DESC) = 1",
@@ -154,9 +221,9 @@ def oracle_sql() -> dict[str, str]:
         "page_as_of": _PAGES + ", l AS (SELECT file, page_start, max(page) AS page FROM p GROUP BY ALL), t AS (SELECT file, unnest(range(0, max(page_start) + 1, 10000)) AS at FROM p GROUP BY file) SELECT t.file, t.at, l.page FROM t ASOF JOIN l ON t.file = l.file AND t.at >= l.page_start",
         "page_spans": _PAGES + "SELECT row_id, page_start, lead(page_start) OVER (PARTITION BY file ORDER BY page, row_id) AS span_end FROM p",
         "repealed_records": "SELECT regexp_matches(coalesce(title, '') || ' ' || coalesce(text, '')[1:80], '(?i)\\brepealed\\b|\\[repealed\\]|^\\s*rep\\.\\s+by') AS repealed, count(*) AS n FROM statute_supplements GROUP BY 1",
-        "token_stats": _EN_TOKENS + f"SELECT doc_id, count(*) AS tokens, count(*) FILTER (kind = 'word') AS words, count(DISTINCT word) FILTER (kind = 'word') AS unique_words, count(*) FILTER (kind = 'number') AS numbers, count(*) FILTER (kind = 'word' AND word IN ({_list(words.ENGLISH_STOP)})) AS stop_words FROM k GROUP BY doc_id",
-        "stem_counts": _EN_TOKENS + f"SELECT word, CASE WHEN length(word) <= 4 OR word IN ({_list(words.ENGLISH_STOP + words.ENGLISH_NEGATIONS)}) THEN word {suffix} ELSE word END AS stem, count(*) AS n FROM k WHERE kind = 'word' AND regexp_matches(token, '^[A-Za-z]+$') GROUP BY word",
-        "negation_counts": _EN_TOKENS + f"SELECT word, count(*) AS n FROM k WHERE kind = 'word' AND word IN ({_list(words.ENGLISH_NEGATIONS)}) GROUP BY word",
+        "token_stats": _EN_TOKENS + f"SELECT doc_id, count(*) AS tokens, count(*) FILTER (kind = 'word') AS words, count(DISTINCT word) FILTER (kind = 'word') AS unique_words, count(*) FILTER (kind = 'number') AS numbers, count(*) FILTER (kind = 'word' AND word IN ({_list(V.ENGLISH_STOP)})) AS stop_words FROM k GROUP BY doc_id",
+        "stem_counts": _EN_TOKENS + f"SELECT word, CASE WHEN length(word) <= 4 OR word IN ({_list(V.ENGLISH_STOP + V.ENGLISH_NEGATIONS)}) THEN word {suffix} ELSE word END AS stem, count(*) AS n FROM k WHERE kind = 'word' AND regexp_matches(token, '^[A-Za-z]+$') GROUP BY word",
+        "negation_counts": _EN_TOKENS + f"SELECT word, count(*) AS n FROM k WHERE kind = 'word' AND word IN ({_list(V.ENGLISH_NEGATIONS)}) GROUP BY word",
         "rake_top8": f"WITH r AS (SELECT item_id, regexp_extract_all(text, '{_TOKEN}') AS l FROM eval_items WHERE lang = 'en'), t AS (SELECT item_id, lower(unnest(l)) AS word, generate_subscripts(l, 1) AS pos FROM r), c AS (SELECT *, (NOT regexp_matches(word, '^[\\p{{L}}\\p{{M}}\\x{{200C}}\\x{{200D}}]') OR word IN ({_delimited()})) AS cut FROM t), g AS (SELECT *, sum(cut::INTEGER) OVER (PARTITION BY item_id ORDER BY pos) AS run FROM c), p AS (SELECT item_id, run, min(pos) AS first, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS phrase FROM g WHERE NOT cut GROUP BY item_id, run), e AS (SELECT g.item_id, p.first, p.n, g.word FROM g JOIN p USING (item_id, run) WHERE NOT cut), w AS (SELECT item_id, word, sum(n)::DOUBLE / count(*) AS weight FROM e GROUP BY ALL), s AS (SELECT item_id, first, sum(weight) AS score FROM e JOIN w USING (item_id, word) WHERE n <= 4 GROUP BY ALL), o AS (SELECT item_id, phrase, round(max(score), 2) AS score, max(n) AS words, count(*) AS occurrences, min(first) AS f FROM p JOIN s USING (item_id, first) WHERE n <= 4 GROUP BY item_id, phrase) SELECT item_id, phrase, score, words, occurrences, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, occurrences DESC, f) AS rank FROM o) WHERE rank <= 8",
         "script_counts": f"SELECT CASE {scripts} ELSE 'other' END AS script, count(*) AS n FROM multilingual_completion WHERE theft IS NOT NULL GROUP BY 1",
         "ascii_numbers": f"SELECT row_id, array_to_string({_numbers('theft')}, '|') AS numbers FROM multilingual_completion WHERE theft IS NOT NULL",
@@ -194,4 +261,13 @@ def oracle_sql() -> dict[str, str]:
         "mean_confidence": "SELECT user_id, round(sum(value * length(event_type)) / sum(length(event_type)), 3) AS weighted, round(avg(value), 3) AS plain FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY user_id",
         "top_dimensions": "WITH x AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS place FROM embeddings) SELECT vec_id, rank, place FROM (SELECT vec_id, place, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, place) - 1 AS rank FROM x WHERE place <> 0 AND isfinite(v)) WHERE rank < 5",
         "phrase_runs": "WITH s AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents WHERE lang = 'en' AND text IS NOT NULL), r AS (SELECT doc_id, array_to_string(w[i : i + 2], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM s)) SELECT doc_id, run, count(*) AS n FROM r GROUP BY ALL HAVING count(*) > 1",
+        "ranked_statutes": _ranked(),
+        "rule_points_by_route": f"SELECT route, family, count(*) AS rules, sum(points)::DOUBLE AS points FROM {_rules()} GROUP BY ALL",
+        "cue_counts": f"SELECT cue, count(*) AS n FROM (SELECT unnest({_cue('t')}) AS cue FROM (SELECT facts AS t FROM candidate_cases UNION ALL SELECT injury FROM multilingual_completion UNION ALL SELECT theft FROM multilingual_completion) WHERE t IS NOT NULL) GROUP BY cue",
+        "spoken_samples": _SPOKEN,
+        "repaired_text": _REPAIRED,
+        "checked_translations": "SELECT language, variant, variant < 2 AS role_changed, language <> 'mr' AND variant > 0 AS intent_lost, language IN ('hi', 'mr') AND variant = 1 AS flipped FROM (SELECT unnest(['hi', 'mr', 'gu', 'bn', 'ta', 'te', 'kn', 'ml', 'pa', 'ur']) AS language), (SELECT unnest([0, 1, 2]) AS variant)",
+        "guessed_languages": "WITH t AS (SELECT unnest([theft, injury, cheating]) AS t FROM multilingual_completion), g AS (SELECT " + "CASE " + " ".join(f"WHEN regexp_matches(t, '[\\x{{{b.split('-')[0]}}}-\\x{{{b.split('-')[1]}}}]') THEN '{c}'" for c, b in (("gu", "0A80-0AFF"), ("bn", "0980-09FF"), ("ta", "0B80-0BFF"), ("te", "0C00-0C7F"), ("kn", "0C80-0CFF"), ("ml", "0D00-0D7F"), ("pa", "0A00-0A7F"), ("ur", "0600-06FF"))) + " WHEN regexp_matches(t, '[\\x{0900}-\\x{097F}]') THEN CASE WHEN m > h THEN 'mr' WHEN h > m THEN 'hi' END END AS language FROM (SELECT t, regexp_matches(t, 'आहे|आहेत|झाला|झाली|केला|केली|मध्ये|त्याने|नाही')::INTEGER + contains(t, 'ळ')::INTEGER + contains(t, 'ऱ')::INTEGER AS m, regexp_matches(t, 'है|हैं|हुआ|हुई|किया|में|उसने|नहीं')::INTEGER + regexp_matches(t, 'ड़|ढ़')::INTEGER AS h FROM t WHERE t IS NOT NULL)) SELECT language, count(*) AS n FROM g GROUP BY language",
+        "rescored_pairs": "WITH r AS (SELECT CASE WHEN row_id % 10 = 0 THEN 'unexpected' WHEN trim(theft, ' ') = theft THEN 'same' ELSE 'changed' END AS status FROM multilingual_completion WHERE theft IS NOT NULL) SELECT status, count(*) AS n FROM r GROUP BY status",
+        "checked_events": "SELECT CASE WHEN n > 70 THEN 'too-many' WHEN NOT kinds THEN 'kind' WHEN NOT inside THEN 'outside' ELSE 'none' END AS fault, count(*) AS users FROM (SELECT user_id, count(*) AS n, bool_and(coalesce(event_type IN ('view', 'purchase', 'click', 'signup', 'error'), false)) AS kinds, bool_and(coalesce(ts BETWEEN TIMESTAMP '2024-01-01 06:00:00' AND TIMESTAMP '2024-01-30 18:00:00', false)) AS inside FROM events GROUP BY user_id) GROUP BY fault",
     }

@@ -17,10 +17,10 @@ def test_retrieval(spark):
     docs = spark.createDataFrame([(1, "Theft", "theft of boats"), (2, "Boats", "boats boats"), (3, None, None), (4, "Theft", "theft of boats")], "row_id long, title string, text string")
     q = spark.createDataFrame([(9, "theft boats"), (8, None), (7, "")], "qid long, t string")
     tokens = retrieval.document_tokens(docs, "row_id", "title", F.col("title"), F.col("text"))
-    got = rows(retrieval.top(retrieval.scores(retrieval.query_tokens(q, "qid", "t"), tokens, 4), 2), "qid", "rank")
+    got = rows(retrieval.top(retrieval.scores(retrieval.query_tokens(q, "qid", "t"), tokens, retrieval.counted(docs)), 2), "qid", "rank")
     assert [(r[0], r[1], r[3]) for r in got] == [(9, 1, 1), (9, 4, 2)]
     assert got[0][2] == pytest.approx(got[1][2])
-    assert retrieval.scores(retrieval.query_tokens(q.limit(0), "qid", "t"), tokens, 4).count() == 0
+    assert retrieval.scores(retrieval.query_tokens(q.limit(0), "qid", "t"), tokens, retrieval.counted(docs)).count() == 0
 
 
 def test_diversified(spark):
