@@ -160,8 +160,8 @@ def _parts(tagger: Tagger, text: str) -> list[tuple[int, int]]:
 
 
 def _script(text: str) -> str:
-    """The script of most letters, by the Unicode names of the first of them."""
-    found = Counter(unicodedata.name(c, "?").split()[0] for c in LETTER.findall(text)[:60])
+    """The script of most letters, by the Unicode names of all of them."""
+    found = Counter(unicodedata.name(c, "?").split()[0] for c in LETTER.findall(text))
     return found.most_common(1)[0][0] if found else "?"
 
 

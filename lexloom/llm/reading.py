@@ -185,23 +185,32 @@ class Boosted:
 
 
 class Grader:
-    """A fitted model, the cuts between its grades, and what cross-validation by source measured."""
+    """A fitted model, the cuts between its grades, and what cross-validation by source measured: `accuracy`, None if the labels have one source only (folds are of rows then)."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, source: np.ndarray):
         if len(y) < MIN_LABELS:
             raise ValueError(f"{len(y)} labelled documents; at least {MIN_LABELS} are needed")
         names = np.unique(source)
-        fold = {s: i % FOLDS for i, s in enumerate(names[np.argsort([-(source == s).sum() for s in names], kind="stable")])} if len(names) >= FOLDS else None
+        fold = {s: i % FOLDS for i, s in enumerate(names[np.argsort([-(source == s).sum() for s in names], kind="stable")])} if len(names) > 1 else None
         of = np.array([fold[s] for s in source]) if fold else np.arange(len(y)) % FOLDS
         left_out = np.full(len(y), float(y.mean()))
         for k in range(FOLDS):
             if (of == k).any() and (of != k).any():
                 left_out[of == k] = Boosted().fit(x[of != k], y[of != k]).predict(x[of == k])
         self.cuts = [self.best_cut(left_out, y, k) for k in range(len(BANDS) - 1)]
-        self.accuracy = float((self.bands(left_out) == y).mean())
+        self.accuracy = self._measured(left_out, y, of) if fold else None
         good = np.abs(left_out - y) < 1.25
         self.model = Boosted().fit(x[good], y[good])
 
+    def _measured(self, left_out: np.ndarray, y: np.ndarray, of: np.ndarray) -> float:
+        """Share of labels met, each fold's with the cuts that the other folds' left-out grades place: no label judges a cut that it placed."""
+        right = 0
+        for k in np.unique(of):
+            here, rest = of == k, of != k
+            cuts = [self.best_cut(left_out[rest], y[rest], b) for b in range(len(BANDS) - 1)]
+            right += int((np.searchsorted(np.sort(cuts), left_out[here]) == y[here]).sum())
+        return right / len(y)
+
     @staticmethod
     def best_cut(grades: np.ndarray, y: np.ndarray, k: int) -> float:
         """The middle of the widest of the cuts between bands k and k + 1 that misplace the fewest left-out labels."""
