@@ -270,4 +270,6 @@ def oracle_sql() -> dict[str, str]:
         "guessed_languages": "WITH t AS (SELECT unnest([theft, injury, cheating]) AS t FROM multilingual_completion), g AS (SELECT " + "CASE " + " ".join(f"WHEN regexp_matches(t, '[\\x{{{b.split('-')[0]}}}-\\x{{{b.split('-')[1]}}}]') THEN '{c}'" for c, b in (("gu", "0A80-0AFF"), ("bn", "0980-09FF"), ("ta", "0B80-0BFF"), ("te", "0C00-0C7F"), ("kn", "0C80-0CFF"), ("ml", "0D00-0D7F"), ("pa", "0A00-0A7F"), ("ur", "0600-06FF"))) + " WHEN regexp_matches(t, '[\\x{0900}-\\x{097F}]') THEN CASE WHEN m > h THEN 'mr' WHEN h > m THEN 'hi' END END AS language FROM (SELECT t, regexp_matches(t, 'आहे|आहेत|झाला|झाली|केला|केली|मध्ये|त्याने|नाही')::INTEGER + contains(t, 'ळ')::INTEGER + contains(t, 'ऱ')::INTEGER AS m, regexp_matches(t, 'है|हैं|हुआ|हुई|किया|में|उसने|नहीं')::INTEGER + regexp_matches(t, 'ड़|ढ़')::INTEGER AS h FROM t WHERE t IS NOT NULL)) SELECT language, count(*) AS n FROM g GROUP BY language",
         "rescored_pairs": "WITH r AS (SELECT CASE WHEN row_id % 10 = 0 THEN 'unexpected' WHEN trim(theft, ' ') = theft THEN 'same' ELSE 'changed' END AS status FROM multilingual_completion WHERE theft IS NOT NULL) SELECT status, count(*) AS n FROM r GROUP BY status",
         "checked_events": "SELECT CASE WHEN n > 70 THEN 'too-many' WHEN NOT kinds THEN 'kind' WHEN NOT inside THEN 'outside' ELSE 'none' END AS fault, count(*) AS users FROM (SELECT user_id, count(*) AS n, bool_and(coalesce(event_type IN ('view', 'purchase', 'click', 'signup', 'error'), false)) AS kinds, bool_and(coalesce(ts BETWEEN TIMESTAMP '2024-01-01 06:00:00' AND TIMESTAMP '2024-01-30 18:00:00', false)) AS inside FROM events GROUP BY user_id) GROUP BY fault",
+        "sentence_counts": r"""WITH x AS (SELECT row_id, regexp_replace(coalesce(facts, ''), '(?i)\\b(rs|no|sec|dr|mr|mrs|ms|vs|ltd|co|st|smt|shri|adv)\\.', '\\1', 'g') AS t FROM candidate_cases), y AS (SELECT row_id, t, '[।॥!?؟۔]["'')\\]”’]*|\\.(?:\\s|$)' AS p FROM x) SELECT row_id, (len(regexp_extract_all(t, p)) + (trim(list_last(string_split_regex(t, p)), ' ' || chr(9) || chr(10)) <> '')::INTEGER)::INTEGER AS sentences FROM y""".replace("\\\\", "\\"),
+        "written_numbers": "SELECT row_id, facts AS text, 0 AS corrections FROM candidate_cases",  # the tables hold no spoken number; spoken_samples has them
     }
