@@ -428,10 +428,10 @@ def viterbi(scores: list[float], pairs: list[list[float]], gaps: list[int] | Non
     return out[::-1]
 
 
-def _learn(texts: list[str], counts: Counts) -> Tagger:
-    """Fits on uniform texts and on their stripped and wrapped copies."""
+def _learn(texts: list[str], counts: Counts, chains: list[Chain] | None = None) -> Tagger:
+    """Fits on uniform texts and on their stripped and wrapped copies. chains: the texts' own, where they are made already."""
     rng = random.Random(11)
-    chains = [c for t in texts if (c := Chain(t)).first is not None]
+    chains = [c for c in chains or map(Chain, texts) if c.first is not None]
     data = []
     for c in chains:
         labels = certain(c, counts)
@@ -502,13 +502,12 @@ def sample(fields: list[tuple[DataFrame, str, str]], limit: int = SAMPLE) -> lis
     return out
 
 
-def counted(fields: list[tuple[DataFrame, str, str]], texts: list[str]) -> Counts:
-    """Counts over all rows of the words and beginnings that given texts have."""
+def counted(fields: list[tuple[DataFrame, str, str]], texts: list[str], chains: list[Chain] | None = None) -> Counts:
+    """Counts over all rows of the words and beginnings that given texts have. chains: the texts' own, where they are made already."""
     if not texts:
         return Counts()
     keys = {("h", k) for t in texts for k in head_keys(t)}
-    for t in texts:
-        c = Chain(t)
+    for t, c in zip(texts, chains or map(Chain, texts)):
         keys |= {("h", k) for seen in c.seen for k in (f"{seen[6]} {seen[7]}", seen[9])}
         tokens = t.split()
         keys |= {(kind, word_key(x)) for x in tokens if "." in x for kind in "wp"} | {("w", seen[3]) for seen in c.seen}
@@ -534,7 +533,8 @@ def counted(fields: list[tuple[DataFrame, str, str]], texts: list[str]) -> Count
 
 def train(fields: list[tuple[DataFrame, str, str]], limit: int = SAMPLE) -> Tagger:
     texts = sample(fields, limit)
-    return _learn(texts, counted(fields, texts))
+    chains = [Chain(t) for t in texts]
+    return _learn(texts, counted(fields, texts, chains), chains)
 
 
 def _tag(tagger):

@@ -47,3 +47,7 @@ def test_pairs_and_classes(spark):
     assert {tuple(r) for r in U.differing_pairs(df, "row_id", "form").collect()} == {(1, 2), (2, 3), (1, 7), (3, 7), (2, 7)}
     assert {(r.row_id, r.class_id) for r in U.classes(df, "row_id", "form").collect()} == {(1, 1), (2, 1), (3, 1), (7, 1), (4, 4), (8, 8)}
     assert U.differing_pairs(df.limit(0), "row_id", "form").count() == 0
+
+
+def test_letters_of_other_blocks():
+    assert [U.fold_text(t)[0] for t in ("𝐭𝐡𝐞𝐟𝐭", "ɑct", "Օne", "ᎪᏟ")] == ["theft", "act", "One", "AC"]
