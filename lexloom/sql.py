@@ -134,6 +134,18 @@ h AS (SELECT *, (route = 'MULTI_PERIOD_REVIEW' AND k = 1) AS lead FROM g)
 SELECT row_id, doc AS statute_row, code, score, cited::INTEGER AS cited, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY lead DESC, CASE WHEN lead THEN (code <> prim)::INTEGER END, cited DESC, fc DESC, score DESC, doc) AS rank FROM h) WHERE rank <= 3"""
 
 
+_GROUNDED = """WITH rk AS ({ranked}), rt AS ({routes}SELECT row_id, route FROM routes),
+ci AS (SELECT DISTINCT rk.row_id FROM rk JOIN statute_supplements s ON s.row_id = rk.statute_row WHERE s.section IS NOT NULL),
+w AS (SELECT route AS warning FROM rt WHERE route IN ('CLARIFY', 'MULTI_PERIOD_REVIEW') UNION ALL SELECT 'nothing was retrieved' FROM rt WHERE row_id NOT IN (SELECT row_id FROM ci))
+SELECT warning, count(*) AS n FROM w GROUP BY warning"""
+_METRICS = """WITH rk AS ({ranked}), rt AS ({routes}SELECT row_id, route FROM routes),
+ca AS (SELECT row_id, case_id FROM candidate_cases QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY row_id DESC) = 1),
+fo AS (SELECT case_id, list(concat_ws('-', rk.code, nullif(regexp_extract(replace(s.section, ' ', ''), '^[0-9]{{1,3}}[A-Z]*'), '')) ORDER BY rk.rank) AS found FROM rk JOIN ca USING (row_id) JOIN statute_supplements s ON s.row_id = rk.statute_row GROUP BY case_id),
+go AS (SELECT case_id, max(applicable_law) AS law, nullif(max(concat_ws('-', correct_top1_provision.code, correct_top1_provision.section)), '') AS one, coalesce(max([concat_ws('-', x.code, x.section) FOR x IN correct_top3_provisions]), []) AS three FROM gold_labels GROUP BY case_id),
+a AS (SELECT route, law, one, three, coalesce(found, []) AS found, len(list_intersect(three, coalesce(found, []))) AS hits, len(three) AS wanted FROM go JOIN ca USING (case_id) JOIN rt USING (row_id) LEFT JOIN fo USING (case_id))
+SELECT count(*) AS cases, round(count(*) FILTER (law IS NOT NULL AND route = law) * 100.0 / count(*) FILTER (law IS NOT NULL), 2) AS law_accuracy, round(count(*) FILTER (found[1] IS NOT DISTINCT FROM one) * 100.0 / count(*), 2) AS first_accuracy,
+round(count(*) FILTER (one IS NOT NULL AND found[1] = one) * 100.0 / count(*) FILTER (one IS NOT NULL), 2) AS named_first_accuracy, round(count(*) FILTER (hits = wanted) * 100.0 / count(*), 2) AS all_of_three,
+round(count(*) FILTER (wanted > 0 AND hits > 0) * 100.0 / count(*) FILTER (wanted > 0), 2) AS any_of_three, round(sum(hits) * 100.0 / sum(wanted), 2) AS recall_of_three FROM a"""
 _SPOKEN = """SELECT * FROM (VALUES
 (0, 'Under section 379 he paid 520,000 rupees.', 'section>379|amount>520,000'), (1, 'on 21 June 2024', 'date>21 June 2024'), (2, 'IPC 420 and BNS 302', 'section>420|section>302'),
 (3, 'grievous hurt under the Bharatiya Nyaya Sanhita', 'lexicon>grievous hurt|lexicon>Bharatiya Nyaya Sanhita'), (4, 'the Indian Penal Code and criminal breach of trust', 'lexicon>Indian Penal Code|lexicon>criminal breach of trust'),
@@ -272,4 +284,6 @@ def oracle_sql() -> dict[str, str]:
         "checked_events": "SELECT CASE WHEN n > 70 THEN 'too-many' WHEN NOT kinds THEN 'kind' WHEN NOT inside THEN 'outside' ELSE 'none' END AS fault, count(*) AS users FROM (SELECT user_id, count(*) AS n, bool_and(coalesce(event_type IN ('view', 'purchase', 'click', 'signup', 'error'), false)) AS kinds, bool_and(coalesce(ts BETWEEN TIMESTAMP '2024-01-01 06:00:00' AND TIMESTAMP '2024-01-30 18:00:00', false)) AS inside FROM events GROUP BY user_id) GROUP BY fault",
         "sentence_counts": r"""WITH x AS (SELECT row_id, regexp_replace(coalesce(facts, ''), '(?i)\\b(rs|no|sec|dr|mr|mrs|ms|vs|ltd|co|st|smt|shri|adv)\\.', '\\1', 'g') AS t FROM candidate_cases), y AS (SELECT row_id, t, '[।॥!?؟۔]["'')\\]”’]*|\\.(?:\\s|$)' AS p FROM x) SELECT row_id, (len(regexp_extract_all(t, p)) + (trim(list_last(string_split_regex(t, p)), ' ' || chr(9) || chr(10)) <> '')::INTEGER)::INTEGER AS sentences FROM y""".replace("\\\\", "\\"),
         "written_numbers": "SELECT row_id, facts AS text, 0 AS corrections FROM candidate_cases",  # the tables hold no spoken number; spoken_samples has them
+        "grounded_answers": _GROUNDED.format(ranked=_ranked(), routes=_ROUTES),
+        "label_metrics": _METRICS.format(ranked=_ranked(), routes=_ROUTES),
     }
