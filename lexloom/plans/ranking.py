@@ -1,7 +1,7 @@
 """Scored retrieval whole: tokens, references, a table of rules, and the ranks that references and the primary code have before the score.
 
 A query's facts are columns; rules are rows of a table (what must be seen, which provision, on which routes, how many points). A query meets
-a document by a shared token, a reference or a rule; what these give is added up before anything is ranked.
+a document by a shared token, a reference or a rule; what these give is added up, in blocks of documents, before anything is ranked (`blocks`).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from lexloom.functions import dates as D
 from lexloom.functions import text as T
 from lexloom.functions import words
 from lexloom.operators import retrieval
+from lexloom.plans import blocks
 from lexloom.session import cut
 
 EXACT, MAPPED, PRIMARY, BOTH = 50.0, 30.0, 2.0, 1.0
@@ -97,26 +98,19 @@ def facts(queries: DataFrame, query_id: str, text: str) -> DataFrame:
 def ranked(queries: DataFrame, query_id: str, text: str, docs: DataFrame, k: int = 3) -> DataFrame:
     """`qid`, `doc`, `code`, `section`, `score`, `cited`, `rank`: the k best documents (row_id, code, section, title, text, keywords, maps_to) of each query."""
     asked = facts(queries, query_id, text).where("route <> 'CLARIFY'")  # a query without a route has no result
-    searched = asked.select("qid", F.concat_ws(" ", "t", F.array_join("keywords", " "), F.array_join("phrases", " "), F.array_join(F.transform("refs", lambda r: r["section"]), " ")).alias("q"))
-    tokens = retrieval.document_tokens(docs, "row_id", "title", F.col("section"), F.col("title"), F.col("text"), F.array_join("keywords", " "))
-    parts = retrieval.scores(retrieval.query_tokens(searched, "qid", "q"), tokens, docs.agg(F.count("*").alias("n")))
-    where = docs.select(F.col("row_id").alias("doc"), "code", F.upper("section").alias("section"), F.transform(F.coalesce("maps_to", F.array().cast("array<string>")), lambda m: F.element_at(F.split(m, "-r"), 1)).alias("maps_to"))
-    cited = asked.select("qid", "route", "primary", F.explode(F.array_distinct("refs")).alias("r")).select("qid", "route", "primary", F.col("r.code").alias("ref_code"), F.col("r.section").alias("section"))
-    sections = where.where("section is not null").select("doc", "code", "section")
-    exact = cited.join(sections, "section").where("ref_code is null or ref_code = code").select("qid", "doc").distinct().select("qid", "doc", F.lit(EXACT).alias("points"))
-    names = where.select("doc", "code", F.explode("maps_to").alias("name"))
-    mapped = cited.where("ref_code is not null").withColumn("name", F.concat_ws("-", F.lower("ref_code"), F.lower("section"))).join(names, "name")
-    mapped = mapped.where((F.col("ref_code") != F.col("code")) & ((F.col("route") == "MULTI_PERIOD_REVIEW") | (F.col("code") == F.col("primary")))).select("qid", "doc").distinct().select("qid", "doc", F.lit(MAPPED).alias("points"))
+    searched = F.concat_ws(" ", "t", F.array_join("keywords", " "), F.array_join("phrases", " "), F.array_join(F.transform("refs", lambda r: r["section"]), " "))
     seen = asked.select("qid", "route", (F.size("refs") > 0).alias("has_refs"), F.explode_outer("cues").alias("cue")).where("cue is not null")
     met = seen.join(F.broadcast(rule_table(docs.sparkSession)), ["cue", "route"]).where("not (cited_off and has_refs)")
     first = Window.partitionBy("qid", "family", "code", "section").orderBy("order")
-    met = met.withColumn("n", F.row_number().over(first)).where("n = 1").join(sections, ["code", "section"]).select("qid", "doc", "points")
-    extra = exact.unionAll(mapped).unionAll(met).groupBy("qid", "doc").agg(F.sum("points").alias("points"))
-    scored = parts.join(extra, ["qid", "doc"], "full").select("qid", "doc", (F.coalesce("score", F.lit(0.0)) + F.coalesce("points", F.lit(0.0))).alias("score"))
-    bonus = F.when(F.col("route") == "MULTI_PERIOD_REVIEW", BOTH).when(F.col("code") == F.col("primary"), PRIMARY).otherwise(0.0)
-    full = scored.join(where.select("doc", "code", "section"), "doc").join(asked.select("qid", "route", "allowed", "primary", "refs"), "qid").where(F.array_contains("allowed", F.col("code")))
-    full = full.withColumn("score", F.round(F.col("score") + bonus, 3)).withColumn("cited", ((F.col("code") == F.col("primary")) & F.exists("refs", lambda r: (r["code"] == F.col("code")) & (r["section"] == F.col("section")))).cast("int"))
-    full = full.withColumn("cited", F.coalesce("cited", F.lit(0))).withColumn("first_code", ((F.col("route") == "BNS_PRIMARY") & (F.col("code") == "BNS")).cast("int")).where("score > 0")
+    met = met.withColumn("n", F.row_number().over(first)).where("n = 1").groupBy("qid").agg(F.collect_list(F.struct("code", "section", "points")).alias("points"))
+    tokens = lambda c: F.array_join(F.array_distinct(T.retrieval_tokens(c)), " ")
+    wanted = asked.select("qid", "route", "primary", F.array_distinct("refs").alias("refs"), tokens(searched).alias("words")).join(met, "qid", "left")
+    names = F.transform(F.coalesce("maps_to", F.array().cast("array<string>")), lambda m: F.element_at(F.split(m, "-r"), 1))
+    body = F.concat_ws(" ", F.col("section"), F.col("title"), F.col("text"), F.array_join("keywords", " "))
+    where = docs.select(F.col("row_id").alias("doc"), "code", F.upper("section").alias("section"), tokens(body).alias("words"), tokens("title").alias("title"), names.alias("maps"))
+    points = {"title": retrieval.TITLE_BONUS, "exact": EXACT, "mapped": MAPPED, "primary": PRIMARY, "both": BOTH}
+    full = blocks.best(wanted, where, retrieval.idf, k, points, ALLOWED).repartition("qid")
+    full = full.withColumn("first_code", ((F.col("route") == "BNS_PRIMARY") & (F.col("code") == "BNS")).cast("int"))
     own = (F.col("cited").desc(), F.col("first_code").desc(), F.col("score").desc(), "doc")
     best = F.row_number().over(Window.partitionBy("qid", "code").orderBy(*own)) == 1
     full = full.withColumn("lead", (best & (F.col("route") == "MULTI_PERIOD_REVIEW")).cast("int"))
