@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,22 +29,19 @@ def _iso(year: Column, month: Column, day: Column, named: bool) -> Column:
     return F.when(F.try_to_date(text, "yyyy-MM-dd").isNotNull(), text)
 
 
-def _numeric(x: Column) -> Column:
-    return F.struct(_iso(x["y"], x["m"], x["d"], False).alias("value"), x["raw"].alias("raw"))
-
-
-def _spelt(x: Column) -> Column:
-    return F.struct(_iso(x["y"], x["m"], x["d"], True).alias("value"), x["raw"].alias("raw"))
+def _dated(raw: Column, pattern: str, groups: tuple[int, int, int], named: bool) -> Column:
+    """A match with its date. The match alone has the groups that it has in its text: it begins and ends at word boundaries."""
+    year, month, day = (F.regexp_extract(raw, pattern, g) for g in groups)
+    return F.struct(_iso(year, month, day, named).alias("value"), raw.alias("raw"))
 
 
 def dates(text: str | Column) -> Column:
     """Array of (value, raw) of all dates, by form and then by place; a value once, with the raw text of its last mention."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     parts = []
-    for k, (pattern, (y, m, d)) in enumerate(zip(PATTERNS, GROUPS)):
-        get = lambda g, p=pattern: F.regexp_extract_all(text, F.lit(p), F.lit(g))
-        zipped = F.arrays_zip(get(y).alias("y"), get(m).alias("m"), get(d).alias("d"), get(0).alias("raw"))
-        parts.append(F.transform(zipped, _numeric if k < 2 else _spelt))
+    for k, (pattern, groups) in enumerate(zip(PATTERNS, GROUPS)):
+        own = functools.partial(_dated, pattern=pattern, groups=groups, named=k >= 2)
+        parts.append(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda raw: own(raw)))  # each form is searched for once
     every = F.filter(F.concat(*parts), lambda x: x["value"].isNotNull())
     values = F.array_distinct(F.transform(every, lambda x: x["value"]))
     return F.transform(values, lambda v: F.element_at(F.filter(every, lambda x: x["value"] == v), -1))

@@ -1,9 +1,8 @@
 """The best documents of many queries, block by block: no pair of a query and a document ever leaves the task that scores it.
 
 Documents lie in blocks, each with an index of its own in one task; the queries stream past it, and of each only the k best of a block go on.
-All that is shuffled are the documents' and queries' tokens and k rows a query and block. Within a block a query adds up its titles, references,
-rules and rare tokens; documents that its frequent tokens can't lift among the k best are left out before those are looked up. What is left
-out is worse than k others whatever its frequent tokens are, so the rows are those of the whole sum.
+All that is shuffled are the documents' and queries' tokens and k rows a query, block and code. Nothing is left out of a sum: a token's
+documents are listed, or, if they are many, a whole row of the block is added.
 """
 
 from __future__ import annotations
@@ -20,8 +19,8 @@ from lexloom.session import cut, ship
 
 #: Documents of a block while there are fewer blocks than cores, and at most.
 SMALL, LARGE = 1 << 13, 1 << 15
-#: A token in more than one of so many documents of a block is looked up last. Scores count by thousandths; MARGIN is what rounding may hide.
-FREQUENT, UNIT, MARGIN = 16, 1000, 0.002
+#: A token in more than one of so many documents of a block has a row of its own. Scores count by thousandths; MARGIN is more than rounding can move.
+FREQUENT, UNIT, MARGIN = 8, 1000, 0.002
 WORDS, DOCS, QUERIES = 0, 1, 2
 
 
@@ -67,9 +66,9 @@ class Index:
         often = np.flatnonzero(np.diff(self.at) * FREQUENT > self.n)
         self.place = np.full(len(idf), -1)
         self.place[often] = np.arange(len(often))
-        self.present = np.zeros((len(often), self.n), bool)
+        self.weights = np.zeros((len(often), self.n))
         for i, t in enumerate(often):
-            self.present[i, self.rows[self.at[t] : self.at[t + 1]]] = True
+            self.weights[i, self.rows[self.at[t] : self.at[t + 1]]] = idf[t]
         self.by_section = _places(self.sections.to_pylist())
         names: dict = {}
         for i, maps in enumerate(docs["maps"].to_pylist()):
@@ -85,39 +84,28 @@ class Index:
         often = self.place[tokens]
         for t in tokens[often < 0].tolist():
             sums[self.rows[self.at[t] : self.at[t + 1]]] += self.idf[t]
-        seeds = [part for t in tokens.tolist() if len(part := self.heads[self.heads_at[t] : self.heads_at[t + 1]])]
-        for part in seeds:
-            sums[part] += self.points["title"]
+        for row in often[often >= 0].tolist():
+            sums += self.weights[row]
+        for t in tokens.tolist():
+            sums[self.heads[self.heads_at[t] : self.heads_at[t + 1]]] += self.points["title"]
         refs = query["refs"] or ()
         exact = _union([self.by_section[r["section"]] for r in refs if r["section"] in self.by_section and r["code"] in (None, self.code)])
         asked = {"-".join(x.lower() for x in (r["code"], r["section"]) if x is not None) for r in refs if r["code"] is not None and r["code"] != self.code} if both or self.code == primary else set()
         mapped = _union([self.by_name[name] for name in asked if name in self.by_name])
         sums[exact] += self.points["exact"]
         sums[mapped] += self.points["mapped"]
-        seeds += [exact, mapped]
         for p in query["points"] or ():
             if p["code"] == self.code and p["section"] in self.by_section:
-                seeds.append(part := self.by_section[p["section"]])
-                sums[part] += p["points"]
-        last = tokens[often >= 0]
-        weights = self.idf[last]
-        seen = _union(seeds)
-        floor = (np.partition(sums[seen], len(seen) - k)[len(seen) - k] if len(seen) >= k else np.partition(sums, self.n - k)[self.n - k] if self.n >= k else 0.0) - weights.sum() - MARGIN
-        at = np.flatnonzero(sums >= floor) if floor > 0 else np.arange(self.n)
+                sums[self.by_section[p["section"]]] += p["points"]
+        least = np.partition(sums, self.n - k)[self.n - k] - MARGIN if self.n > k else 0.0
+        at = np.flatnonzero(sums >= least) if least > 0 else np.flatnonzero(sums)
         marked = _union([self.by_section[r["section"]] for r in refs if r["code"] == self.code == primary and r["section"] in self.by_section])
         if len(marked):
             at = np.union1d(at, marked)
-        whole = sums[at]
-        if len(last):
-            whole = whole + weights @ self.present[self.place[last]][:, at]
-        at, whole = at[whole > 0], whole[whole > 0]
-        units = np.floor((whole + bonus) * UNIT + 0.5).astype(np.int64)
+        at = at[sums[at] > 0]
+        units = np.floor((sums[at] + bonus) * UNIT + 0.5).astype(np.int64)
         cited = np.isin(at, marked) if len(marked) else np.zeros(len(at), bool)
-        order = units + (cited.astype(np.int64) << 40)
-        if len(at) > 4 * k:
-            near = order >= np.partition(order, len(at) - k)[len(at) - k]
-            at, units, cited, order = at[near], units[near], cited[near], order[near]
-        chosen = np.lexsort((at, -order))[:k]
+        chosen = np.lexsort((at, -units, ~cited))[:k]
         return at[chosen], units[chosen], cited[chosen]
 
 

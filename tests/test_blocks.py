@@ -67,3 +67,9 @@ def test_no_pair_is_shuffled(spark):
     before = written()
     assert ranking.ranked(queries, "id", "t", docs).count() == 2100
     assert written() - before < 3 << 20
+
+
+def test_routed_facts_are_the_facts_of_cases_with_a_route(spark):
+    queries = spark.createDataFrame([(1, "theft on 05.07.2019, 2019-7-5 and July 4, 2019 under section 378 IPC"), (2, "theft"), (3, "12 March 2025 5 July 2025x 31-02-2025"), (4, None)], "id long, t string")
+    every = ranking.facts(queries, "id", "t").where("route <> 'CLARIFY'").orderBy("qid").collect()
+    assert [r.qid for r in every] == [1, 3] and ranking.facts(queries, "id", "t", routed=True).orderBy("qid").collect() == every
