@@ -42,7 +42,7 @@ def _sentence_tables(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFr
 
 
 def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sentence of the three tables."""
+    """Every sentence of the three tables, scan extracts apart, which the contract of problem 3 leaves out."""
     tables = _sentence_tables(spark, sf_dir)
     tagger = sentences.train([(df, "row_id", text) for _, df, text in tables])
     parts = [sentences.sentences(df, "row_id", text, tagger).withColumn("tbl", F.lit(name)) for name, df, text in tables]
