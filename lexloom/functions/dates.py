@@ -38,6 +38,7 @@ def _dated(raw: Column, pattern: str, groups: tuple[int, int, int], named: bool)
 def dates(text: str | Column) -> Column:
     """Array of (value, raw) of all dates, by form and then by place; a value once, with the raw text of its last mention."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    text = F.when(F.contains(text, F.lit("20")), text).otherwise("")  # in the year of every form
     parts = []
     for k, (pattern, groups) in enumerate(zip(PATTERNS, GROUPS)):
         own = functools.partial(_dated, pattern=pattern, groups=groups, named=k >= 2)

@@ -22,6 +22,11 @@ def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(window)).where("__r = 1").drop("__r")
 
 
+def marked_latest(df: DataFrame, key: str, mark: str, *order: str) -> DataFrame:
+    """All rows, with whether each is the last of its key."""
+    return df.withColumn(mark, F.row_number().over(Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order))) == 1)
+
+
 def adjacency(edges: DataFrame, a: str, b: str) -> DataFrame:
     """`id`, `maps_to`: each end of an edge and its distinct partners, sorted."""
     both = edges.select(F.col(a).alias("id"), F.col(b).alias("to")).unionAll(edges.select(F.col(b).alias("id"), F.col(a).alias("to")))

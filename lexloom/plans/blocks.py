@@ -1,8 +1,9 @@
 """The best documents of many queries, block by block: no pair of a query and a document ever leaves the task that scores it.
 
-Documents lie in blocks, each with an index of its own in one task; the queries stream past it, and of each only the k best of a block go on.
-All that is shuffled are the documents' and queries' tokens and k rows a query, block and code. Nothing is left out of a sum: a token's
-documents are listed, or, if they are many, a whole row of the block is added.
+Documents lie in blocks and queries in shares, both packed and checkpointed once. A task reads its share and, one by one, its blocks; it makes
+an index of each block and keeps the k best documents of each query and code over all of its blocks. So each document and query is shuffled once,
+and disk grows as their sum, not their product. Nothing is left out of a sum: a token's documents are listed, or, if they are many, a whole row
+of the block is added.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from pyspark.sql import functions as F
 
 from lexloom.session import cut, ship
 
-#: Documents of a block while there are fewer blocks than cores, and at most.
+#: Documents of a block at least, where shares alone keep too few cores busy, and at most.
 SMALL, LARGE = 1 << 13, 1 << 15
+#: Queries of a share at least, and at most; bytes of a pack, and rows that a task holds before it keeps only the best.
+FEW, MANY = 1 << 11, 1 << 16
+PACK, HELD = 1 << 25, 1 << 20
 #: A token in more than one of so many documents of a block has a row of its own. Scores count by thousandths; MARGIN is more than rounding can move.
 FREQUENT, UNIT, MARGIN = 8, 1000, 0.002
-WORDS, DOCS, QUERIES = 0, 1, 2
+WORDS, DOCS = 0, 1
 
 
 def _codes(column: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -109,18 +113,70 @@ class Index:
         return at[chosen], units[chosen], cited[chosen]
 
 
+def _bytes(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for batch in batches:
+            out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _table(packed: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(packed.as_buffer()).read_all()
+
+
+def _packs(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= PACK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _pack_docs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block's documents, each pack with the words that it is read by; the words come first."""
+    words: list[pa.RecordBatch] = []
+
+    def docs() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = int(np.searchsorted(batch.column("kind").to_numpy(), DOCS))
+            words.append(batch.slice(0, first).select(["words", "idf"]))
+            yield batch.slice(first).select(["doc", "code", "section", "words", "title", "maps"])
+
+    for held in _packs(docs()):
+        yield pa.RecordBatch.from_arrays([pa.array([_bytes(words)], pa.binary()), pa.array([_bytes(held)], pa.binary())], ["known", "docs"])
+
+
+def _pack_queries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for i, held in enumerate(_packs(batches)):
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([_bytes(held)], pa.binary())], ["share", "asked"])
+
+
+def _kept(parts: list[pa.Table], k: int) -> pa.Table:
+    """Of rows of several blocks the k best of each query and code."""
+    table = pa.concat_tables(parts).combine_chunks()
+    table = table.take(pc.sort_indices(table, [("place", "ascending"), ("code", "ascending"), ("cited", "descending"), ("score", "descending"), ("doc", "ascending")]))
+    place, code = table["place"].to_numpy(), table["code"].combine_chunks().dictionary_encode().indices.to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(code) != 0)]))
+    rank = np.arange(len(place)) - np.repeat(starts, np.diff(np.append(starts, len(place))))
+    return table.filter(pa.array(rank < k))
+
+
 def _score(k: int, points: dict, allowed: dict[str, tuple[str, ...]]):
     codes = sorted({c for own in allowed.values() for c in own})
 
-    def build(words: list[pa.RecordBatch], docs: list[pa.RecordBatch]) -> tuple[pa.Array, dict[str, Index]]:
-        known = pa.Table.from_batches(words).combine_chunks() if words else None
-        vocabulary = known["words"].combine_chunks() if known else pa.array([], pa.string())
-        idf = known["idf"].to_numpy() if known else np.zeros(0)
-        table = pa.Table.from_batches(docs) if docs else None
-        parts = {c: table.filter(pc.equal(table["code"], c)) for c in codes} if table else {}
-        return vocabulary, {c: Index(c, part, vocabulary, idf, points) for c, part in parts.items() if part.num_rows}
+    def build(known: pa.Table, docs: pa.Table) -> tuple[pa.Array, dict[str, Index]]:
+        known = known.combine_chunks()
+        vocabulary = known["words"].combine_chunks()
+        parts = {c: docs.filter(pc.equal(docs["code"], c)) for c in codes}
+        return vocabulary, {c: Index(c, part, vocabulary, known["idf"].to_numpy(), points) for c, part in parts.items() if part.num_rows}
 
-    def rows(batch: pa.RecordBatch, vocabulary: pa.Array, indexes: dict[str, Index]) -> Iterator[pa.RecordBatch]:
+    def rows(batch: pa.RecordBatch, at: int, vocabulary: pa.Array, indexes: dict[str, Index]) -> Iterator[pa.Table]:
         place, tokens = _codes(batch.column("words"), vocabulary)
         ends = np.searchsorted(place, np.arange(batch.num_rows + 1))
         out: dict[str, list] = {c: [] for c in codes}
@@ -136,38 +192,35 @@ def _score(k: int, points: dict, allowed: dict[str, tuple[str, ...]]):
                     out[code].append((np.full(len(found[0]), i), *found))
         for code, parts in out.items():
             if parts:
-                asked, at, units, cited = (np.concatenate(x) for x in zip(*parts))
+                asked, best, units, cited = (np.concatenate(x) for x in zip(*parts))
                 index = indexes[code]
-                at, asked = pa.array(at, pa.int64()), pa.array(asked, pa.int64())
-                values = [batch.column("qid").take(asked), batch.column("route").take(asked), batch.column("primary").take(asked), index.ids.take(at), pa.array([code] * len(at), pa.string()), index.sections.take(at), pa.array(units / UNIT), pa.array(cited.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(values, ["qid", "route", "primary", "doc", "code", "section", "score", "cited"])
+                best, own = pa.array(best, pa.int64()), pa.array(asked, pa.int64())
+                values = [pa.array(asked + at, pa.int64()), batch.column("qid").take(own), batch.column("route").take(own), batch.column("primary").take(own), index.ids.take(best), pa.array([code] * len(best), pa.string()), index.sections.take(best), pa.array(units / UNIT), pa.array(cited.astype(np.int32))]
+                yield pa.table(values, ["place", "qid", "route", "primary", "doc", "code", "section", "score", "cited"])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, words, docs, built = None, [], [], None
+        at, built = None, None
+        best: dict[int, list[pa.Table]] = {}
         for batch in batches:
-            blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
-            starts = [0, *(np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), len(blocks)]
-            for a, b in zip(starts, starts[1:]):
-                if a == b:
-                    continue
-                part = batch.slice(a, b - a)
-                if blocks[a] != at:
-                    at, words, docs, built = blocks[a], [], [], None
-                if kinds[a] == WORDS:
-                    words.append(part)
-                elif kinds[a] == DOCS:
-                    docs.append(part)
-                else:
-                    if built is None:
-                        built = build(words, docs)
-                        words, docs = [], []
-                    yield from rows(part, *built)
+            for i in range(batch.num_rows):
+                known, docs = batch.column("known")[i], batch.column("docs")[i]
+                if at is None or not docs.as_buffer().equals(at):
+                    at, built = docs.as_buffer(), build(_table(known), _table(docs))
+                held, first = best.setdefault(batch.column("share")[i].as_py(), []), 0
+                for part in _table(batch.column("asked")[i]).to_batches():
+                    held += rows(part, first, *built)
+                    first += part.num_rows
+                if len(held) > 1 and sum(x.num_rows for x in held) > HELD:
+                    held[:] = [_kept(held, k)]
+        for held in best.values():
+            if held:
+                yield from _kept(held, k).drop_columns(["place"]).to_batches(max_chunksize=1 << 16)
 
     return work
 
 
 def best(queries: DataFrame, docs: DataFrame, idf: Column, k: int, points: dict, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
-    """`qid`, `route`, `primary`, `doc`, `code`, `section`, `score`, `cited`: of each query and block the k best documents of each code that may count.
+    """`qid`, `route`, `primary`, `doc`, `code`, `section`, `score`, `cited`: of each query and group of blocks the k best documents of each code that may count.
 
     queries: `qid`, `route`, `primary`, `words` (distinct tokens, joined by blanks), `refs`, `points` (code, section, points). docs: `doc`, `code`,
     `section`, `words`, `title` (tokens too), `maps`; those of other codes count in the tokens' weights only. idf: from `df` and `n`.
@@ -176,24 +229,25 @@ def best(queries: DataFrame, docs: DataFrame, idf: Column, k: int, points: dict,
     spark = docs.sparkSession
     ship(spark)
     docs, queries = cut(docs), cut(queries)  # both are read for the weights and for the blocks
-    n, cores = docs.count(), spark.sparkContext.defaultParallelism
-    blocks = max(1, -(-n // LARGE), min(-(-n // SMALL), cores))
-    shares = -(-2 * cores // blocks)  # of the queries, where blocks alone keep too few cores busy
+    n, asked_n, cores = docs.count(), queries.count(), spark.sparkContext.defaultParallelism
+    shares = max(1, -(-asked_n // MANY), min(-(-asked_n // FEW), 2 * cores))
+    groups = -(-2 * cores // shares)  # of blocks: only as many as keep the cores busy
+    blocks = max(1, -(-n // LARGE), min(-(-n // SMALL), groups))
     asked = queries.select(F.explode(F.split("words", " ")).alias("token")).distinct()
     counted = docs.select(F.explode(F.split("words", " ")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     words = counted.join(asked, "token", "left_semi").where("token <> ''").select("token", idf(F.col("df"), F.lit(n)).alias("idf"))
     kinds = dict(docs.dtypes) | dict(queries.dtypes)
-    columns = ("doc", "code", "section", "title", "maps", "qid", "route", "primary", "refs", "points")
+    columns = ("doc", "code", "section", "title", "maps")
 
     def side(df: DataFrame, kind: int, block: Column, **own: Column) -> DataFrame:
         rest = (own.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in columns)
         return df.select(block.alias("block"), F.lit(kind).alias("kind"), own["words"].alias("words"), own.get("idf", F.lit(None)).cast("double").alias("idf"), *rest)
 
     named = lambda *names: {c: F.col(c) for c in names}
-    all_of = lambda count, first, step: F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda x: (first + x * step).cast("int")))
-    own = side(docs.where(F.col("doc").isNotNull() & F.col("code").isin(*{c for x in allowed.values() for c in x})), DOCS, all_of(shares, F.pmod(F.xxhash64("doc"), F.lit(blocks)) * shares, 1), **named("doc", "code", "section", "words", "title", "maps"))
-    every = side(words, WORDS, all_of(blocks * shares, F.lit(0), 1), words=F.col("token"), idf=F.col("idf"))
-    theirs = side(queries.where("qid is not null"), QUERIES, all_of(blocks, F.pmod(F.xxhash64("qid"), F.lit(shares)), shares), **named("qid", "route", "primary", "words", "refs", "points"))
-    dealt = every.unionAll(own).unionAll(theirs).repartitionById(blocks * shares, "block").sortWithinPartitions("block", "kind")
+    every = side(words, WORDS, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), words=F.col("token"), idf=F.col("idf"))
+    own = side(docs.where(F.col("doc").isNotNull() & F.col("code").isin(*{c for x in allowed.values() for c in x})), DOCS, F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int"), **named("doc", "code", "section", "words", "title", "maps"))
+    dealt = every.unionAll(own).repartitionById(blocks, "block").sortWithinPartitions("kind")
+    held = cut(dealt.mapInArrow(_pack_docs, "known binary, docs binary")).coalesce(min(groups, blocks))
+    theirs = cut(queries.where("qid is not null").select("qid", "route", "primary", "words", "refs", "points").repartition(shares, "qid").mapInArrow(_pack_queries, "share long, asked binary"))
     schema = f"qid {kinds['qid']}, route string, primary string, doc {kinds['doc']}, code string, section string, score double, cited int"
-    return dealt.mapInArrow(_score(k, points, allowed), schema)
+    return held.hint("shuffle_replicate_nl").crossJoin(theirs).mapInArrow(_score(k, points, allowed), schema)  # packs are read again, not shuffled

@@ -85,21 +85,38 @@ def rule_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "cue string, family string, order int, code string, section string, route string, points double, cited_off boolean")
 
 
+def _found(queries: DataFrame, query_id: str, text: str, asked: Column) -> DataFrame:
+    """`qid`, `t`, `keywords`, `phrases`, `refs`, `route`, `asked` of each query; what is costly to find only where asked, which may name `route`."""
+    own = queries.withColumn("qid", F.col(query_id)).withColumn("t", F.col(text)).withColumn("dates", D.dates("t")).withColumn("going_on", D.continuing("t")).withColumn("offence", D.offence_date("t", F.col("dates")))
+    own = own.withColumn("route", D.period_route(F.col("dates"), F.col("going_on"), F.col("offence"))).withColumn("asked", asked)
+    wanted = lambda c: F.when(F.col("asked"), c)  # noqa: E731  # a filter here would make the dates again for each mention of them
+    own = own.select("qid", wanted(F.col("t")).alias("t"), wanted(T.vocabulary_hits("t")).alias("keywords"), wanted(T.phrase_labels("t")).alias("phrases"), wanted(T.section_references("t")).alias("refs"), "route", "asked")
+    return cut(own)  # what follows is cheap and read several times; a filter on it must not search the texts again
+
+
+def _facts(found: DataFrame) -> DataFrame:
+    allowed = F.element_at(F.create_map(*(x for r, codes in ALLOWED.items() for x in (F.lit(r), F.array(*map(F.lit, codes)).cast("array<string>")))), F.col("route"))
+    own = found.drop("asked").withColumn("allowed", allowed).withColumn("primary", F.get("allowed", F.lit(0)))
+    return own.withColumn("cues", cues(F.col("t"), F.col("keywords"), F.col("phrases"), F.col("route")))
+
+
 def facts(queries: DataFrame, query_id: str, text: str, routed: bool = False) -> DataFrame:
     """`qid`, `t`, `keywords`, `phrases`, `refs`, `route`, `allowed`, `primary`, `cues` of each query; routed: of those with a route only."""
-    own = queries.select(F.col(query_id).alias("qid"), F.col(text).alias("t")).withColumn("dates", D.dates("t")).withColumn("going_on", D.continuing("t")).withColumn("offence", D.offence_date("t", F.col("dates")))
-    route = D.period_route(F.col("dates"), F.col("going_on"), F.col("offence"))
-    wanted = (lambda c: F.when(route != "CLARIFY", c)) if routed else (lambda c: c)  # a filter here would make the dates again for each mention of them
-    own = own.select("qid", wanted(F.col("t")).alias("t"), wanted(T.vocabulary_hits("t")).alias("keywords"), wanted(T.phrase_labels("t")).alias("phrases"), wanted(T.section_references("t")).alias("refs"), route.alias("route"))
-    own = cut(own)  # what follows is cheap and read several times; a filter on it must not search the texts again
-    own = own.where("route <> 'CLARIFY'") if routed else own
-    allowed = F.element_at(F.create_map(*(x for r, codes in ALLOWED.items() for x in (F.lit(r), F.array(*map(F.lit, codes)).cast("array<string>")))), F.col("route"))
-    return own.withColumn("allowed", allowed).withColumn("primary", F.get("allowed", F.lit(0))).withColumn("cues", cues(F.col("t"), F.col("keywords"), F.col("phrases"), F.col("route")))
+    return _facts(_found(queries, query_id, text, F.col("route") != "CLARIFY" if routed else F.lit(True)).where("asked"))
 
 
 def ranked(queries: DataFrame, query_id: str, text: str, docs: DataFrame, k: int = 3) -> DataFrame:
     """`qid`, `doc`, `code`, `section`, `score`, `cited`, `rank`: the k best documents (row_id, code, section, title, text, keywords, maps_to) of each query."""
-    asked = facts(queries, query_id, text, routed=True)  # a query without a route has no result
+    return _ranked(facts(queries, query_id, text, routed=True), docs, k)  # a query without a route has no result
+
+
+def routed_and_ranked(queries: DataFrame, query_id: str, text: str, asked: str, docs: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """`qid`, `route` of all queries, and what `ranked` gives those of which the column `asked` is true; the texts are searched once."""
+    found = _found(queries, query_id, text, F.col(asked) & (F.col("route") != "CLARIFY"))
+    return found.select("qid", "route"), _ranked(_facts(found.where("asked")), docs, k)
+
+
+def _ranked(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     searched = F.concat_ws(" ", "t", F.array_join("keywords", " "), F.array_join("phrases", " "), F.array_join(F.transform("refs", lambda r: r["section"]), " "))
     seen = asked.select("qid", "route", (F.size("refs") > 0).alias("has_refs"), F.explode_outer("cues").alias("cue")).where("cue is not null")
     met = seen.join(F.broadcast(rule_table(docs.sparkSession)), ["cue", "route"]).where("not (cited_off and has_refs)")

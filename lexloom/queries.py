@@ -728,9 +728,10 @@ def repaired_text(spark, sf_dir):
 
 def grounded_answers(spark, sf_dir):
     """Warnings of conclusions that name their statutes, or don't: for each case's best statutes and route."""
-    best = ranked_statutes(spark, sf_dir).join(_t(spark, sf_dir, "statute_supplements", F.col("row_id").alias("statute_row"), "section"), "statute_row").where("section is not null")
-    cited = best.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("code", "section", F.lit(None).cast("string").alias("exception")))).alias("cited"), F.min_by(F.concat_ws(" ", "code", "section"), "rank").alias("first"))
-    own = case_routes(spark, sf_dir).join(cited, "row_id", "left").withColumn("cited", F.coalesce("cited", F.array().cast("array<struct<code:string,section:string,exception:string>>")))
+    cases = corpus.marked_latest(_t(spark, sf_dir, "candidate_cases", "case_id", "row_id", "facts"), "case_id", "latest", "row_id")
+    routes, best = ranking.routed_and_ranked(cases, "row_id", "facts", "latest", _documents(spark, sf_dir))
+    cited = best.where("section is not null").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("code", "section", F.lit(None).cast("string").alias("exception")))).alias("cited"), F.min_by(F.concat_ws(" ", "code", "section"), "rank").alias("first"))
+    own = routes.join(cited, "qid", "left").withColumn("cited", F.coalesce("cited", F.array().cast("array<struct<code:string,section:string,exception:string>>")))
     review = F.when(F.col("route").isin("CLARIFY", "MULTI_PERIOD_REVIEW"), F.col("route"))
     warned = own.select(F.explode(C.grounding_warnings(F.concat(F.lit("This falls under "), F.coalesce("first", F.lit("nothing"))), F.col("cited"), review, F.array().cast("array<string>"))).alias("warning"))
     return warned.groupBy("warning").agg(F.count("*").alias("n"))

@@ -69,6 +69,23 @@ def test_no_pair_is_shuffled(spark):
     assert written() - before < 3 << 20
 
 
+def test_queries_are_shuffled_once_whatever_the_blocks(spark, monkeypatch):
+    """Twenty blocks: neither the queries nor their best documents may be shuffled once a block."""
+    monkeypatch.setattr(blocks, "LARGE", 50)
+    monkeypatch.setattr(blocks, "FEW", 70, raising=False)  # ten shares, so that a task reads many blocks
+    monkeypatch.setattr(blocks, "HELD", 500, raising=False)
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(d[0], "IPC", *d[2:]) for d in _docs(1000, rng)], DOC)
+    queries = spark.createDataFrame([(k, f"On 5 July 2019 the common usual {rng.choice(RARE)} " + " ".join(f"{rng.random()}x" for _ in range(40))) for k in range(700)], "id long, t string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    got = ranking.ranked(queries, "id", "t", docs).collect()
+    spent = written() - before
+    monkeypatch.setattr(blocks, "LARGE", 1 << 15)
+    assert sorted(got) == sorted(ranking.ranked(queries, "id", "t", docs).collect()) and len(got) == 2100
+    assert spent < 3 << 20
+
+
 def test_routed_facts_are_the_facts_of_cases_with_a_route(spark):
     queries = spark.createDataFrame([(1, "theft on 05.07.2019, 2019-7-5 and July 4, 2019 under section 378 IPC"), (2, "theft"), (3, "12 March 2025 5 July 2025x 31-02-2025"), (4, None)], "id long, t string")
     every = ranking.facts(queries, "id", "t").where("route <> 'CLARIFY'").orderBy("qid").collect()
