@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 
 from lexloom.plans import blocks, ranking
@@ -69,6 +70,14 @@ def test_no_pair_is_shuffled(spark):
     assert written() - before < 3 << 20
 
 
+@pytest.mark.parametrize("n", [4, 70, 192, 193, 1000])
+def test_bound_is_at_most_the_third_sum(n):
+    rng = random.Random(n)
+    for _ in range(50):
+        sums = np.array([rng.randrange(6) * rng.random() for _ in range(n)])
+        assert 0 <= blocks._bound(sums, 3) <= sorted(sums)[-3]
+
+
 def test_queries_are_shuffled_once_whatever_the_blocks(spark, monkeypatch):
     """Twenty blocks: neither the queries nor their best documents may be shuffled once a block."""
     monkeypatch.setattr(blocks, "LARGE", 50)
